@@ -83,8 +83,6 @@ def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndar
     Words are maximal runs without ASCII white space; A-Z are lower-cased if asked. A null text has no words.
     """
     texts = pc.fill_null(texts, "")
-    if pa.types.is_string(texts.type):
-        texts = texts.cast(pa.large_string())
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     flat, offsets = parts.flatten(), parts.offsets.to_numpy()
     offsets = offsets - offsets[0]
