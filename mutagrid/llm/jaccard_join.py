@@ -115,7 +115,7 @@ def matches_wanted(frequency: np.ndarray, n: int, need: int) -> int:
 
 
 def prefixes(docs: DataFrame, rule: Jaccard, id_column: str, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, m, tokens): the first n - need + m tokens of every document's set in the global order."""
+    """(doc_id, n, m, parity, tokens): a parity sketch and the first n - need + m tokens of every document's set in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     noise = float(counts.mean())
 
@@ -123,7 +123,7 @@ def prefixes(docs: DataFrame, rule: Jaccard, id_column: str, counts: np.ndarray)
         counts = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                ns, ms, tokens = [], [], []
+                ns, ms, tokens, parities = [], [], [], []
                 for s in shingle_sets(part.column("text"), rule.width):
                     n, m, first = len(s), 0, s[:0]
                     if n:
@@ -134,11 +134,10 @@ def prefixes(docs: DataFrame, rule: Jaccard, id_column: str, counts: np.ndarray)
                         order = order[:longest]
                         m = matches_wanted(np.maximum(seen[order] - noise, 0.0), n, need)
                         first = s[order[: n - need + m]]
-                    ns.append(n), ms.append(m), tokens.append(first)
-                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32()), pa.array(np.concatenate([*tokens, np.zeros(0, np.uint64)]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ns, pa.int64()), pa.array(ms, pa.int32()), lists], ["doc_id", "n", "m", "tokens"])
+                    ns.append(n), ms.append(m), tokens.append(first.view(np.int64)), parities.append(parity_of(s))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ns, pa.int64()), pa.array(ms, pa.int32()), lists_of(parities), lists_of(tokens)], ["doc_id", "n", "m", "parity", "tokens"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, m int, tokens array<long>")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, m int, parity array<long>, tokens array<long>")
 
 
 def short_order(s: np.ndarray, seen: np.ndarray, k: int) -> np.ndarray:
@@ -148,18 +147,26 @@ def short_order(s: np.ndarray, seen: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((s[some], seen[some]))]
 
 
+def lists_of(xs: list[np.ndarray]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([*xs, np.zeros(0, np.int64)]).astype(np.int64)))
+
+
+def parity_of(s: np.ndarray) -> np.ndarray:
+    """A bit for each of PARITY_BITS bins: whether an odd number of the set's elements falls into it."""
+    bins = np.bincount(((s >> np.uint64(20)) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS)
+    return np.packbits(bins.astype(np.uint8) & 1).view("<i8")
+
+
 def full_sets(docs: DataFrame, rule: Jaccard) -> DataFrame:
-    """(doc_id, n, parity, tokens) of (doc_id, text)."""
+    """(doc_id, n, tokens) of (doc_id, text)."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), rule.width)
-                parity = [np.packbits(np.bincount(((s >> np.uint64(20)) & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1).view("<i8") for s in sets]
-                lists = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([*xs, np.zeros(0, np.int64)]).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), lists(parity), lists([s.view(np.int64) for s in sets])], ["doc_id", "n", "parity", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), lists_of([s.view(np.int64) for s in sets])], ["doc_id", "n", "tokens"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, parity array<long>, tokens array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, tokens array<long>")
 
 
 def may_reach(rule: Jaccard, overlap: Column, n: Column, m: Column) -> Column:
@@ -167,19 +174,27 @@ def may_reach(rule: Jaccard, overlap: Column, n: Column, m: Column) -> Column:
     return overlap * (rule.num + rule.den) >= (n + m) * rule.num
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Jaccard) -> DataFrame:
-    """The pairs (x, y) whose sets really link: first by size and parity, then by the sets."""
-    light = sets.select("doc_id", "n", "parity")
-    side = lambda df, c: df.select(*[F.col(k).alias(f"{c}_{k}" if k != "doc_id" else c) for k in df.columns])
-    differ = lambda: sum((F.bit_count(F.get("x_parity", F.lit(i)).bitwiseXOR(F.get("y_parity", F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
+def side(df: DataFrame, c: str) -> DataFrame:
+    return df.select(*[F.col(k).alias(c if k == "doc_id" else f"{c}_{k}") for k in df.columns])
+
+
+def near(pairs: DataFrame, light: DataFrame, rule: Jaccard) -> DataFrame:
+    """The pairs (x, y) that may link by size and parity."""
+    differ = sum((F.bit_count(F.get("x_parity", F.lit(i)).bitwiseXOR(F.get("y_parity", F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
     # |x| + |y| - 2 overlap = difference, so the overlap is at most (|x| + |y| - bits) / 2
-    bound = F.floor((F.col("x_n") + F.col("y_n") - differ()) / 2)
-    bound = F.least(bound, F.col("x_n"), F.col("y_n"))
-    near = pairs.join(side(light, "x"), "x").join(side(light, "y"), "y").filter(may_reach(rule, bound, F.col("x_n"), F.col("y_n"))).select("x", "y")
-    heavy = sets.select("doc_id", "n", "tokens")
-    full = near.join(side(heavy, "x"), "x").join(side(heavy, "y"), "y")
+    bound = F.least(F.floor((F.col("x_n") + F.col("y_n") - differ) / 2), F.col("x_n"), F.col("y_n"))
+    return pairs.join(side(light, "x"), "x").join(side(light, "y"), "y").filter(may_reach(rule, bound, F.col("x_n"), F.col("y_n"))).select("x", "y")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, rule: Jaccard, work: Workspace, name: str) -> DataFrame:
+    """The pairs (x, y) whose sets really link, as (a, b); only their documents' texts are tokenised again."""
+    wanted = work.put(f"{name}-ids", pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
+    sets = work.put(f"{name}-sets", full_sets(texts.join(wanted, "doc_id", "left_semi"), rule), incompressible=True)
+    full = pairs.join(side(sets, "x"), "x").join(side(sets, "y"), "y")
     common = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    return full.filter(may_reach(rule, common, F.col("x_n"), F.col("y_n"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    links = work.put(name, full.filter(may_reach(rule, common, F.col("x_n"), F.col("y_n"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    work.drop(f"{name}-ids", f"{name}-sets")
+    return links
 
 
 def classes(spark: SparkSession, docs: DataFrame, rule: Jaccard = Jaccard(), id_column: str = "doc_id") -> DataFrame:
@@ -192,27 +207,28 @@ def classes(spark: SparkSession, docs: DataFrame, rule: Jaccard = Jaccard(), id_
 
     first = prefixes(docs, rule, id_column, counts).filter("n > 0 and doc_id is not null")
     first = work.put("first", first.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), incompressible=True)
+    light = first.select("doc_id", "n", "parity")
     postings = first.select("doc_id", "n", "m", F.posexplode("tokens").alias("pos", "token"))
     lists = postings.groupBy("token").agg(F.count("*").alias("n_docs"), F.min(F.struct("pos", "doc_id", "n")).alias("hub")).filter("n_docs > 1")
-    live = work.put("live", postings.join(lists, "token").select("token", "doc_id", "n", "m", "pos", "n_docs", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")), incompressible=True)
-
-    wanted = live.select("doc_id").distinct()
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id", "left_semi")
-    sets = work.put("sets", full_sets(texts, rule), incompressible=True)
-
-    to_hub = live.filter("doc_id <> hub").filter(may_reach(rule, F.least("n", "hub_n"), F.col("n"), F.col("hub_n"))).select(F.col("hub").alias("x"), F.col("doc_id").alias("y")).distinct()
-    links = work.put("links", verified(to_hub, sets, rule))
+    live = work.put("live", postings.join(lists, "token").select("token", "doc_id", "n", "m", "pos", "n_docs", "hub"), incompressible=True)
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    hub_n, hub_pos = F.col("hub.n"), F.col("hub.pos")
+    room = 1 + F.least(F.col("n") - F.col("pos"), hub_n - hub_pos) - 1
+    to_hub = live.filter("doc_id <> hub.doc_id").filter(may_reach(rule, F.least(F.col("n"), hub_n, room), F.col("n"), hub_n))
+    to_hub = to_hub.select(F.col("hub.doc_id").alias("x"), F.col("doc_id").alias("y")).distinct()
+    links = verified(work.put("near-hub", near(to_hub, light, rule)), texts, rule, work, "links")
     parts = work.put("parts", connected_components(spark, links, work, "hubs"))
 
-    across = second_round(live, parts, rule)
-    more = work.put("more", verified(across, sets, rule))
+    across = work.put("near-across", near(second_round(live, parts, rule), light, rule))
+    more = verified(across, texts, rule, work, "more")
     joined = contracted(more, parts)
     whole = work.put("whole", connected_components(spark, joined, work, "all"))
     # parts name a document's first class, whole the class of that class
     final = parts.join(whole.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     alone = whole.join(parts.select("node"), "node", "left_anti").select("node", "component")
     final = work.put("final", final.union(alone))
-    work.drop("sets", "live", "first", "links", "more", "whole")
+    work.drop("live", "first", "links", "more", "whole")
     named = members.join(reps, "fp", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
@@ -236,8 +252,8 @@ def second_round(live: DataFrame, parts: DataFrame, rule: Jaccard) -> DataFrame:
     # long lists are cut in blocks: one side keeps its block, the other is sent to each
     left = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = lambda df, c: df.select("token", "block", *[F.col(k).alias(f"{c}_{k}") for k in ("doc_id", "n", "m", "pos", "part", "before")])
-    x, y = side(left, "x"), side(right, "y")
+    named = lambda df, c: df.select("token", "block", *[F.col(k).alias(f"{c}_{k}") for k in ("doc_id", "n", "m", "pos", "part", "before")])
+    x, y = named(left, "x"), named(right, "y")
     wanted = F.least("x_m", "y_m")
     room = wanted + F.least(F.col("x_n") - F.col("x_pos"), F.col("y_n") - F.col("y_pos")) - 1
     met = (
