@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Regular expression of the six ASCII white-space characters that separate words.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -47,8 +49,14 @@ class Workspace:
         if incompressible:
             writer = writer.option("parquet.enable.dictionary", "false").option("compression", "uncompressed")
         writer.parquet(path)
+        self.release()
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Let Spark delete the shuffle files of what is written: it does so when the driver collects its garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
         for name in names:
@@ -56,6 +64,12 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def extended(schema: StructType, **columns: str) -> StructType:
+    """A schema with more columns, given by name and simple type."""
+    more = StructType.fromDDL(", ".join(f"`{k}` {v}" for k, v in columns.items()))
+    return StructType([*schema.fields, *more.fields])
+
+
 def slices(batch: pa.RecordBatch, column: str, budget: int = 8 << 20):
     """Cut a batch so that each piece holds about ``budget`` bytes of text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -28,6 +28,7 @@ repeat an id are judged by their own text. Extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from mutagrid.llm.common import Workspace, shingle_sets, slices, table
 from mutagrid.llm.components import connected_components
 
-#: Counters of the token sketch: one array of so many 64-bit counts is merged and sent to the workers (2 MB).
-COUNTERS = 1 << 18
+#: Counters of the token sketch: one array of so many 32-bit counts is merged and sent to the workers (16 MB).
+COUNTERS = 1 << 22
 #: Longest prefix extension that is considered.
 MATCHES = 6
 #: Bits of a parity sketch.
@@ -67,42 +68,44 @@ def fingerprints(docs: DataFrame, rule: Jaccard, id_column: str) -> DataFrame:
     def run(batches):
         import hashlib
 
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), rule.width)
-                for s in sets:
-                    np.add.at(counts, (s & np.uint64(COUNTERS - 1)).astype(np.int64), 1) if len(s) < 64 else None
-                big = [s for s in sets if len(s) >= 64]
-                if big:
-                    counts += np.bincount((np.concatenate(big) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                counts += np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
                 fps = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.nulls(len(sets), pa.binary())], ["doc_id", "n", "fp", "counts"]
                 )
-        import zlib
-
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([zlib.compress(counts.astype("<i8").tobytes(), 1)], pa.binary())], ["doc_id", "n", "fp", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([packed(counts)], pa.binary())], ["doc_id", "n", "fp", "counts"])
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, fp binary, counts binary")
 
 
+def packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes(), 1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), "<u4")
+
+
+def added(raws) -> np.ndarray:
+    total = np.zeros(COUNTERS, np.uint64)
+    for raw in raws:
+        total += unpacked(raw)
+    return total
+
+
 def sketch(found: DataFrame) -> np.ndarray:
-    """The tasks' counts added up: on the executors to 16 arrays at most, then here. Its size is fixed."""
+    """The tasks' counts added up: on the executors to 4 arrays at most, then here. Its size is fixed; counts stop at 2^32 - 1."""
 
     def add(batches):
-        import zlib
+        total = added(x.as_py() for batch in batches for x in batch.column("counts"))
+        yield pa.RecordBatch.from_arrays([pa.array([packed(total)], pa.binary())], ["counts"])
 
-        total = None
-        for batch in batches:
-            for packed in batch.column("counts"):
-                one = np.frombuffer(zlib.decompress(packed.as_py()), "<i8")
-                total = one.copy() if total is None else total + one
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
-
-    rows = found.filter("counts is not null").select("counts").repartition(8).mapInArrow(add, "counts binary").collect()
-    return sum((np.frombuffer(r.counts, "<i8") for r in rows), np.zeros(COUNTERS, np.int64))
+    rows = found.filter("counts is not null").select("counts").repartition(4).mapInArrow(add, "counts binary").collect()
+    return np.minimum(added(r.counts for r in rows), 0xFFFFFFFF).astype(np.uint32)
 
 
 def matches_wanted(frequency: np.ndarray, n: int, need: int) -> int:
