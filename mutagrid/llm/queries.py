@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from mutagrid.llm import jaccard_join, mixing, quality_rules, secret_scan, url_filter
+from mutagrid.llm import bpe, jaccard_join, mixing, nearest, ordinal, quality_rules, secret_scan, sharding, url_filter, warc
 
 QUERIES = {
+    "op1_quality": ordinal.op1_quality,
     "op2_jaccard_join": jaccard_join.op2_jaccard_join,
+    "op3_sharding": sharding.op3_sharding,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_nearest": nearest.op5_nearest,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_mixing": mixing.op7_mixing,
+    "op8_warc": warc.op8_warc,
+    "op9_bpe": bpe.op9_bpe,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 
+#: None for op1 (a fitted model), op3 (CRC-32), op5 (an approximate search), op8 (files) and op9 (a tokeniser): these are
+#: tested against brute force, exact round trips and held-out ratings.
 ORACLES = {
     "op2_jaccard_join": jaccard_join.SQL,
     "op4_quality_rules": quality_rules.SQL,
