@@ -11,6 +11,7 @@ unless they clash with a column that it makes, which then is replaced.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,6 +39,8 @@ class Rule:
     langs: tuple[str, ...] = ()
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines", "n_stop_words", "n_repeat_words")
+NAMES = re.compile(r"\b(" + "|".join(COUNTS) + r")\b")
 LANGS = tuple(STOP_WORDS)
 RULES = (
     Rule("words_most", "n_words", most=1_000_000),
@@ -51,14 +54,14 @@ RULES = (
 )
 
 
-def passes(rule: Rule) -> str:
-    """The rule as a SQL predicate that is never null."""
-    value = f"({rule.metric})"
+def passes(rule: Rule, of: str = "") -> str:
+    """The rule as a SQL predicate that is never null; ``of`` stands before the names of counts."""
+    value = f"({NAMES.sub(lambda m: of + m[0], rule.metric)})"
     tests = [f"{value} >= {rule.least}"] if rule.least is not None else []
     tests += [f"{value} <= {rule.most}"] if rule.most is not None else []
     test = f"coalesce({' AND '.join(tests)}, true)"
     if rule.langs:
-        test = f"(coalesce(lang, '') NOT IN ({', '.join(repr(x) for x in rule.langs)}) OR {test})"
+        test = f"(coalesce({of}lang, '') NOT IN ({', '.join(repr(x) for x in rule.langs)}) OR {test})"
     return test
 
 
@@ -85,34 +88,45 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(let(F.sort_array(windows), lambda s: let(spots(s), cover)))
 
 
-def base_counts(docs: DataFrame) -> DataFrame:
-    """The documents with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the counts the rules need."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def base_counts(text: Column, lang: Column) -> Column:
+    """A struct of the contract's base counts and of those that the rules need besides.
+
+    Words and lines are split once and bound as lambda variables, so that no
+    optimiser rule can put the splitting inside a loop over the words.
+    """
+    text = F.coalesce(text, F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))
-    stop = sorted({w for words in STOP_WORDS.values() for w in words})
-    with_word = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
-    return (
-        docs.withColumns({"_words": F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP)), "_lines": with_word})
-        .withColumns({
-            "n_words": F.size("_words").cast("long"),
-            "word_chars": F.length(F.concat_ws("", F.col("_words"))).cast("long"),
-            "n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_bullet_lines": F.size(F.filter("_lines", lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))).cast("long"),
-            "n_ellipsis_lines": F.size(F.filter("_lines", lambda x: F.endswith(F.rtrim(x), F.lit("...")) | F.endswith(F.rtrim(x), F.lit("…")))).cast("long"),
-            "n_stop_words": F.size(F.filter("_words", lambda x: x.isin(*stop))).cast("long"),
-            "n_repeat_words": repeated_words(F.col("_words")).cast("long"),
-        })
-        .drop("_words", "_lines")
-    )
+    words = F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, WORD_GAP))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+    stop = sorted({w for words_ in STOP_WORDS.values() for w in words_})
+
+    def counts(s: Column) -> Column:
+        w, ln = s["words"], s["lines"]
+        found = {
+            "n_words": F.size(w),
+            "word_chars": F.length(F.concat_ws("", w)),
+            "n_symbols": F.length(F.regexp_replace(s["text"], r"[^#*$%&|<>]+", "")),
+            "n_lines": F.size(ln),
+            "n_dup_lines": F.size(ln) - F.size(F.array_distinct(ln)),
+            "n_bullet_lines": F.size(F.filter(ln, lambda x: F.substring(F.ltrim(x), 1, 1).isin("-", "*", "•"))),
+            "n_ellipsis_lines": F.size(F.filter(ln, lambda x: F.endswith(F.rtrim(x), F.lit("...")) | F.endswith(F.rtrim(x), F.lit("…")))),
+            "n_stop_words": F.size(F.filter(w, lambda x: x.isin(*stop))),
+            "n_repeat_words": repeated_words(w),
+        }
+        return F.struct(*[v.cast("long").alias(k) for k, v in found.items()], s["lang"].alias("lang"))
+
+    return let(F.struct(words.alias("words"), lines.alias("lines"), text.alias("text"), lang.alias("lang")), counts)
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with their counts, base_failed, failed_rules (names) and kept."""
-    counted = base_counts(docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string")))
-    failed = F.array_compact(F.array(*[F.when(~F.expr(passes(r)), F.lit(r.name)) for r in rules]))
-    return counted.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    failed = ", ".join(f"CASE WHEN NOT {passes(r, 'c.')} THEN '{r.name}' END" for r in rules)
+    base = "c.n_words < 50 OR 100 * c.n_repeat_words > 50 * c.n_words"
+    verdict = f"transform(array(_counts), c -> named_struct('base_failed', {base}, 'failed_rules', array_compact(array({failed})), 'kept', NOT ({base}) AND {' AND '.join(passes(r, 'c.') for r in rules)}))[0]"
+    kept = [c for c in docs.columns if c not in {*COUNTS, "base_failed", "failed_rules", "kept"}]
+    judged = docs.select(*kept, base_counts(F.col("text"), lang).alias("_counts")).withColumn("_verdict", F.expr(verdict))
+    return judged.select(*kept, *[F.col(f"_counts.{c}").alias(c) for c in COUNTS], "_verdict.base_failed", "_verdict.failed_rules", "_verdict.kept")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
