@@ -28,6 +28,8 @@ repeat an id are judged by their own text. Extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -61,19 +63,21 @@ class Jaccard:
         """Least overlap of a set of n with any set it links to."""
         return (self.num * n + self.den - 1) // self.den
 
+    def band(self) -> float:
+        """Width, as a logarithm, of bands of sizes: sets that link are at most one apart."""
+        return max(1e-6, 1.001 * math.log(self.den / self.num))
+
 
 def fingerprints(docs: DataFrame, rule: Jaccard, id_column: str) -> DataFrame:
     """(doc_id, n, fp, counts): one row a document with its set's size and 128-bit digest; per task one row of sketch counts."""
 
     def run(batches):
-        import hashlib
-
         counts = np.zeros(COUNTERS, np.uint32)
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), rule.width)
                 counts += np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
-                fps = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                fps = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.nulls(len(sets), pa.binary())], ["doc_id", "n", "fp", "counts"]
                 )
@@ -82,6 +86,10 @@ def fingerprints(docs: DataFrame, rule: Jaccard, id_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, fp binary, counts binary")
 
 
+def digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def packed(counts: np.ndarray) -> bytes:
     return zlib.compress(np.minimum(counts, 0xFFFFFFFF).astype("<u4").tobytes(), 1)
 
@@ -118,7 +126,7 @@ def matches_wanted(frequency: np.ndarray, n: int, need: int) -> int:
 
 
 def prefixes(docs: DataFrame, rule: Jaccard, id_column: str, counts: np.ndarray) -> DataFrame:
-    """(doc_id, n, m, parity, tokens): a parity sketch and the first n - need + m tokens of every document's set in the global order."""
+    """(doc_id, n, fp, m, parity, tokens): a parity sketch and the first n - need + m tokens of every document's set in the global order."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)
     noise = float(counts.mean())
 
@@ -126,7 +134,7 @@ def prefixes(docs: DataFrame, rule: Jaccard, id_column: str, counts: np.ndarray)
         counts = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                ns, ms, tokens, parities = [], [], [], []
+                ns, fps, ms, tokens, parities = [], [], [], [], []
                 for s in shingle_sets(part.column("text"), rule.width):
                     n, m, first = len(s), 0, s[:0]
                     if n:
@@ -137,10 +145,10 @@ def prefixes(docs: DataFrame, rule: Jaccard, id_column: str, counts: np.ndarray)
                         order = order[:longest]
                         m = matches_wanted(np.maximum(seen[order] - noise, 0.0), n, need)
                         first = s[order[: n - need + m]]
-                    ns.append(n), ms.append(m), tokens.append(first.view(np.int64)), parities.append(parity_of(s))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ns, pa.int64()), pa.array(ms, pa.int32()), lists_of(parities), lists_of(tokens)], ["doc_id", "n", "m", "parity", "tokens"])
+                    ns.append(n), fps.append(digest(s)), ms.append(m), tokens.append(first.view(np.int64)), parities.append(parity_of(s))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ns, pa.int64()), pa.array(fps, pa.binary()), pa.array(ms, pa.int32()), lists_of(parities), lists_of(tokens)], ["doc_id", "n", "fp", "m", "parity", "tokens"])
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, m int, parity array<long>, tokens array<long>")
+    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n long, fp binary, m int, parity array<long>, tokens array<long>")
 
 
 def short_order(s: np.ndarray, seen: np.ndarray, k: int) -> np.ndarray:
@@ -206,14 +214,22 @@ def classes(spark: SparkSession, docs: DataFrame, rule: Jaccard = Jaccard(), id_
     found = work.put("found", fingerprints(docs, rule, id_column))
     counts = sketch(found)
     members = found.filter("counts is null").select("doc_id", "n", "fp")
-    reps = members.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    # only sets that occur more than once need a representative; written, their size is known and a join may broadcast them
+    copies = work.put("copies", members.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("fp", "rep"))
+    spare = work.put("spare", members.join(copies, "fp").filter("doc_id <> rep").select("doc_id", "fp").distinct())
 
-    first = prefixes(docs, rule, id_column, counts).filter("n > 0 and doc_id is not null")
-    first = work.put("first", first.join(reps.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), incompressible=True)
+    first = prefixes(docs, rule, id_column, counts).filter("n > 0 and doc_id is not null").join(spare, ["doc_id", "fp"], "left_anti")
+    first = work.put("first", first.select("doc_id", "n", "m", "parity", "tokens"), incompressible=True)
     light = first.select("doc_id", "n", "parity")
     postings = first.select("doc_id", "n", "m", F.posexplode("tokens").alias("pos", "token"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("n_docs"), F.min(F.struct("pos", "doc_id", "n")).alias("hub")).filter("n_docs > 1")
-    live = work.put("live", postings.join(lists, "token").select("token", "doc_id", "n", "m", "pos", "n_docs", "hub"), incompressible=True)
+    lists = postings.groupBy("token").agg(F.count("*").alias("n_docs")).filter("n_docs > 1")
+    some = postings.join(lists, "token").withColumn("band", F.floor(F.log("n") / rule.band()).cast("int"))
+    some = work.put("some", some.select("token", "band", "doc_id", "n", "m", "pos", "n_docs"), incompressible=True)
+    # a list is cut by size: links only join documents of the same band or of the next
+    counted = some.groupBy("token", "band").agg(F.count("*").alias("here"), F.min(F.struct("pos", "doc_id", "n")).alias("hub"))
+    around = beside(counted).groupBy("token", "band").agg(F.sum("here").alias("near"), F.min("hub").alias("hub")).filter("near > 1").drop("near")
+    live = work.put("live", some.join(around, ["token", "band"]), incompressible=True)
+    work.drop("some")
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     hub_n, hub_pos = F.col("hub.n"), F.col("hub.pos")
@@ -232,10 +248,15 @@ def classes(spark: SparkSession, docs: DataFrame, rule: Jaccard = Jaccard(), id_
     alone = whole.join(parts.select("node"), "node", "left_anti").select("node", "component")
     final = work.put("final", final.union(alone))
     work.drop("live", "first", "links", "more", "whole")
-    named = members.join(reps, "fp", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
+    named = members.join(copies, "fp", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(final.withColumnRenamed("node", "rep"), "rep", "left")
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
+def beside(lists: DataFrame) -> DataFrame:
+    """The lists of (token, band), each once more for the bands next to it."""
+    return lists.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+
+
 def contracted(more: DataFrame, parts: DataFrame) -> DataFrame:
     """The second round's links between the first round's classes."""
     name = lambda c: parts.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
@@ -246,10 +267,11 @@ def contracted(more: DataFrame, parts: DataFrame) -> DataFrame:
 def second_round(live: DataFrame, parts: DataFrame, rule: Jaccard) -> DataFrame:
     """Pairs (x, y) of different classes at their m-th shared prefix token, m being the smaller of the two."""
     part = live.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-    mixed = part.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
+    found = part.groupBy("token", "band").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    mixed = beside(found).groupBy("token", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("token", "band")
     # the tokens of a document that come before: as many as its prefix has at most
     own = live.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
-    rows = part.join(mixed, "token", "left_semi").join(own, "doc_id").select(
+    rows = part.join(mixed, ["token", "band"], "left_semi").join(own, "doc_id").select(
         "token", "doc_id", "n", "m", "pos", "part", F.ceil(F.col("n_docs") / BLOCK).cast("int").alias("blocks"), F.transform(F.filter("own", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"]).alias("before")
     )
     # long lists are cut in blocks: one side keeps its block, the other is sent to each
