@@ -1,17 +1,423 @@
-"""All queries of the mutation-testing workload, with a DuckDB oracle each where SQL can express one."""
+"""All queries of the mutation-testing workload, with a DuckDB oracle each where SQL can express one.
+
+The test tables play the workload's parts: line items are mutant rows (not unique,
+identified by order and line number), orders focal methods, parts operators,
+suppliers tests, return flags outcomes (R killed, A live, N excluded), conversations
+rounds, events provider calls, documents sources, labels coverage reports.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mutagrid.functions import convert, text
+from mutagrid.operators import aggregates, joins, lineage, ordering, rules, selection, sets
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query of (t, spark), t loading a table by name, with its oracle."""
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark)
+
+        run.__name__, run.__doc__ = f.__name__, f.__doc__
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return run
+
+    return register
+
+
+RATIO = "CASE WHEN {1} = 0 THEN NULL ELSE {0}::DOUBLE / {1} END"
+
+
+@query("""SELECT count(*) AS targets, count(l.doc_id) AS coverage_available_count, count(*) - count(l.doc_id) AS coverage_missing_count,
+  coalesce(sum(quality), 0)::BIGINT AS covered_line_count, coalesce(sum(1 - quality), 0)::BIGINT AS missed_line_count, coalesce(sum(toxic), 0)::BIGINT AS covered_branch_count,
+  coalesce(sum(1 - toxic), 0)::BIGINT AS missed_branch_count, sum(quality)::DOUBLE / count(quality) AS line_covered_ratio, sum(toxic)::DOUBLE / count(toxic) AS branch_covered_ratio
+  FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def coverage_micro(t, spark):
+    reports = t("labels").select("doc_id", F.col("quality").alias("covered_line_count"), (1 - F.col("quality")).alias("missed_line_count"), F.col("toxic").alias("covered_branch_count"), (1 - F.col("toxic")).alias("missed_branch_count"))
+    states = t("labels").select("doc_id", F.lit("DONE").alias("state"))
+    return aggregates.micro_coverage(joins.with_reports(t("documents").select("doc_id"), states, reports, "doc_id"))
+
+
+@query("""SELECT coalesce(state, 'MISSING') AS state, count(*) AS n, count(q) AS reports FROM (SELECT d.doc_id, CASE WHEN l.doc_id IS NOT NULL THEN CASE WHEN quality = 1 THEN 'DONE' ELSE 'FAILED' END END AS state, quality AS q
+  FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY 1""")
+def target_states(t, spark):
+    states = t("labels").select("doc_id", F.when(F.col("quality") == 1, "DONE").otherwise("FAILED").alias("state"))
+    rows = joins.with_reports(t("documents").select("doc_id"), states, t("labels").select("doc_id", "quality"), "doc_id")
+    return rows.groupBy("state").agg(F.count("*").alias("n"), F.count("quality").alias("reports"))
+
+
+@query("SELECT l_orderkey, count(*) AS mutant_rows, string_agg(l_linenumber, ',' ORDER BY l_linenumber) AS members FROM lineitem GROUP BY l_orderkey")
+def manifest_groups(t, spark):
+    return aggregates.method_groups(t("lineitem"), ["l_orderkey"], "l_linenumber").withColumn("members", F.array_join("members", ","))
+
+
+@query("SELECT count(*) AS mutant_rows, count(DISTINCT (l_orderkey, l_linenumber)) AS physical_mutants FROM lineitem")
+def physical_dedup(t, spark):
+    return aggregates.physical(t("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 ORDER BY min(l_shipdate), l_orderkey LIMIT 5)""")
+def first_n_methods(t, spark):
+    return ordering.first_n_groups(t("lineitem"), ["l_orderkey"], "l_shipdate", 5).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1")
+def first_passing(t, spark):
+    return ordering.first_passing(t("orders"), "o_custkey", "o_orderkey", F.col("o_orderstatus") == "F").select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def last_wins(t, spark):
+    return ordering.last_wins(t("orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@query("SELECT p_partkey, CASE WHEN row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey) > 1 THEN 'dedul_' || p_name ELSE p_name END AS p_name FROM part")
+def dup_rename(t, spark):
+    return ordering.renamed_duplicates(t("part"), ["p_brand"], "p_name", "p_partkey").select("p_partkey", "p_name")
+
+
+@query("SELECT p_partkey, p_type || '_' || row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_partkey) AS mutant_name FROM part")
+def mutant_numbers(t, spark):
+    return ordering.numbered(t("part"), ["p_brand"], "p_type", ["p_partkey"]).select("p_partkey", "mutant_name")
+
+
+@query("""SELECT b AS p_brand, count(l_orderkey) AS n FROM (SELECT 'Brand#' || i AS b FROM range(0, 30) r(i)) LEFT JOIN (SELECT p_brand, l_orderkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R') ON b = p_brand GROUP BY 1""")
+def operator_histogram(t, spark):
+    dimension = spark.range(30).select(F.concat(F.lit("Brand#"), F.col("id").cast("string")).alias("p_brand"))
+    rows = t("lineitem").filter("l_returnflag = 'R'").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    return aggregates.histogram(rows, "p_brand", dimension, "p_brand")
+
+
+@query("""SELECT count(*) FILTER (o_orderstatus = 'F') AS original_passed, count(*) FILTER (o_orderstatus IN ('O', 'P')) AS original_failed, count(*) FILTER (o_orderstatus = 'X') AS repair_limit_reached FROM orders""")
+def status_histogram(t, spark):
+    return aggregates.status_counts(t("orders"), "o_orderstatus", {"original_passed": ["F"], "original_failed": ["O", "P"], "repair_limit_reached": ["X"]})
+
+
+_KILLS = """SELECT l_orderkey AS target, l_linenumber AS mutant, p_brand, l_suppkey AS test, l_returnflag = 'R' AS failed, l_returnflag = 'N' AS infra, o_orderstatus <> 'P' AS admitted
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"""
+
+
+def _kills(t):
+    orders, part = t("orders").select("o_orderkey", "o_orderstatus"), t("part").select("p_partkey", "p_brand")
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag")
+    rows = rows.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return rows.select(F.col("l_orderkey").alias("target"), F.col("l_linenumber").alias("mutant"), "p_brand", F.col("l_suppkey").alias("test"), (F.col("l_returnflag") == "R").alias("failed"), (F.col("l_returnflag") == "N").alias("infra"), (F.col("o_orderstatus") != "P").alias("admitted"))
+
+
+@query(f"""WITH k AS (SELECT p_brand, target, mutant, bool_or(failed) AS killed, bool_or(infra) AS infra, bool_or(admitted) AS admitted FROM ({_KILLS}) GROUP BY 1, 2, 3)
+SELECT p_brand, count(*) FILTER (killed) AS killed, count(*) FILTER (admitted) AS executable, count(*) FILTER (NOT infra) AS end_to_end,
+  {RATIO.format('count(*) FILTER (killed)', 'count(*) FILTER (admitted)')} AS executable_score, {RATIO.format('count(*) FILTER (killed)', 'count(*) FILTER (NOT infra)')} AS end_to_end_score FROM k GROUP BY 1""")
+def mutation_score(t, spark):
+    return aggregates.mutation_scores(_kills(t), ["p_brand"], ["target", "mutant"], F.col("infra"))
+
+
+@query("""SELECT l_suppkey AS test, string_agg(DISTINCT l_partkey, ',' ORDER BY l_partkey) AS mutants FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""")
+def kill_index(t, spark):
+    rows = t("lineitem").select(F.col("l_suppkey").alias("test"), F.col("l_partkey").alias("mutant"), (F.col("l_returnflag") == "R").alias("failed"))
+    return aggregates.kill_index(rows, "test", "mutant")[0].withColumn("mutants", F.array_join("mutants", ","))
+
+
+@query("""SELECT l_partkey AS mutant, string_agg(DISTINCT l_suppkey, ',' ORDER BY l_suppkey) AS tests FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1""")
+def killers_index(t, spark):
+    rows = t("lineitem").select(F.col("l_suppkey").alias("test"), F.col("l_partkey").alias("mutant"), (F.col("l_returnflag") == "R").alias("failed"))
+    return aggregates.kill_index(rows, "test", "mutant")[1].withColumn("tests", F.array_join("tests", ","))
+
+
+@query("""SELECT l_partkey AS mutant, bool_or(l_returnflag = 'R') AS killed, arg_min(l_suppkey, l_suppkey) FILTER (l_returnflag = 'R') AS first_killer FROM lineitem GROUP BY 1""")
+def first_killer(t, spark):
+    rows = t("lineitem").select(F.col("l_suppkey").alias("test"), F.col("l_partkey").alias("mutant"), (F.col("l_returnflag") == "R").alias("failed"))
+    return aggregates.first_killer(rows, "mutant", "test", "test")
+
+
+@query("""SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem EXCEPT SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linestatus = 'F'""")
+def live_unused(t, spark):
+    keys = ["l_orderkey", "l_linenumber"]
+    rows = t("lineitem")
+    alive = sets.live(rows.select(*keys).distinct(), rows.filter("l_returnflag = 'R'"), None, keys)
+    return sets.unused(alive, rows.filter("l_linestatus = 'F'"), keys)
+
+
+@query("""SELECT event_type, sum(CASE WHEN local THEN 0 ELSE k END)::BIGINT AS cache_read_input_tokens, sum(CASE WHEN local THEN 0 ELSE 100 END)::BIGINT AS uncached_input_tokens, 0::BIGINT AS cache_write_input_tokens, 0::BIGINT AS reasoning_output_tokens,
+  sum(CASE WHEN local THEN 0 ELSE 100 + k END)::BIGINT AS total_tokens, count(*) FILTER (NOT local) AS api_requests, CASE WHEN sum(CASE WHEN local THEN 0 ELSE k + 100 END) = 0 THEN NULL ELSE sum(CASE WHEN local THEN 0 ELSE k END)::DOUBLE / sum(CASE WHEN local THEN 0 ELSE k + 100 END)::DOUBLE END AS cache_hit_rate
+  FROM (SELECT event_type, json_extract(props, '$.k')::BIGINT AS k, event_id % 7 = 0 AS local FROM events) GROUP BY 1""")
+def token_hit_rate(t, spark):
+    from mutagrid.schemas import USAGE
+
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    usage = F.from_json(F.to_json(F.struct((k + 100).alias("prompt_tokens"), k.alias("prompt_cache_hit_tokens"), F.lit(100).alias("prompt_cache_miss_tokens"))), USAGE)
+    rows = t("events").select("event_type", usage.alias("u"), (F.col("event_id") % 7 == 0).alias("local")).select("event_type", convert.usage_normal(F.col("u"), F.col("local")).alias("n")).select("event_type", "n.*")
+    return aggregates.token_totals(rows, ["event_type"])
+
+
+@query("""SELECT count(DISTINCT conv_id) AS targets, sum(length(text))::DOUBLE / count(DISTINCT conv_id) AS t_pre, sum(turn)::DOUBLE / count(DISTINCT conv_id) AS t_gen, count(*) FILTER (role = 'assistant')::DOUBLE / count(DISTINCT conv_id) AS r_avg,
+  sum(length(text) + turn)::BIGINT AS t_total, sum(length(text) + turn)::DOUBLE / count(DISTINCT conv_id) AS t_avg FROM conversations""")
+def efficiency_avg(t, spark):
+    stage = F.when(F.col("role") == "assistant", "mutap_syntax_repair").otherwise("mutap_initial")
+    rows = t("conversations").select("conv_id", F.length("text").cast("bigint").alias("prepare_millis"), F.col("turn").alias("generate_millis"), stage.alias("stage"))
+    return aggregates.efficiency(rows, "conv_id")
+
+
+@query("""SELECT count(*) AS invocations, coalesce(sum(e), 0)::BIGINT AS elapsed_millis, coalesce(sum(m), 0)::BIGINT AS mutant_executions FROM (SELECT o_custkey, o_orderkey, floor(o_totalprice)::BIGINT AS e, (o_orderkey % 400)::BIGINT AS m FROM orders) o
+  WHERE EXISTS (SELECT 1 FROM (SELECT o_custkey AS c, max(o_orderkey) AS k FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) p WHERE p.c = o.o_custkey AND p.k = o.o_orderkey)""")
+def published_only(t, spark):
+    runs = t("orders").select(F.col("o_custkey").alias("run_dir"), F.col("o_orderkey").alias("execution_id"), F.floor("o_totalprice").alias("elapsed_millis"), (F.col("o_orderkey") % 400).alias("mutants_executed"))
+    latest = t("orders").filter("o_orderstatus = 'F'").groupBy(F.col("o_custkey").alias("run_dir")).agg(F.max("o_orderkey").alias("execution_id"))
+    return aggregates.published_totals(runs, latest)
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'view' THEN 'MODEL_OUTPUT_TRUNCATED' WHEN event_type = 'signup' THEN 'MODEL_OUTPUT_INVALID' WHEN user_id % 3 = 0 THEN 'MUTATION_INFRASTRUCTURE_FAILED' WHEN event_type = 'error' THEN 'MODEL_PROVIDER_FAILED' ELSE 'PIPELINE_FAILED' END AS state FROM events""")
+def failure_class(t, spark):
+    kind = F.when(F.col("event_type") == "view", "ModelOutputTruncatedError").when(F.col("event_type") == "signup", "ModelOutputInvalidError").otherwise("Other")
+    message = F.when(F.col("event_type") == "error", "LLM API failed after 5").otherwise("x")
+    existing = F.when(F.col("user_id") % 3 == 0, "ORIGINAL_PASSED")
+    return t("events").select("event_id", selection.failure_state(kind, message, existing).alias("state"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN c.cov IS NOT NULL AND NOT c.cov THEN 'NO_COVERAGE' ELSE 'LIVE' END AS status FROM lineitem LEFT JOIN (SELECT p_partkey, p_size > 25 AS cov FROM part WHERE p_size % 5 <> 0) c ON l_partkey = p_partkey WHERE l_returnflag = 'A'""")
+def live_vs_nocov(t, spark):
+    cover = t("part").filter("p_size % 5 <> 0").select(F.col("p_partkey").alias("l_partkey"), (F.col("p_size") > 25).alias("covered"))
+    return joins.covered_lines(t("lineitem").filter("l_returnflag = 'A'"), cover, ["l_partkey"], "covered").select("l_orderkey", "l_linenumber", "l_partkey", "status")
+
+
+_TOKENS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z]+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH b AS (SELECT item_id, {_TOKENS.format('text')} AS x FROM benchmark), d AS (SELECT doc_id, {_TOKENS.format('text')} AS y FROM documents),
+bt AS (SELECT item_id, len(x) AS n, unnest(x) AS w FROM b), dt AS (SELECT doc_id, len(y) AS m, unnest(y) AS w FROM d),
+p AS (SELECT item_id, doc_id, count(*) AS c, any_value(n) AS n, any_value(m) AS m FROM bt JOIN dt USING (w) GROUP BY 1, 2), s AS (SELECT item_id, doc_id, c::DOUBLE / (n + m - c) AS similarity FROM p)
+SELECT item_id, doc_id, similarity, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id)::INTEGER AS rank FROM s WHERE similarity >= 0.2 QUALIFY rank <= 3""")
+def topk_similar(t, spark):
+    tokens = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z]+"), lambda x: x != ""))
+    left, right = t("benchmark").select("item_id", tokens("text").alias("tokens")), t("documents").select("doc_id", tokens("text").alias("tokens"))
+    return ordering.top_k(joins.token_jaccard(left, right, 0.2, "item_id", "doc_id"), "item_id", [F.desc("similarity"), F.col("doc_id")], 3)
+
+
+@query("""SELECT e.event_id, e.user_id, s.k AS line FROM events e ASOF LEFT JOIN (SELECT user_id, event_id AS start, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'signup') s ON e.user_id = s.user_id AND e.event_id >= s.start""")
+def asof_line(t, spark):
+    from pyspark.sql import Window
+
+    starts = t("events").filter("event_type = 'signup'").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint").alias("line"))
+    return joins.as_of(t("events").select("user_id", "event_id", "value"), starts, ["user_id"], "event_id", "line").select("event_id", "user_id", "line")
+
+
+@query("""WITH RECURSIVE e AS (SELECT 'c' || c_custkey AS child, 'n' || c_nationkey AS parent FROM customer UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+up AS (SELECT child AS node, parent AS ancestor, 1 AS distance FROM e UNION ALL SELECT up.node, e.parent, up.distance + 1 FROM up JOIN e ON up.ancestor = e.child) SELECT node, ancestor, min(distance)::INTEGER AS distance FROM up GROUP BY 1, 2""")
+def lineage_closure(t, spark):
+    c = t("customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("child"), F.concat(F.lit("n"), F.col("c_nationkey")).alias("parent"))
+    n = t("nation").select(F.concat(F.lit("n"), F.col("n_nationkey")), F.concat(F.lit("r"), F.col("n_regionkey")))
+    return lineage.ancestors(c.union(n))
+
+
+@query("SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey IN (1, 3)")
+def direct_children(t, spark):
+    edges = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent"))
+    return lineage.children(edges, t("region").filter("r_regionkey in (1, 3)").select(F.col("r_name").alias("type")))
+
+
+@query("""SELECT DISTINCT l_orderkey, l_partkey FROM lineitem c WHERE l_linestatus = 'O' AND EXISTS (SELECT 1 FROM lineitem p WHERE p.l_linestatus = 'F' AND p.l_partkey = c.l_partkey AND p.l_suppkey = c.l_suppkey)""")
+def hidden_members(t, spark):
+    rows = t("lineitem")
+    return joins.hiding_members(rows.filter("l_linestatus = 'O'"), rows.filter("l_linestatus = 'F'"), ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_partkey").distinct()
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'N' AND l_linestatus = 'O' AND l_quantity < 25)")
+def unreferenced_fields(t, spark):
+    refs = t("lineitem").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_returnflag") != "N").alias("shadowed"), F.when((F.col("l_linestatus") == "O") & (F.col("l_quantity") < 25), "run").otherwise("main").alias("method"))
+    return joins.unreferenced(t("part"), refs, ["p_partkey"]).select("p_partkey", "p_name")
+
+
+@query("SELECT o_orderkey, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P'")
+def call_trace(t, spark):
+    calls = t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment")
+    return joins.fan_out(calls, t("orders").filter("o_orderstatus = 'P'"), ["o_custkey"]).select("o_orderkey", "c_name", "c_mktsegment")
+
+
+@query("""SELECT a.s_suppkey AS repair, b.s_suppkey AS test FROM supplier a JOIN supplier b USING (s_nationkey) WHERE a.s_acctbal >= 5000""")
+def repairs_by_tests(t, spark):
+    s = t("supplier")
+    return joins.all_pairs(s.filter("s_acctbal >= 5000").select("s_nationkey", F.col("s_suppkey").alias("repair")), s.select("s_nationkey", F.col("s_suppkey").alias("test")), "s_nationkey").select("repair", "test")
+
+
+@query("SELECT typed, CASE WHEN n = 1 THEN one WHEN exact THEN typed END AS option, n FROM (SELECT typed, count(*) AS n, min(p_name) AS one, bool_or(p_name = typed) AS exact FROM (SELECT DISTINCT left(p_name, 5) AS typed FROM part) JOIN (SELECT DISTINCT p_name FROM part) ON starts_with(p_name, typed) GROUP BY 1)")
+def prefix_options(t, spark):
+    return joins.unique_prefix(t("part").select(F.left("p_name", F.lit(5)).alias("typed")).distinct(), t("part").select(F.col("p_name").alias("option")).distinct())
+
+
+@query("""WITH b AS (SELECT p_partkey AS box_id, p_partkey % 97 AS l, p_partkey % 89 AS t, p_partkey % 97 + p_size AS r, p_partkey % 89 + p_size AS b FROM part), q AS (SELECT * FROM b WHERE box_id % 50 = 0)
+SELECT q.box_id AS query_id, b.box_id FROM q JOIN b ON b.l >= q.l AND b.r <= q.r AND b.t >= q.t AND b.b <= q.b""")
+def boxes_inside(t, spark):
+    x, y, s = F.col("p_partkey") % 97, F.col("p_partkey") % 89, F.col("p_size")
+    boxes = t("part").select(F.col("p_partkey").alias("box_id"), x.alias("left"), y.alias("top"), (x + s).alias("right"), (y + s).alias("bottom"))
+    return joins.boxes_meeting(boxes, boxes.filter("box_id % 50 = 0").withColumnRenamed("box_id", "query_id"), 16.0, True)
+
+
+@query("""WITH b AS (SELECT p_partkey AS box_id, p_partkey % 97 AS l, p_partkey % 89 AS t, p_partkey % 97 + p_size AS r, p_partkey % 89 + p_size AS b FROM part), q AS (SELECT * FROM b WHERE box_id % 100 = 0)
+SELECT q.box_id AS query_id, b.box_id FROM q JOIN b ON b.l <= q.r AND q.l <= b.r AND b.t <= q.b AND q.t <= b.b""")
+def boxes_meeting(t, spark):
+    x, y, s = F.col("p_partkey") % 97, F.col("p_partkey") % 89, F.col("p_size")
+    boxes = t("part").select(F.col("p_partkey").alias("box_id"), x.alias("left"), y.alias("top"), (x + s).alias("right"), (y + s).alias("bottom"))
+    return joins.boxes_meeting(boxes, boxes.filter("box_id % 100 = 0").withColumnRenamed("box_id", "query_id"), 16.0, False)
+
+
+@query("""SELECT conv_id, turn, sum(n) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS known FROM (SELECT c.conv_id, c.turn, count(f.role) AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations) c
+  LEFT JOIN (SELECT conv_id, role, min(turn) AS turn FROM conversations GROUP BY 1, 2) f ON c.conv_id = f.conv_id AND c.turn = f.turn GROUP BY 1, 2)""")
+def accumulated_set(t, spark):
+    return ordering.accumulated(t("conversations"), "conv_id", "turn", "role")
+
+
+@query("""SELECT event_id, max(value) OVER w AS running_max, sum((value * 100)::BIGINT) OVER w::BIGINT AS running_sum, count(*) OVER w AS running_n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def running_max_sum(t, spark):
+    cents = t("events").withColumn("cents", F.round(F.col("value") * 100).cast("bigint"))
+    out = ordering.running(cents, "user_id", ["ts", "event_id"], "cents")
+    return out.select("event_id", (F.col("running_max") / 100).alias("running_max"), "running_sum", "running_n")
+
+
+@query("""SELECT event_id, (sum(c) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) - 1)::INTEGER AS row_no FROM (SELECT event_id, user_id, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS c FROM events)""")
+def row_break(t, spark):
+    return ordering.row_breaks(t("events"), "user_id", ["event_id"], "event_type").select("event_id", "row_no")
+
+
+@query("SELECT l_suppkey, l_partkey FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A') QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY (l_partkey * 1103515245 + 42 * 12345) % 2147483647, l_partkey) = 1")
+def seeded_pick(t, spark):
+    return ordering.seeded_pick(t("lineitem").filter("l_returnflag = 'A'").select("l_suppkey", "l_partkey").distinct(), "l_suppkey", "l_partkey", 42)
+
+
+@query("SELECT o_custkey, o_orderkey FROM orders WHERE o_custkey IN (SELECT DISTINCT o_custkey FROM orders ORDER BY 1 LIMIT 9) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 4")
+def quota(t, spark):
+    return ordering.quota(t("orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 4, 9)
+
+
+@query("SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY CASE WHEN n_name = (SELECT max(n_name) FROM nation) THEN -1 ELSE n_nationkey END)::INTEGER AS place FROM nation")
+def moved_first(t, spark):
+    last = t("nation").agg(F.max("n_name").alias("pick"))
+    rows = t("nation").crossJoin(F.broadcast(last)).withColumn("place", F.col("n_nationkey")).withColumn("is", F.when(F.col("n_name") == F.col("pick"), "x").otherwise(""))
+    return ordering.moved(rows, "n_regionkey", "place", "is", "x", "FIRST").select("n_regionkey", "n_nationkey", "place")
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line, regexp_replace(source, '[^A-Za-z0-9_$]+', '_', 'g') AS ident, lang || '.' || source AS name, lang AS package FROM documents""")
+def text_normalise(t, spark):
+    name = F.concat_ws(".", "lang", "source")
+    return t("documents").select("doc_id", text.one_line("text").alias("line"), text.safe_identifier("source").alias("ident"), name.alias("name"), text.package_name(name).alias("package"))
+
+
+@query("""SELECT doc_id, (k - 1)::INTEGER AS line_no, ltrim(line, ' ') AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM (SELECT doc_id, replace(text, 'The', 'assert The') AS text FROM documents)) WHERE starts_with(ltrim(line, ' '), 'assert') AND length(ltrim(line, ' ')) > 10""")
+def line_filter(t, spark):
+    rows = t("documents").select("doc_id", F.replace("text", F.lit("The"), F.lit("assert The")).alias("text"))
+    return selection.assert_lines(rows, "text")
+
+
+@query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href=')) AS links, length(html)::INTEGER AS size FROM pages")
+def html_scrape(t, spark):
+    from mutagrid.sources import readers
+
+    return t("pages").select("page_id", readers.tag_text("html", "title").alias("title"), F.regexp_count("html", F.lit("<a href=")).cast("bigint").alias("links"), F.length("html").alias("size"))
+
+
+@query(r"SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref FROM pages")
+def url_params(t, spark):
+    m = convert.url_map("url")
+    return t("pages").select("page_id", F.try_element_at(m, F.lit("page")).alias("page"), F.try_element_at(m, F.lit("ref")).alias("ref"))
+
+
+@query("""SELECT 'union' AS op, count(*) AS n FROM (SELECT l_partkey FROM lineitem UNION SELECT p_partkey FROM part) UNION ALL SELECT 'except_all', count(*) FROM (SELECT l_partkey FROM lineitem EXCEPT ALL SELECT p_partkey FROM part)
+  UNION ALL SELECT 'intersect_all', count(*) FROM (SELECT l_partkey FROM lineitem INTERSECT ALL SELECT l_suppkey FROM lineitem) UNION ALL SELECT 'intersect', count(*) FROM (SELECT l_partkey FROM lineitem INTERSECT SELECT p_partkey FROM part)""")
+def set_ops(t, spark):
+    a, b, s = t("lineitem").select("l_partkey"), t("part").select("p_partkey"), t("lineitem").select("l_suppkey")
+    named = {"union": a.union(b).distinct(), "except_all": sets.except_all(a, b), "intersect_all": sets.intersect_all(a, s), "intersect": a.intersect(b)}
+    parts = [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("op"), "n") for k, df in named.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
+_RULE_NODES = """(SELECT p_partkey AS node_id, ['&&', '||', '^', '<<', '>>', '>>>', '-', '+'][1 + p_size % 8] AS op, p_name AS text FROM part)"""
+
+
+@query(f"""SELECT node_id, r.rule, r.new FROM {_RULE_NODES} n JOIN (SELECT * FROM (VALUES ('COR', '&&', '||'), ('COR', '&&', '^'), ('COR', '||', '&&'), ('COR', '||', '^'), ('COR', '^', '&&'), ('COR', '^', '||'),
+  ('SOR', '<<', '>>'), ('SOR', '<<', '>>>'), ('SOR', '>>', '<<'), ('SOR', '>>', '>>>'), ('SOR', '>>>', '<<'), ('SOR', '>>>', '>>'), ('AORB', '-', '*'), ('AORB', '-', '/'), ('AORB', '-', '%'), ('AORB', '-', '+'), ('AORB', '+', '*'), ('AORB', '+', '/'), ('AORB', '+', '%'), ('AORB', '+', '-')) v(rule, op, new)) r ON n.op = r.op""")
+def rule_fanout(t, spark):
+    symbols = F.array(*[F.lit(s) for s in ("&&", "||", "^", "<<", ">>", ">>>", "-", "+")])
+    op = F.get(symbols, F.col("p_size") % 8)
+    kind = F.when(op.isin("&&", "||", "^"), "boolean").otherwise("int")
+    nodes = t("part").select(F.col("p_partkey").alias("node_id"), F.lit("Binary").alias("kind"), op.alias("operator"), kind.alias("lhs_type"), kind.alias("rhs_type"), F.col("p_name").alias("text"))
+    return rules.replacements(nodes, ["COR", "SOR", "AORB"]).select("node_id", "rule", F.col("replacement").alias("new"))
+
+
+@query(None)
+def greedy_minimise(t, spark):
+    rows = t("lineitem").select(F.col("l_orderkey").alias("target"), F.col("l_suppkey").alias("test"), F.col("l_linenumber").alias("mutant"), (F.col("l_returnflag") == "R").alias("failed"))
+    return aggregates.greedy_suites(rows, "target", "test", "mutant")
+
+
+@query("""SELECT vec_id, len(list_filter(embedding, lambda x: x > 0)) AS positives, list_max(embedding)::DOUBLE AS top, len(list_filter(embedding, lambda x: x < embedding[1])) AS below_first, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), 6) AS norm2 FROM embeddings""")
+def array_fns(t, spark):
+    e = F.col("embedding")
+    return t("embeddings").select(
+        "vec_id", F.size(F.filter(e, lambda x: x > 0)).cast("bigint").alias("positives"), F.array_max(e).cast("double").alias("top"), ordering.lower_position(e, F.get(e, F.lit(0))).cast("bigint").alias("below_first"),
+        F.round(F.aggregate(e, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")), 6).alias("norm2"),
+    )
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_linenumber)::BIGINT AS lines FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
+def rollup_totals(t, spark):
+    return t("lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("lines"))
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS merged FROM conversations WHERE role = 'user' GROUP BY 1")
+def merged_asserts(t, spark):
+    return aggregates.merged_text(t("conversations").filter("role = 'user'"), "conv_id", "text", "turn")
+
+
+@query("SELECT count(*) FILTER (o_orderstatus = 'F') AS passed, count(*) FILTER (o_orderstatus = 'O') AS failed, count(*) FILTER (o_orderstatus = 'F')::DOUBLE / (count(*) - 1) AS pass_rate FROM orders")
+def repair_pass_rate(t, spark):
+    return aggregates.pass_rate(t("orders").select(F.when(F.col("o_orderstatus") == "F", "pass").when(F.col("o_orderstatus") == "O", "fail").alias("status")))
+
+
+@query("SELECT DISTINCT n_name AS class, s_name AS depends_on FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey AND s_acctbal > 8000")
+def dependency_edges(t, spark):
+    names = t("supplier").filter("s_acctbal > 8000").groupBy("s_nationkey").agg(F.collect_list("s_name").alias("names"))
+    classes = t("nation").join(names, F.col("n_nationkey") == F.col("s_nationkey"), "left").select(F.col("n_name").alias("class"), "names")
+    return aggregates.dependency_sets(classes, "class", "names")
+
+
+@query("SELECT event_type, least(20.0, min(value) FILTER (event_id % 16 = 3 AND user_id > 10))::DOUBLE AS bound FROM events GROUP BY 1")
+def support_bound(t, spark):
+    pmf = F.collect_list(F.struct(F.col("value").alias("key"), (F.col("user_id") - 10).alias("value"), (F.col("event_id") % 16).alias("bucket")))
+    return t("events").groupBy("event_type").agg(pmf.alias("pmf")).select("event_type", aggregates.lower_bound(F.col("pmf"), F.lit(20.0), lambda x: x["bucket"] == 3).alias("bound"))
+
+
+@query("SELECT user_id, max(event_id % 11) + 1 AS rows, max(event_id % 7) + 1 AS cols FROM events GROUP BY 1")
+def table_extents(t, spark):
+    return aggregates.extents(t("events").select("user_id", (F.col("event_id") % 11).alias("row"), (F.col("event_id") % 7).alias("col")), "user_id")
+
+
+@query("""SELECT conv_id, max(turn) AS last_turn, count(*) FILTER (role = 'user') AS asked, count(*) FILTER (role = 'user') = 0 AS finished FROM conversations GROUP BY 1""")
+def round_limits(t, spark):
+    rows = t("conversations").select("conv_id", "turn", (F.col("role") != "user").alias("killed"), F.lit(False).alias("used"))
+    done = selection.finished_targets(rows, "conv_id")
+    return rows.groupBy("conv_id").agg(F.max("turn").alias("last_turn"), F.count_if(~F.col("killed")).alias("asked")).join(done, "conv_id")
+
+
+@query("SELECT event_id FROM events WHERE value > 90 OR (event_id % 600) IN (408, 409, 425, 429) OR (event_id % 600) BETWEEN 500 AND 599")
+def retried_calls(t, spark):
+    return t("events").filter(selection.retried((F.col("event_id") % 600).cast("int"), F.col("value") > 90)).select("event_id")
+
 
-def coverage_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").withColumn("reported", F.lit(True))
-    both = docs.join(labels, "doc_id", "left")
-    return both.agg(F.count("*").alias("targets"), F.count_if("reported").alias("available"), F.sum("quality").cast("long").alias("covered"))
+@query("SELECT p_partkey, lpad(md5(p_name), 32, '0') AS file, p_type || ' => ' || p_name AS change, p_type AS before, p_name AS after FROM part")
+def change_text(t, spark):
+    change = F.concat(F.col("p_type"), F.lit(" => "), F.col("p_name"))
+    return t("part").select("p_partkey", F.md5(F.col("p_name").cast("binary")).alias("file"), change.alias("change"), text.change_parts(change).alias("x")).select("p_partkey", "file", "change", "x.before", "x.after")
 
 
-QUERIES = {"coverage_micro": coverage_micro}
-ORACLES = {"coverage_micro": "SELECT count(*) AS targets, count(l.doc_id) AS available, sum(quality)::BIGINT AS covered FROM documents LEFT JOIN labels l USING (doc_id)"}
+@query("SELECT o_orderpriority, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS done FROM orders GROUP BY CUBE (o_orderpriority)")
+def cube_totals(t, spark):
+    return t("orders").cube("o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("done"))
