@@ -7,8 +7,8 @@ whose overlap must reach ``need`` share at least m tokens among their first
 ``n - need + m`` ones. A document takes the m (1 to ``MATCHES``) that costs least:
 the tokens it adds to the index against the candidates it leaves, estimated from
 the sketch; a pair is verified only if it shares as many prefix tokens as the
-smaller m of the two. The pair is made at its m-th shared token and nowhere else,
-if the positions there leave room for the needed overlap.
+smaller m of the two. With m over 1 the pair is made at its m-th shared token and
+nowhere else; always the positions must leave room for the needed overlap.
 
 Sets that are equal are one representative from the start. A group of near
 copies would still give pairs by the square of its size, so candidates come in
@@ -216,9 +216,9 @@ def classes(spark: SparkSession, docs: DataFrame, rule: Jaccard = Jaccard(), id_
     members = found.filter("counts is null").select("doc_id", "n", "fp")
     # only sets that occur more than once need a representative; written, their size is known and a join may broadcast them
     copies = work.put("copies", members.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("fp", "rep"))
-    spare = work.put("spare", members.join(copies, "fp").filter("doc_id <> rep").select("doc_id", "fp").distinct())
+    spare = work.put("spare", members.join(copies, "fp").filter("doc_id <> rep").select("doc_id", F.hash("fp").alias("mark")).distinct())
 
-    first = prefixes(docs, rule, id_column, counts).filter("n > 0 and doc_id is not null").join(spare, ["doc_id", "fp"], "left_anti")
+    first = prefixes(docs, rule, id_column, counts).filter("n > 0 and doc_id is not null").withColumn("mark", F.hash("fp")).join(spare, ["doc_id", "mark"], "left_anti")
     first = work.put("first", first.select("doc_id", "n", "m", "parity", "tokens"), incompressible=True)
     light = first.select("doc_id", "n", "parity")
     postings = first.select("doc_id", "n", "m", F.posexplode("tokens").alias("pos", "token"))
@@ -226,9 +226,11 @@ def classes(spark: SparkSession, docs: DataFrame, rule: Jaccard = Jaccard(), id_
     some = postings.join(lists, "token").withColumn("band", F.floor(F.log("n") / rule.band()).cast("int"))
     some = work.put("some", some.select("token", "band", "doc_id", "n", "m", "pos", "n_docs"), incompressible=True)
     # a list is cut by size: links only join documents of the same band or of the next
-    counted = some.groupBy("token", "band").agg(F.count("*").alias("here"), F.min(F.struct("pos", "doc_id", "n")).alias("hub"))
-    around = beside(counted).groupBy("token", "band").agg(F.sum("here").alias("near"), F.min("hub").alias("hub")).filter("near > 1").drop("near")
-    live = work.put("live", some.join(around, ["token", "band"]), incompressible=True)
+    counted = some.groupBy("token", "band").agg(F.count("*").alias("here"), F.min("n").alias("least_n"), F.min(F.struct("pos", "doc_id", "n")).alias("hub"))
+    around = beside(counted).groupBy("token", "band").agg(F.sum("here").alias("near"), F.min("least_n").alias("least_n"), F.min("hub").alias("hub")).filter("near > 1").drop("near")
+    # a token far behind in a document's prefix only leaves room for links to smaller sets: some must be in the list
+    fits = may_reach(rule, F.col("m") + F.col("n") - F.col("pos") - 1, F.col("n"), F.col("least_n"))
+    live = work.put("live", some.join(around, ["token", "band"]).filter(fits).drop("least_n"), incompressible=True)
     work.drop("some")
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -269,11 +271,13 @@ def second_round(live: DataFrame, parts: DataFrame, rule: Jaccard) -> DataFrame:
     part = live.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
     found = part.groupBy("token", "band").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     mixed = beside(found).groupBy("token", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("token", "band")
-    # the tokens of a document that come before: as many as its prefix has at most
-    own = live.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
-    rows = part.join(mixed, ["token", "band"], "left_semi").join(own, "doc_id").select(
-        "token", "doc_id", "n", "m", "pos", "part", F.ceil(F.col("n_docs") / BLOCK).cast("int").alias("blocks"), F.transform(F.filter("own", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"]).alias("before")
-    )
+    rows = part.join(mixed, ["token", "band"], "left_semi").withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK).cast("int"))
+    # the tokens that come before in a document of several matches: as many as its prefix has at most
+    own = live.filter("m > 1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
+    before = F.transform(F.filter("own", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
+    names = ["token", "doc_id", "n", "m", "pos", "part", "blocks"]
+    one = rows.filter("m = 1").select(*names, F.lit(None).cast("array<long>").alias("before"))
+    rows = one.unionByName(rows.filter("m > 1").join(own, "doc_id").select(*names, before.alias("before")))
     # long lists are cut in blocks: one side keeps its block, the other is sent to each
     left = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     right = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -287,11 +291,9 @@ def second_round(live: DataFrame, parts: DataFrame, rule: Jaccard) -> DataFrame:
         & (F.col("x_doc_id") < F.col("y_doc_id"))
         & (F.col("x_part") != F.col("y_part"))
         & may_reach(rule, F.least("x_n", "y_n", room), F.col("x_n"), F.col("y_n"))
-        & (F.size("x_before") >= wanted - 1)
-        & (F.size("y_before") >= wanted - 1)
-        & (F.size(F.array_intersect("x_before", "y_before")) == wanted - 1)
+        & ((wanted == 1) | (F.size(F.array_intersect("x_before", "y_before")) == wanted - 1))
     )
-    return x.join(y, met).select(F.col("x_doc_id").alias("x"), F.col("y_doc_id").alias("y"))
+    return x.join(y, met).select(F.col("x_doc_id").alias("x"), F.col("y_doc_id").alias("y")).distinct()
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
