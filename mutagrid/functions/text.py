@@ -16,17 +16,22 @@ def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(x) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c(x), r"^\s+|\s+$", "")
+
+
 def null_to_empty(x) -> Column:
     return F.coalesce(c(x), F.lit(""))
 
 
 def one_line(x) -> Column:
     """White space collapsed to single blanks, ends trimmed; null is empty."""
-    return F.trim(F.regexp_replace(null_to_empty(x), r"\s+", " "))
+    return strip(F.regexp_replace(null_to_empty(x), r"\s+", " "))
 
 
 def blank_to_null(x) -> Column:
-    return F.nullif(F.trim(c(x)), F.lit(""))
+    return F.nullif(strip(c(x)), F.lit(""))
 
 
 def require_non_blank(x, name: str) -> Column:
@@ -50,8 +55,8 @@ def manifest_class_name(x) -> Column:
 
 def safe_identifier(x) -> Column:
     """Runs of other characters become _; a blank is Mutant; a first character that no name may begin with gets M_."""
-    clean = F.regexp_replace(F.trim(null_to_empty(x)), r"[^A-Za-z0-9_$]+", "_")
-    return F.when(F.trim(null_to_empty(x)) == "", F.lit("Mutant")).when(clean.rlike("^[0-9]"), F.concat(F.lit("M_"), clean)).otherwise(clean)
+    clean = F.regexp_replace(strip(null_to_empty(x)), r"[^A-Za-z0-9_$]+", "_")
+    return F.when(strip(null_to_empty(x)) == "", F.lit("Mutant")).when(clean.rlike("^[0-9]"), F.concat(F.lit("M_"), clean)).otherwise(clean)
 
 
 def simple_name(x) -> Column:
@@ -83,11 +88,11 @@ def normal_path(x) -> Column:
 def path_or_empty(x, root: str = "/") -> Column:
     """Blank stays empty; a relative path is placed under root."""
     absolute = F.when(F.startswith(c(x), F.lit("/")), c(x)).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), c(x)))
-    return F.when(F.trim(null_to_empty(x)) == "", F.lit("")).otherwise(normal_path(absolute))
+    return F.when(strip(null_to_empty(x)) == "", F.lit("")).otherwise(normal_path(absolute))
 
 
 def strip_long_path(x) -> Column:
-    raw = F.trim(c(x))
+    raw = strip(c(x))
     out = raw
     for prefix, instead in LONG_PATHS[::-1]:
         out = F.when(F.startswith(raw, F.lit(prefix)), F.concat(F.lit(instead), F.substr(raw, F.lit(len(prefix) + 1)))).otherwise(out)
@@ -100,7 +105,7 @@ def path_for_json(x) -> Column:
 
 def signature_of(source) -> Column:
     """What stands before the first brace."""
-    return F.trim(F.substring_index(c(source), "{", 1))
+    return strip(F.substring_index(c(source), "{", 1))
 
 
 def indented(x, levels: int = 1) -> Column:
@@ -121,7 +126,7 @@ def without_last_def(x) -> Column:
 
 def import_block(x) -> Column:
     """The leading lines before the first def."""
-    return F.trim(F.substring_index(c(x), "def ", 1))
+    return strip(F.substring_index(c(x), "def ", 1))
 
 
 def filled(template, marker: str, code) -> Column:
@@ -167,8 +172,8 @@ def imports_of(x) -> Column:
 
 def test_method(x) -> Column:
     """The method text of an answer: code of the fence without imports, from @Test on; @Test is added where missing."""
-    code = F.trim(F.regexp_replace(fenced_code(x), r"(?m)^\s*import\s+[^;]+;\s*$", ""))
-    return F.when(code.contains("@Test"), F.concat(F.lit("@Test"), F.rtrim(F.substr(code, F.instr(code, "@Test") + 5)))).otherwise(F.concat(F.lit("@Test\n"), code))
+    code = strip(F.regexp_replace(fenced_code(x), r"(?m)^\s*import\s+[^;]+;\s*$", ""))
+    return F.when(code.contains("@Test"), F.substr(code, F.instr(code, "@Test"))).otherwise(F.concat(F.lit("@Test\n"), code))
 
 
 def renamed_class(source, name: str) -> Column:
@@ -187,7 +192,7 @@ def hashed_file_name(x, suffix: str = "") -> Column:
 def change_parts(x) -> Column:
     """(before, after) of "a => b" or "a --> b", trimmed."""
     parts = F.split(c(x), r"\s*(?:=>|-->)\s*", 2)
-    return F.struct(F.trim(F.get(parts, F.lit(0))).alias("before"), F.trim(F.get(parts, F.lit(1))).alias("after"))
+    return F.struct(strip(F.get(parts, F.lit(0))).alias("before"), strip(F.get(parts, F.lit(1))).alias("after"))
 
 
 def option_name(x) -> Column:

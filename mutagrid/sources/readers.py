@@ -58,12 +58,13 @@ def target_files(spark: SparkSession, batch_dir: str, schema: StructType | str,
 def pickles(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Records of pickle files that the user trusts: a mapping or a list of mappings in each."""
 
+    names = (StructType.fromDDL(schema) if isinstance(schema, str) else schema).names
+
     def rows(batches):
         import pickle
 
         import pandas as pd
 
-        names = [f.name for f in (StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields]
         for pdf in batches:
             for raw in pdf["content"]:
                 found = pickle.loads(raw)
