@@ -250,10 +250,10 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("ids"), decoded(codec, [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()])], ["key", "ids", "decoded"])
 
     short = rows.filter(~is_long).select(*others, "_text").mapInArrow(run, schema)
-    longs = rows.filter(is_long).withColumn("key", F.sha2("_text", 256))
-    once = longs.groupBy("key").agg(F.first("_text").alias("text"))
-    answers = encode_long(once, path).mapInArrow(decode, "key string, ids binary, decoded string")
-    both = short.unionByName(longs.join(answers, "key").select(*others, "_text", "ids", "decoded"))
+    longs = rows.filter(is_long).withColumn("_key", F.sha2("_text", 256))
+    once = longs.groupBy(F.col("_key").alias("key")).agg(F.first("_text").alias("text"))
+    answers = encode_long(once, path).mapInArrow(decode, "key string, ids binary, decoded string").withColumnRenamed("key", "_key")
+    both = short.unionByName(longs.join(answers, "_key").select(*others, "_text", "ids", "decoded"))
     n_tokens = F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens")
     return both.select(*[F.col("_text").alias(c) if c == text else F.col(c) for c in kept], "ids", n_tokens, "decoded")
 

@@ -305,7 +305,7 @@ NEAR = Jaccard(5, 80, 100)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near duplicates the document of the smallest id stays (once), and all without words."""
+    """Pipeline stage: of each class of near duplicates the document of the smallest id stays, with all rows that repeat that id; so do all without words or id."""
     found = Workspace(spark, "near").put("classes", classes(spark, docs, NEAR))
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -65,12 +65,12 @@ def copies(docs: DataFrame, rates_: DataFrame, id_column: str = "doc_id", seed:
     """Every document once per copy, with copy (from 0) and the hashed key of its place."""
     # means above 500 are split into equal parts with numbers of their own: e^-rate would vanish
     parts = F.ceil(F.greatest(F.col("rate"), F.lit(1.0)) / 500).cast("int")
-    steps = rates_.filter("rate > 0").withColumn("parts", parts).withColumn("steps", poisson_steps(F.col("rate") / F.col("parts"))).select(F.col("source").alias("_source"), "parts", "steps")
+    steps = rates_.filter("rate > 0").withColumn("_parts", parts).withColumn("_steps", poisson_steps(F.col("rate") / F.col("_parts"))).select(F.col("source").alias("_source"), "_parts", "_steps")
     ident = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
-    draw = lambda part: F.size(F.filter("steps", lambda c: c <= hash_unit(F.lit(seed), part, ident)))
-    joined = docs.drop("copy", "_key").join(steps, docs["source"].eqNullSafe(F.col("_source")))
-    number = F.aggregate(F.sequence(F.lit(1), F.col("parts")), F.lit(0), lambda acc, part: acc + draw(part))
-    counted = joined.withColumn("_n", number).filter("_n > 0").drop("_source", "parts", "steps")
+    draw = lambda part: F.size(F.filter("_steps", lambda c: c <= hash_unit(F.lit(seed), part, ident)))
+    joined = docs.drop("copy", "position", "_key").join(steps, docs["source"].eqNullSafe(F.col("_source")))
+    number = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda acc, part: acc + draw(part))
+    counted = joined.withColumn("_n", number).filter("_n > 0").drop("_source", "_parts", "_steps")
     out = counted.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n")
     return out.withColumn("_key", F.md5(F.concat_ws(":", F.lit("place"), F.lit(seed), ident, F.col("copy"))))
 

@@ -44,13 +44,13 @@ NAMES = re.compile(r"\b(" + "|".join(COUNTS) + r")\b")
 LANGS = tuple(STOP_WORDS)
 RULES = (
     Rule("words_most", "n_words", most=1_000_000),
-    Rule("mean_word_length", "word_chars / n_words", 2.0, 14.0),
-    Rule("symbols_per_word", "n_symbols / n_words", most=0.1),
+    Rule("mean_word_length", "word_chars / nullif(n_words, 0)", 2.0, 14.0),
+    Rule("symbols_per_word", "n_symbols / nullif(n_words, 0)", most=0.1),
     Rule("stop_words", "n_stop_words", least=2, langs=LANGS),
-    Rule("stop_word_share", "n_stop_words / n_words", least=0.03, langs=LANGS),
-    Rule("dup_line_share", "n_dup_lines / n_lines", most=0.5),
-    Rule("bullet_line_share", "n_bullet_lines / n_lines", most=0.9),
-    Rule("ellipsis_line_share", "n_ellipsis_lines / n_lines", most=0.3),
+    Rule("stop_word_share", "n_stop_words / nullif(n_words, 0)", least=0.03, langs=LANGS),
+    Rule("dup_line_share", "n_dup_lines / nullif(n_lines, 0)", most=0.5),
+    Rule("bullet_line_share", "n_bullet_lines / nullif(n_lines, 0)", most=0.9),
+    Rule("ellipsis_line_share", "n_ellipsis_lines / nullif(n_lines, 0)", most=0.3),
 )
 
 

@@ -164,9 +164,9 @@ def redact(text: Column, rules: tuple[SecretRule, ...] = RULES, mark: str = "[SE
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays; what the ledger found in its blob is replaced by a mark."""
     _, findings = scan_versions(spark, docs)
-    flagged = findings.select("blob_id").distinct().withColumn("_found", F.lit(True))
+    flagged = findings.select(F.col("blob_id").alias("_blob")).distinct().withColumn("_found", F.lit(True))
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("blob_id", F.unhex(F.sha2(text, 256))).join(flagged, "blob_id", "left")
+    marked = docs.withColumn("_blob", F.unhex(F.sha2(text, 256))).join(flagged, "_blob", "left")
     clean = F.when(F.col("_found"), redact(text)).otherwise(F.col("text"))
     out = marked.withColumn("text", clean)
     if "n_chars" in docs.columns:
