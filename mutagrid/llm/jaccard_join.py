@@ -29,13 +29,12 @@ repeat an id are judged by their own text. Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mutagrid.llm.common import Workspace, shingle_sets, slices, table
@@ -63,10 +62,6 @@ class Jaccard:
         """Least overlap of a set of n with any set it links to."""
         return (self.num * n + self.den - 1) // self.den
 
-    def band(self) -> float:
-        """Width, as a logarithm, of bands of sizes: sets that link are at most one apart."""
-        return max(1e-6, 1.001 * math.log(self.den / self.num))
-
 
 def fingerprints(docs: DataFrame, rule: Jaccard, id_column: str) -> DataFrame:
     """(doc_id, n, fp, counts): one row a document with its set's size and 128-bit digest; per task one row of sketch counts."""
@@ -218,20 +213,11 @@ def classes(spark: SparkSession, docs: DataFrame, rule: Jaccard = Jaccard(), id_
     copies = work.put("copies", members.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").select("fp", "rep"))
     spare = work.put("spare", members.join(copies, "fp").filter("doc_id <> rep").select("doc_id", F.hash("fp").alias("mark")).distinct())
 
-    first = prefixes(docs, rule, id_column, counts).filter("n > 0 and doc_id is not null").withColumn("mark", F.hash("fp")).join(spare, ["doc_id", "mark"], "left_anti")
+    first = prefixes(docs, rule, id_column, counts).filter("n > 0 and doc_id is not null").withColumn("mark", F.hash("fp")).join(spare.hint("merge"), ["doc_id", "mark"], "left_anti")
     first = work.put("first", first.select("doc_id", "n", "m", "parity", "tokens"), incompressible=True)
     light = first.select("doc_id", "n", "parity")
     postings = first.select("doc_id", "n", "m", F.posexplode("tokens").alias("pos", "token"))
-    lists = postings.groupBy("token").agg(F.count("*").alias("n_docs")).filter("n_docs > 1")
-    some = postings.join(lists, "token").withColumn("band", F.floor(F.log("n") / rule.band()).cast("int"))
-    some = work.put("some", some.select("token", "band", "doc_id", "n", "m", "pos", "n_docs"), incompressible=True)
-    # a list is cut by size: links only join documents of the same band or of the next
-    counted = some.groupBy("token", "band").agg(F.count("*").alias("here"), F.min("n").alias("least_n"), F.min(F.struct("pos", "doc_id", "n")).alias("hub"))
-    around = beside(counted).groupBy("token", "band").agg(F.sum("here").alias("near"), F.min("least_n").alias("least_n"), F.min("hub").alias("hub")).filter("near > 1").drop("near")
-    # a token far behind in a document's prefix only leaves room for links to smaller sets: some must be in the list
-    fits = may_reach(rule, F.col("m") + F.col("n") - F.col("pos") - 1, F.col("n"), F.col("least_n"))
-    live = work.put("live", some.join(around, ["token", "band"]).filter(fits).drop("least_n"), incompressible=True)
-    work.drop("some")
+    live = work.put("live", with_lists(postings, rule), incompressible=True)
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     hub_n, hub_pos = F.col("hub.n"), F.col("hub.pos")
@@ -254,9 +240,21 @@ def classes(spark: SparkSession, docs: DataFrame, rule: Jaccard = Jaccard(), id_
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
 
 
-def beside(lists: DataFrame) -> DataFrame:
-    """The lists of (token, band), each once more for the bands next to it."""
-    return lists.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+def with_lists(postings: DataFrame, rule: Jaccard) -> DataFrame:
+    """The postings whose token's list leaves them a link, with the list's length and hub; one shuffle, spilling lists of any length.
+
+    Two documents are checked as the pair that they are. In a longer list a token
+    far behind in a prefix only leaves room for links to smaller sets, so the list
+    must hold some.
+    """
+    whole = Window.partitionBy("token")
+    seen = postings.withColumns({
+        "n_docs": F.count("*").over(whole), "least_n": F.min("n").over(whole), "most_n": F.max("n").over(whole), "least_room": F.min(F.col("n") - F.col("pos")).over(whole), "hub": F.min(F.struct("pos", "doc_id", "n")).over(whole),
+    }).filter("n_docs > 1")
+    pair = may_reach(rule, F.least("least_n", F.col("m") + F.col("least_room") - 1), F.col("least_n"), F.col("most_n"))
+    smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * rule.num / rule.den - 1e-9))
+    some = may_reach(rule, F.col("m") + F.col("n") - F.col("pos") - 1, F.col("n"), smallest)
+    return seen.filter(F.when(F.col("n_docs") == 2, pair).otherwise(some)).select("token", "doc_id", "n", "m", "pos", "n_docs", "hub")
 
 
 def contracted(more: DataFrame, parts: DataFrame) -> DataFrame:
@@ -269,9 +267,8 @@ def contracted(more: DataFrame, parts: DataFrame) -> DataFrame:
 def second_round(live: DataFrame, parts: DataFrame, rule: Jaccard) -> DataFrame:
     """Pairs (x, y) of different classes at their m-th shared prefix token, m being the smaller of the two."""
     part = live.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
-    found = part.groupBy("token", "band").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-    mixed = beside(found).groupBy("token", "band").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low < high").select("token", "band")
-    rows = part.join(mixed, ["token", "band"], "left_semi").withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK).cast("int"))
+    mixed = part.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
+    rows = part.join(mixed, "token", "left_semi").withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK).cast("int"))
     # the tokens that come before in a document of several matches: as many as its prefix has at most
     own = live.filter("m > 1").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "token"))).alias("own"))
     before = F.transform(F.filter("own", lambda x: x["pos"] < F.col("pos")), lambda x: x["token"])
