@@ -254,20 +254,20 @@ def prefix_options(t, spark):
     return joins.unique_prefix(t("part").select(F.left("p_name", F.lit(5)).alias("typed")).distinct(), t("part").select(F.col("p_name").alias("option")).distinct())
 
 
-@query("""WITH b AS (SELECT p_partkey AS box_id, p_partkey % 97 AS l, p_partkey % 89 AS t, p_partkey % 97 + p_size AS r, p_partkey % 89 + p_size AS b FROM part), q AS (SELECT * FROM b WHERE box_id % 50 = 0)
+@query("""WITH b AS (SELECT p_partkey AS box_id, p_partkey % 97 AS l, p_partkey % 89 AS t, p_partkey % 97 + p_size AS r, p_partkey % 89 + p_size AS b FROM part), q AS (SELECT b.* FROM b JOIN part ON box_id = p_partkey WHERE p_brand = 'Brand#7')
 SELECT q.box_id AS query_id, b.box_id FROM q JOIN b ON b.l >= q.l AND b.r <= q.r AND b.t >= q.t AND b.b <= q.b""")
 def boxes_inside(t, spark):
     x, y, s = F.col("p_partkey") % 97, F.col("p_partkey") % 89, F.col("p_size")
-    boxes = t("part").select(F.col("p_partkey").alias("box_id"), x.alias("left"), y.alias("top"), (x + s).alias("right"), (y + s).alias("bottom"))
-    return joins.boxes_meeting(boxes, boxes.filter("box_id % 50 = 0").withColumnRenamed("box_id", "query_id"), 16.0, True)
+    boxes = t("part").select("p_brand", F.col("p_partkey").alias("box_id"), x.alias("left"), y.alias("top"), (x + s).alias("right"), (y + s).alias("bottom"))
+    return joins.boxes_meeting(boxes.drop("p_brand"), boxes.filter("p_brand = 'Brand#7'").drop("p_brand").withColumnRenamed("box_id", "query_id"), 16.0, True)
 
 
-@query("""WITH b AS (SELECT p_partkey AS box_id, p_partkey % 97 AS l, p_partkey % 89 AS t, p_partkey % 97 + p_size AS r, p_partkey % 89 + p_size AS b FROM part), q AS (SELECT * FROM b WHERE box_id % 100 = 0)
+@query("""WITH b AS (SELECT p_partkey AS box_id, p_partkey % 97 AS l, p_partkey % 89 AS t, p_partkey % 97 + p_size AS r, p_partkey % 89 + p_size AS b FROM part), q AS (SELECT b.* FROM b JOIN part ON box_id = p_partkey WHERE p_brand = 'Brand#9')
 SELECT q.box_id AS query_id, b.box_id FROM q JOIN b ON b.l <= q.r AND q.l <= b.r AND b.t <= q.b AND q.t <= b.b""")
 def boxes_meeting(t, spark):
     x, y, s = F.col("p_partkey") % 97, F.col("p_partkey") % 89, F.col("p_size")
-    boxes = t("part").select(F.col("p_partkey").alias("box_id"), x.alias("left"), y.alias("top"), (x + s).alias("right"), (y + s).alias("bottom"))
-    return joins.boxes_meeting(boxes, boxes.filter("box_id % 100 = 0").withColumnRenamed("box_id", "query_id"), 16.0, False)
+    boxes = t("part").select("p_brand", F.col("p_partkey").alias("box_id"), x.alias("left"), y.alias("top"), (x + s).alias("right"), (y + s).alias("bottom"))
+    return joins.boxes_meeting(boxes.drop("p_brand"), boxes.filter("p_brand = 'Brand#9'").drop("p_brand").withColumnRenamed("box_id", "query_id"), 16.0, False)
 
 
 @query("""SELECT conv_id, turn, sum(n) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS known FROM (SELECT c.conv_id, c.turn, count(f.role) AS n FROM (SELECT DISTINCT conv_id, turn FROM conversations) c
