@@ -352,7 +352,12 @@ def rule_fanout(t, spark):
     return rules.replacements(nodes, ["COR", "SOR", "AORB"]).select("node_id", "rule", F.col("replacement").alias("new"))
 
 
-@query(None)
+@query("""WITH RECURSIVE t AS (SELECT l_orderkey::VARCHAR AS target, l_suppkey::VARCHAR AS test, list(DISTINCT l_linenumber::VARCHAR) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY len(m) DESC, test) AS k FROM t),
+f AS (SELECT target, test, k, m AS killed, 1 AS kept, len(m) AS gain FROM r WHERE k = 1 UNION ALL
+  SELECT target, test, k, list_concat(killed, fresh), kept + CASE WHEN len(fresh) > 0 THEN 1 ELSE 0 END, len(fresh) FROM
+  (SELECT r.target, r.test, r.k, f.killed, f.kept, list_filter(r.m, lambda x: NOT list_contains(f.killed, x)) AS fresh FROM f JOIN r ON r.target = f.target AND r.k = f.k + 1))
+SELECT target, test, (kept - 1)::INTEGER AS ordinal, gain::INTEGER AS gain FROM f WHERE gain > 0""")
 def greedy_minimise(t, spark):
     rows = t("lineitem").select(F.col("l_orderkey").alias("target"), F.col("l_suppkey").alias("test"), F.col("l_linenumber").alias("mutant"), (F.col("l_returnflag") == "R").alias("failed"))
     return aggregates.greedy_suites(rows, "target", "test", "mutant")
