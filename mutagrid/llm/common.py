@@ -70,7 +70,7 @@ def extended(schema: StructType, **columns: str) -> StructType:
     return StructType([*schema.fields, *more.fields])
 
 
-def slices(batch: pa.RecordBatch, column: str, budget: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20):
     """Cut a batch so that each piece holds about ``budget`` bytes of text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)

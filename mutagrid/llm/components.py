@@ -29,7 +29,7 @@ def connected_components(spark: SparkSession, edges: DataFrame, work: Workspace,
         work.drop(f"{name}-{k - 1}")
         sign = tuple(new.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         now = new
-        if sign == before:
+        if sign == before or not sign[0]:
             break
         before = sign
     else:

@@ -221,7 +221,7 @@ def classes(spark: SparkSession, docs: DataFrame, rule: Jaccard = Jaccard(), id_
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     hub_n, hub_pos = F.col("hub.n"), F.col("hub.pos")
-    room = 1 + F.least(F.col("n") - F.col("pos"), hub_n - hub_pos) - 1
+    room = F.col("m") + F.least(F.col("n") - F.col("pos"), hub_n - hub_pos) - 1
     to_hub = live.filter("doc_id <> hub.doc_id").filter(may_reach(rule, F.least(F.col("n"), hub_n, room), F.col("n"), hub_n))
     to_hub = to_hub.select(F.col("hub.doc_id").alias("x"), F.col("doc_id").alias("y")).distinct()
     links = verified(work.put("near-hub", near(to_hub, light, rule)), texts, rule, work, "links")
@@ -265,8 +265,11 @@ def contracted(more: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def second_round(live: DataFrame, parts: DataFrame, rule: Jaccard) -> DataFrame:
-    """Pairs (x, y) of different classes at their m-th shared prefix token, m being the smaller of the two."""
-    part = live.join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+    """Pairs (x, y) of different classes at their m-th shared prefix token, m being the smaller of the two.
+
+    A list of two is no more than a document and its hub: that pair was checked in the first round.
+    """
+    part = live.filter("n_docs > 2").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
     mixed = part.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
     rows = part.join(mixed, "token", "left_semi").withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK).cast("int"))
     # the tokens that come before in a document of several matches: as many as its prefix has at most
