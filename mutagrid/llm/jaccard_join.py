@@ -193,9 +193,13 @@ def near(pairs: DataFrame, light: DataFrame, rule: Jaccard) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Jaccard, work: Workspace, name: str) -> DataFrame:
-    """The pairs (x, y) whose sets really link, as (a, b); only their documents' texts are tokenised again."""
+    """The pairs (x, y) whose sets really link, as (a, b); only their documents' texts are tokenised again.
+
+    The documents of pairs grow with the corpus, so the texts meet them in a merge
+    join at every size.
+    """
     wanted = work.put(f"{name}-ids", pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    sets = work.put(f"{name}-sets", full_sets(texts.join(wanted, "doc_id", "left_semi"), rule), incompressible=True)
+    sets = work.put(f"{name}-sets", full_sets(texts.join(wanted.hint("merge") if name == "links" else wanted, "doc_id", "left_semi"), rule), incompressible=True)
     full = pairs.join(side(sets, "x"), "x").join(side(sets, "y"), "y")
     common = F.size(F.array_intersect("x_tokens", "y_tokens"))
     links = work.put(name, full.filter(may_reach(rule, common, F.col("x_n"), F.col("y_n"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
