@@ -195,8 +195,8 @@ def near(pairs: DataFrame, light: DataFrame, rule: Jaccard) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, rule: Jaccard, work: Workspace, name: str) -> DataFrame:
     """The pairs (x, y) whose sets really link, as (a, b); only their documents' texts are tokenised again.
 
-    The documents of pairs grow with the corpus, so the texts meet them in a merge
-    join at every size.
+    The documents of the first round's pairs grow with the corpus, so the texts
+    meet their ids in a merge join at every size.
     """
     wanted = work.put(f"{name}-ids", pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
     sets = work.put(f"{name}-sets", full_sets(texts.join(wanted.hint("merge") if name == "links" else wanted, "doc_id", "left_semi"), rule), incompressible=True)
@@ -231,7 +231,7 @@ def classes(spark: SparkSession, docs: DataFrame, rule: Jaccard = Jaccard(), id_
     links = verified(work.put("near-hub", near(to_hub, light, rule)), texts, rule, work, "links")
     parts = work.put("parts", connected_components(spark, links, work, "hubs"))
 
-    across = work.put("near-across", near(second_round(live, parts, rule), light, rule))
+    across = work.put("near-across", near(second_round(live, parts, rule, work), light, rule))
     more = verified(across, texts, rule, work, "more")
     joined = contracted(more, parts)
     whole = work.put("whole", connected_components(spark, joined, work, "all"))
@@ -268,12 +268,14 @@ def contracted(more: DataFrame, parts: DataFrame) -> DataFrame:
     return both.select(F.coalesce("a_class", "a").alias("a"), F.coalesce("b_class", "b").alias("b"))
 
 
-def second_round(live: DataFrame, parts: DataFrame, rule: Jaccard) -> DataFrame:
+def second_round(live: DataFrame, parts: DataFrame, rule: Jaccard, work: Workspace) -> DataFrame:
     """Pairs (x, y) of different classes at their m-th shared prefix token, m being the smaller of the two.
 
     A list of two is no more than a document and its hub: that pair was checked in the first round.
     """
     part = live.filter("n_docs > 2").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id"))
+    # read three times below: joined once
+    part = work.put("part", part.select("token", "doc_id", "n", "m", "pos", "n_docs", "part"), incompressible=True)
     mixed = part.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("token")
     rows = part.join(mixed, "token", "left_semi").withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK).cast("int"))
     # the tokens that come before in a document of several matches: as many as its prefix has at most
