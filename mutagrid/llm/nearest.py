@@ -6,8 +6,9 @@ signed axis. A query looks into the ``PROBES`` nearest axes of every table, and
 all candidates there are ranked by the exact inner product of the original
 vectors in double precision.
 
-Where norms differ, candidates get one more coordinate that makes all norms
-equal (the query's is 0), so the largest inner product stays the nearest one.
+An axis only tells a vector's direction. Where norms differ, a long vector may be
+an answer at any angle, so the ``POOL`` longest candidates are searched without
+hashing; so are all candidates of a table that has no more than ``POOL``.
 Equal vectors are one candidate that stands for its smallest ids: no more than
 k + 1 of them can ever be answers. A bucket is searched in blocks of ``BLOCK``
 candidates and ``QUERY_BLOCK`` queries, so no task holds a whole hot bucket, and
@@ -32,6 +33,8 @@ from mutagrid.llm.common import Workspace, table
 #: Recall against brute force on the embeddings tables: 0.98 of 500 vectors, over 0.998 of 10,000 and 50,000.
 TABLES, PROBES, SEED = 8, 24, 11
 BLOCK, QUERY_BLOCK = 2048, 512
+#: Candidates searched without hashing.
+POOL = 4096
 
 
 def rotated(x: np.ndarray, t: int) -> np.ndarray:
@@ -75,22 +78,20 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def widened(x: np.ndarray, norm: float | None, candidate: bool) -> np.ndarray:
-    if norm is None:
-        return x
-    rest = np.sqrt(np.maximum(norm * norm - (x * x).sum(1), 0)) if candidate else np.zeros(len(x))
-    return np.concatenate([x, rest[:, None]], axis=1)
+def probes_for(d: int) -> int:
+    """The probes of d dimensions: the same part of the axes above 64 dimensions as there."""
+    return PROBES * max(1, (1 << max(0, d - 1).bit_length()) // 64)
 
 
-def filed(rows: DataFrame, id_column: str, probes: int, norm: float | None) -> DataFrame:
+def filed(rows: DataFrame, id_column: str, asks: bool) -> DataFrame:
     """(id, v, bucket) of (id, v): a row for each table and probe."""
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 4096):
                 part = batch.slice(start, 4096)
-                x = widened(matrix(part.column("v")), norm, probes == 1)
-                found = np.concatenate([axes(x, t, probes) + t * 4 * x.shape[1] for t in range(TABLES)], axis=1)
+                x = matrix(part.column("v"))
+                found = np.concatenate([axes(x, t, probes_for(x.shape[1]) if asks else 1) + t * 4 * x.shape[1] for t in range(TABLES)], axis=1)
                 spot = pa.array(np.repeat(np.arange(len(x)), found.shape[1]))
                 yield pa.RecordBatch.from_arrays([part.column(id_column).take(spot), part.column("v").take(spot), pa.array(found.ravel().astype(np.int32))], [id_column, "v", "bucket"])
 
@@ -119,12 +120,26 @@ def best_of(k: int):
     return run
 
 
+def met(asked: DataFrame, found: DataFrame, k: int, work: Workspace, name: str) -> DataFrame:
+    """(query_id, rep) of the k best, and a few more, that each query (query_id, v, bucket) meets among the candidates (rep, v, bucket)."""
+    n_found = work.put(f"{name}-found", found.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    n_asked = work.put(f"{name}-asked", asked.groupBy("bucket").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks")))
+    counts = F.broadcast(n_found.join(n_asked, "bucket"))  # one row a bucket: tables x twice the dimension
+    salt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    found = found.join(counts, "bucket").withColumn("block", salt("rep", "blocks")).withColumn("query_block", each("query_blocks"))
+    asked = asked.join(counts, "bucket").withColumn("query_block", salt("query_id", "query_blocks")).withColumn("block", each("blocks"))
+    keys = ["bucket", "block", "query_block"]
+    near = asked.select("query_id", "v", *keys).groupBy(*keys).cogroup(found.select("rep", "v", *keys).groupBy(*keys)).applyInArrow(best_of(k), "query_id long, rep long, score double")
+    # the same pair may come from several tables: kept once
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+    return near.groupBy("query_id", "rep").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 4).select("query_id", "rep")
+
+
 def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that ``is_query`` (a column of vec_id) picks."""
     work = Workspace(spark, "nearest")
     rows = work.put("rows", usable(vectors), incompressible=True)
-    norms = rows.select(F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x)).alias("n")).agg(F.min("n"), F.max("n")).first()
-    norm = norms[1] if norms[1] is not None and norms[0] < norms[1] * (1 - 1e-6) else None
     # equal vectors are one; all members stay, each with its rank by id
     digest = F.sha2(F.to_json(F.struct("v")), 256)
     keyed = rows.select("vec_id", "v", digest.alias("same"))
@@ -132,25 +147,28 @@ def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20) -> Da
     members = keyed.select("vec_id", "same").join(reps.select("same", "rep"), "same").select("vec_id", "rep")
     firsts = smallest(members, k + 1)
 
-    found = filed(reps, "rep", 1, norm)
-    asked = filed(rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "v"), "query_id", PROBES, norm)
-    n_found = work.put("n_found", found.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    n_asked = work.put("n_asked", asked.groupBy("bucket").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("query_blocks")))
-    counts = F.broadcast(n_found.join(n_asked, "bucket"))  # one row a bucket: tables x twice the dimension
-    salt = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    found = found.join(counts, "bucket").withColumn("block", salt("rep", "blocks")).withColumn("query_block", each("query_blocks"))
-    asked = asked.join(counts, "bucket").withColumn("query_block", salt("query_id", "query_blocks")).withColumn("block", each("blocks"))
-    keys = ["bucket", "block", "query_block"]
-    near = asked.select("query_id", "v", *keys).groupBy(*keys).cogroup(found.select("rep", "v", *keys).groupBy(*keys)).applyInArrow(best_of(k), "query_id long, rep long, score double")
-    # the same pair may come from several tables: kept once, and scored once more in one fixed order of additions
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
-    near = near.groupBy("query_id", "rep").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 4).select("query_id", "rep")
-    pairs = near.join(reps.select("rep", F.col("v").alias("c")), "rep").join(rows.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
-    score = F.aggregate(F.zip_with("q", "c", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
-    full = pairs.select("query_id", "rep", score.alias("score")).join(firsts, "rep").filter("vec_id <> query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return full.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x * x))
+    size = reps.agg(F.count("*").alias("n"), F.min(length).alias("least"), F.max(length).alias("most")).first()
+    queries = rows.filter(is_query).select(F.col("vec_id").alias("query_id"), "v")
+    whole = lambda df: df.withColumns({"v": F.col("v").cast("array<float>"), "bucket": F.lit(-1)})
+    if size.n <= POOL:
+        asked, found = whole(queries), whole(reps.select("rep", "v"))
+    elif size.least < size.most * (1 - 1e-6):
+        pool = work.put("pool", reps.orderBy(length.desc(), "rep").limit(POOL).select("rep", "v"), incompressible=True)
+        rest = reps.join(F.broadcast(pool.select("rep")), "rep", "left_anti")
+        asked, found = filed(queries, "query_id", True).union(whole(queries)), filed(rest, "rep", False).union(whole(pool))
+    else:
+        asked, found = filed(queries, "query_id", True), filed(reps, "rep", False)
+
+    def ranked(near: DataFrame) -> DataFrame:
+        """Scored once more, in one fixed order of additions."""
+        pairs = near.join(reps.select("rep", F.col("v").alias("c")), "rep").join(queries.withColumnRenamed("v", "q"), "query_id")
+        score = F.aggregate(F.zip_with("q", "c", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + x)
+        full = pairs.select("query_id", "rep", score.alias("score")).join(firsts, "rep").filter("vec_id <> query_id")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return full.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    return ranked(met(asked, found, k, work, "probed"))
 
 
 def smallest(members: DataFrame, n: int) -> DataFrame:

@@ -164,6 +164,21 @@ def test_odd_vectors(spark, monkeypatch):
     assert nearest.search(spark, df.limit(0), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("sigma, longest", [(1.0, 1), (0.0, 5), (0.0, 100)])
+def test_recall_where_norms_differ(spark, monkeypatch, sigma, longest):
+    monkeypatch.setattr(nearest, "POOL", 200, raising=False)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))
+    x *= rng.lognormal(0, sigma, (3000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= longest
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = defaultdict(set)
+    for r in nearest.search(spark, spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    want = exact(vectors, range(0, 3000, 50), 20)
+    assert sum(len({i for i, _ in want[q]} & got[q]) for q in want) / sum(map(len, want.values())) >= 0.95
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 12))
     assert np.allclose((nearest.rotated(x, 3) ** 2).sum(1), (x**2).sum(1)) and nearest.axes(x, 0, 3).shape == (5, 3)
