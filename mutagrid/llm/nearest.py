@@ -18,7 +18,8 @@ candidates.
 Defined results: vectors that are null, zero, of another length than most, or
 hold null or non-finite components take no part. Ties go to the smaller id. Ids
 should be unique; rows with a null id take no part. Extra columns are ignored.
-Fewer candidates than k are all returned if the probes meet them.
+A query that has met fewer than k vectors, or than there are, is searched again
+exactly, against all candidates.
 """
 
 from __future__ import annotations
@@ -168,7 +169,14 @@ def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20) -> Da
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return full.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    return ranked(met(asked, found, k, work, "probed"))
+    answers = work.put("answers", ranked(met(asked, found, k, work, "probed")))
+    least = min(k, rows.count() - 1)
+    done = answers.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("query_id")
+    short = work.put("short", queries.join(done, "query_id", "left_anti"), incompressible=True)
+    if least < 1 or short.isEmpty():
+        return answers
+    again = ranked(met(whole(short), whole(reps.select("rep", "v")), k, work, "exact"))
+    return answers.join(done, "query_id", "left_semi").unionByName(again)
 
 
 def smallest(members: DataFrame, n: int) -> DataFrame:

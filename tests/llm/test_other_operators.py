@@ -179,6 +179,17 @@ def test_recall_where_norms_differ(spark, monkeypatch, sigma, longest):
     assert sum(len({i for i, _ in want[q]} & got[q]) for q in want) / sum(map(len, want.values())) >= 0.95
 
 
+@pytest.mark.parametrize("n, pool", [(5, 4096), (21, 4096), (15, 0), (21, 0)])
+def test_no_query_is_left_short(spark, monkeypatch, n, pool):
+    monkeypatch.setattr(nearest, "POOL", pool, raising=False)
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    vectors = [(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))]
+    got = defaultdict(list)
+    for r in nearest.search(spark, spark.createDataFrame(vectors, "vec_id long, embedding array<double>"), F.lit(True)).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert got == {q: [i for i, _ in found] for q, found in exact(vectors, range(n), 20).items()}
+
+
 def test_rotation_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 12))
     assert np.allclose((nearest.rotated(x, 3) ** 2).sum(1), (x**2).sum(1)) and nearest.axes(x, 0, 3).shape == (5, 3)
