@@ -145,32 +145,49 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("path").alias("doc_id"), *counts, F.coalesce("base_sha256", F.lit(EMPTY_SHA)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-def without(text: Column, rule: SecretRule, mark: str) -> Column:
-    """The text with the holding matches of one rule replaced."""
-    pattern = F.lit(rule.pattern)
-    matches = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(0)), F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda m, part: F.when(F.length(part) >= rule.least, F.lit(mark)).otherwise(m))
-    parts = F.zip_with(F.split(text, rule.pattern, -1), matches, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit(""))))
-    return F.when(occurs(text, rule), F.array_join(parts, "")).otherwise(text)
+def spans_of(text: Column, rule: SecretRule) -> Column:
+    """Array of (start, end) of the holding matches of one rule."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
+
+    def step(acc, x):
+        begin = acc["at"] + x["gap"]
+        span = F.array(F.struct(begin.alias("start"), (begin + x["n"]).alias("end")))
+        return F.struct((begin + x["n"]).alias("at"), F.when(x["holds"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    # the text behind the last match has no match of its own
+    matches = F.filter(lengths(text, rule), lambda x: x["n"].isNotNull())
+    return F.aggregate(matches, start, step, lambda acc: acc["spans"])
+
+
+def cut(text: Column, spans: Column, mark: str) -> Column:
+    """The text with the union of the spans (start, end) replaced: ``mark`` stands for each run of spans that overlap."""
+    nothing = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc, x):
+        at, start, end = acc["at"], x["start"].cast("int"), x["end"].cast("int")
+        fresh = F.concat(acc["out"], F.substring(text, at + 1, start - at), F.lit(mark))
+        # spans come by start: one that begins within what is cut prolongs the cut
+        return F.struct(F.greatest(at, end).alias("at"), F.when((start < at), acc["out"]).otherwise(fresh).alias("out"))
+
+    return F.aggregate(F.array_sort(spans), nothing, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def redact(text: Column, rules: tuple[SecretRule, ...] = RULES, mark: str = "[SECRET]") -> Column:
-    """The text with every holding match of every rule replaced by ``mark``; a rule sees what the ones before it left."""
-    once = lambda value, rule: F.get(F.transform(F.array(value), lambda t: without(t, rule, mark)), F.lit(0))
-    for rule in rules:
-        text = once(text, rule)
-    return text
+    """The text without the spans of any rule; every rule sees the text as it was."""
+    nothing = F.array().cast("array<struct<start:int,end:int>>")
+    return cut(text, F.flatten(F.array(*[F.when(occurs(text, r), spans_of(text, r)).otherwise(nothing) for r in rules])), mark)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document stays; what the ledger found in its blob is replaced by a mark."""
     _, findings = scan_versions(spark, docs)
-    flagged = findings.select(F.col("blob_id").alias("_blob")).distinct().withColumn("_found", F.lit(True))
+    flagged = findings.groupBy(F.col("blob_id").alias("_blob")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
     text = F.coalesce(F.col("text"), F.lit(""))
     marked = docs.withColumn("_blob", F.unhex(F.sha2(text, 256))).join(flagged, "_blob", "left")
-    clean = F.when(F.col("_found"), redact(text)).otherwise(F.col("text"))
+    clean = F.when(F.col("_spans").isNotNull(), cut(text, F.col("_spans"), "[SECRET]")).otherwise(F.col("text"))
     out = marked.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_found"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
