@@ -311,10 +311,24 @@ NEAR = Jaccard(5, 80, 100)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class of near duplicates the document of the smallest id stays, with all rows that repeat that id; so do all without words or id."""
-    found = Workspace(spark, "near").put("classes", classes(spark, docs, NEAR))
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each class of near duplicates the document of the smallest id stays; so do all without words.
+
+    A document is an id and its text: of texts that repeat an id each is judged by itself, and of rows that
+    repeat both one stays. Documents without an id come after all others.
+    """
+    work = Workspace(spark, "near")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
+        found = work.put("classes", classes(spark, docs, NEAR))
+        gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # numbers in the order of the ids, one for each id and text
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_text": F.coalesce(F.sha2("text", 256), F.lit(""))})
+    order = keyed.select("doc_id", "_id", "_text").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "_text")
+    numbers = work.put("numbers", order.select("_id", "_text", F.monotonically_increasing_id().alias("_no")))
+    single = work.put("single", keyed.join(numbers, ["_id", "_text"]).dropDuplicates(["_no"]).select("_no", *docs.columns))
+    found = work.put("classes", classes(spark, single.select("_no", "text"), NEAR, "_no"))
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_no"))
+    return single.join(gone, "_no", "left_anti").select(*docs.columns)
 
 
 SQL = r"""WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),

@@ -216,6 +216,13 @@ def test_pipeline_stages(spark, sf_dir, odd_docs):
     assert tokens.exceptAll(mixed).count() == 0
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text, "a"), (5, text, "a"), (5, "another text of its own that no other row holds here", "b"), (6, "twice the same words in one row and its copy", "c"), (6, "twice the same words in one row and its copy", "c"), (None, text, "d"), (None, "only without an id and with words enough", "e"), (7, None, "f"), (None, None, "g")]
+    got = jaccard_join.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    assert sorted(r.source for r in got) == ["a", "b", "c", "e", "f", "g"] and {r.doc_id for r in got if r.source == "a"} == {1}
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
