@@ -63,6 +63,24 @@ def test_urls(spark):
     assert url_filter.judge(spark, pages.limit(0)).count() == 0
 
 
+def test_targets_are_resolved_and_all_tags_read(spark):
+    rows = [
+        ("http://a.com/fr/1", '<link rel=canonical href="/en/7">', "http://a.com/en/7"), ("https://a.com/x/y?q=1", "<meta http-equiv=refresh content='0;url=../login?u=http://z.org/'>", "https://a.com/login?u=http://z.org/"), ("http://a.com", '<link rel="alternate canonical" href="//b.net/de/8">', "http://b.net/de/8"),
+        ("http://a.com/p/q", '<link rel="canonical" href="./r/../s#top">', "http://a.com/p/s"), ("http://a.com/p?x", '<link rel="canonical" href="?y">', "http://a.com/p?y"), ("http://a.com/w", '<base href="/b/"><link rel=canonical href=c>', "http://a.com/b/c"),
+        ("http://a.com/m", '<link rel="stylesheet" href="/s"><link rel=canonical href="mailto:a@b"><link rel="x-canonical" href="/n">', None), ("http://a.com/self", '<link rel=canonical href="#x">', None), ("http://a.com/up", '<link rel=canonical href="../../..">', "http://a.com/"),
+    ]
+    pages = spark.createDataFrame([(u, h) for u, h, _ in rows], "url string, html string")
+    assert sorted(map(tuple, url_filter.linked(pages).collect())) == sorted((url_filter_node(u), t) for u, _, t in rows if t)
+    two = spark.createDataFrame([("http://a.com/t", "<link rel=canonical href=/1><link rel=canonical href=/2><meta http-equiv=refresh content='0;url=/3'><meta http-equiv=refresh content='0;url=/4'>")], "url string, html string")
+    assert {r.b for r in url_filter.linked(two).collect()} == {f"http://a.com/{i}" for i in (1, 2, 3, 4)}
+    page = spark.createDataFrame([(1, "http://x.com/fr/1", '<link rel=canonical href="/en/9">')], "page_id long, url string, html string")
+    assert url_filter.judge(spark, page).first().verdict == "block"
+
+
+def url_filter_node(url):
+    return url + "/" if url.count("/") == 2 else url
+
+
 def test_redirect_chains(spark):
     pages = spark.createDataFrame([(i, f"http://h{i}.org/p", None) for i in range(12)], "page_id long, url string, html string")
     hops = spark.createDataFrame([(f"http://h{i}.org/p", f"http://h{i + 1}.org/p") for i in range(9)] + [("http://h9.org/p", "http://z.org/es/1"), (None, "http://h11.org/p")], "source string, target string")
