@@ -12,12 +12,17 @@ def children(edges: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def ancestors(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """(node, ancestor, distance) of every node, by a recursive query bounded in depth, so a cycle ends too."""
+    """(node, ancestor, distance) of every node, by a recursive query bounded in depth, so a cycle ends too.
+
+    A hierarchy that is deeper than ``depth`` is an error.
+    """
     spark = edges.sparkSession
     edges.select(F.col("child").cast("string"), F.col("parent").cast("string")).createOrReplaceTempView("mutagrid_edges")
-    return spark.sql(f"""
+    found = spark.sql(f"""
         WITH RECURSIVE up(node, ancestor, distance) AS (
             SELECT child, parent, 1 FROM mutagrid_edges
             UNION ALL
-            SELECT up.node, e.parent, up.distance + 1 FROM up JOIN mutagrid_edges e ON up.ancestor = e.child WHERE up.distance < {depth}
+            SELECT up.node, e.parent, up.distance + 1 FROM up JOIN mutagrid_edges e ON up.ancestor = e.child WHERE up.distance <= {depth}
         ) SELECT node, ancestor, min(distance) AS distance FROM up GROUP BY node, ancestor""")
+    # one level beyond the bound is looked at: a pair that is met only there shows that more would follow
+    return found.filter(F.when(F.col("distance") > depth, F.raise_error(F.lit(f"a hierarchy is deeper than {depth}")).cast("boolean")).otherwise(True))
