@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +24,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one where that is unset and everything runs on one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/mutagrid-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+def unused(columns, *names: str) -> list[str]:
+    """The names, with underscores before those that the columns have already, in whatever case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Workspace:
     """Intermediate tables of one run, written as Parquet in the shared folder.
 
@@ -58,10 +73,63 @@ class Workspace:
         self.spark._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            removed(self.spark, self.paths.pop(name))
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Arrays that one task adds up, when those of all tasks are added in a tree.
+FAN_IN = 32
+
+
+def packed(array: np.ndarray) -> bytes:
+    return zlib.compress(array.tobytes(), 1)
+
+
+def total(rows: DataFrame, column: str, kind: str, size: int, n: int, combine=np.add) -> np.ndarray:
+    """The arrays of ``size`` numbers, packed in a binary column of about ``n`` rows, combined into one.
+
+    Executors combine ``FAN_IN`` of them at a time until so many are left at most: neither
+    a task nor the driver reads an amount that grows with the input.
+    """
+
+    def combined(raws) -> np.ndarray:
+        out = np.zeros(size, kind)
+        for raw in raws:
+            combine(out, np.frombuffer(zlib.decompress(raw), kind), out=out)
+        return out
+
+    def run(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([packed(combined(x.as_py() for batch in batches for x in batch.column(column)))], pa.binary())], [column])
+
+    rows = rows.select(column)
+    while n > FAN_IN:
+        n = -(-n // FAN_IN)
+        rows = rows.repartition(n).mapInArrow(run, f"{column} binary")
+    return combined(bytes(r[0]) for r in rows.toLocalIterator())
+
+
+def groups(batches, keys: list[str]):
+    """(key, rows) of each run of equal whole-number keys in sorted batches, as one table a run."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        place = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in keys], axis=1)
+        edges = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            key = tuple(place[a].tolist())
+            if key != now and held:
+                yield now, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = key
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held).combine_chunks()
 
 
 def extended(schema: StructType, **columns: str) -> StructType:
@@ -70,7 +138,7 @@ def extended(schema: StructType, **columns: str) -> StructType:
     return StructType([*schema.fields, *more.fields])
 
 
-def slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, budget: int = 2 << 20):
     """Cut a batch so that each piece holds about ``budget`` bytes of text (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(sizes)
