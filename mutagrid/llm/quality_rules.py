@@ -3,10 +3,14 @@
 Every rule is a row of ``RULES``: a name, a metric over the base counts, an
 inclusive range, and the languages it holds for (all, where none are given).
 ``judge`` computes each base count once, compiles the table into one boolean
-column per rule and combines them. Null in any column: a null text is an empty
-text; a null or unknown language skips the rules that are bound to languages.
-Repeated rows are judged alike; extra columns pass through ``judge`` untouched
-unless they clash with a column that it makes, which then is replaced.
+column per rule and combines them.
+
+Defined results: a null text is an empty text, and fails; a null or unknown language skips the
+rules that are bound to languages. A very long text is judged whole; one of more words than
+``words_most`` allows (a million) fails by that rule. Ranges are inclusive, so ties with a threshold
+pass. Repeated rows are judged alike; an empty table has no verdicts. Extra columns pass through
+``judge`` untouched unless they clash, in whatever case, with a column that it
+makes, which then is replaced; ``stage`` keeps them all.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutagrid.llm.common import WORD_GAP, table
+from mutagrid.llm.common import WORD_GAP, table, unused
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -118,15 +122,21 @@ def base_counts(text: Column, lang: Column) -> Column:
     return let(F.struct(words.alias("words"), lines.alias("lines"), text.alias("text"), lang.alias("lang")), counts)
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The documents with their counts, base_failed, failed_rules (names) and kept."""
+def judged(docs: DataFrame, counts: str, verdict: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents with two structs of the given names: the counts, and base_failed, failed_rules (names) and kept."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     failed = ", ".join(f"CASE WHEN NOT {passes(r, 'c.')} THEN '{r.name}' END" for r in rules)
     base = "c.n_words < 50 OR 100 * c.n_repeat_words > 50 * c.n_words"
-    verdict = f"transform(array(_counts), c -> named_struct('base_failed', {base}, 'failed_rules', array_compact(array({failed})), 'kept', NOT ({base}) AND {' AND '.join(passes(r, 'c.') for r in rules)}))[0]"
-    kept = [c for c in docs.columns if c not in {*COUNTS, "base_failed", "failed_rules", "kept"}]
-    judged = docs.select(*kept, base_counts(F.col("text"), lang).alias("_counts")).withColumn("_verdict", F.expr(verdict))
-    return judged.select(*kept, *[F.col(f"_counts.{c}").alias(c) for c in COUNTS], "_verdict.base_failed", "_verdict.failed_rules", "_verdict.kept")
+    said = f"transform(array({counts}), c -> named_struct('base_failed', {base}, 'failed_rules', array_compact(array({failed})), 'kept', NOT ({base}) AND {' AND '.join(passes(r, 'c.') for r in rules)}))[0]"
+    return docs.withColumn(counts, base_counts(F.col("text"), lang)).withColumn(verdict, F.expr(said))
+
+
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The documents with their counts, base_failed, failed_rules (names) and kept."""
+    kept = [c for c in docs.columns if c.lower() not in {*COUNTS, "base_failed", "failed_rules", "kept"}]
+    counts, verdict = unused(docs.columns, "_counts", "_verdict")
+    rows = judged(docs, counts, verdict, rules)
+    return rows.select(*kept, *[F.col(f"{counts}.{c}").alias(c) for c in COUNTS], *[F.col(f"{verdict}.{c}").alias(c) for c in ("base_failed", "failed_rules", "kept")])
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,8 +145,9 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that pass."""
-    return judge(docs).filter("kept").select(*docs.columns)
+    """Pipeline stage: the documents that pass, with all their columns as they were."""
+    counts, verdict = unused(docs.columns, "_counts", "_verdict")
+    return judged(docs, counts, verdict).filter(F.col(f"{verdict}.kept")).select(*docs.columns)
 
 
 def sql_counts(source: str) -> str:
