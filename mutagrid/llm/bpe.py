@@ -11,15 +11,17 @@ first token is the left side's and its last token the right side's. Byte pairs
 merge by rank alone, so a sequence in which all neighbours are settled is the
 encoding; both sides agreeing exactly makes all of them settled.
 
-The vocabulary is the tokenizers library's JSON file, given by path. Texts of
-characters on which the pattern could be read in two ways (rare white space,
-letters of newer Unicode versions) are encoded by that library itself.
+The vocabulary is the tokenizers library's JSON file, given by path. Stretches are
+split by that library's own pre-tokeniser, and a part of characters on which the
+pattern could be read in two ways (rare white space, scripts beyond Latin) is
+encoded by the library itself: texts of any script are cut alike. A vocabulary that
+isn't plain byte-level pairs is left to the library, whole texts at a time.
 
 Defined results: a null text is an empty one, with no ids. Strings of special
 tokens in a text become their ids, as the library does. Ids that are no token decode to
-nothing; bytes that are no UTF-8 decode to U+FFFD. Repeated rows and null ids
-keep their rows; extra columns stay, unless they clash with ids, n_tokens or
-decoded, which are replaced.
+nothing; bytes that are no UTF-8 decode to U+FFFD. Of pairs that tie the first merges, as in the library. Repeated
+rows and null ids keep their rows; an empty table has none. Extra columns stay, unless they
+clash with ids, n_tokens or decoded in whatever case, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from __future__ import annotations
 import functools
 import json
 import re
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutagrid.llm.common import extended, slices, table
+from mutagrid.llm.common import extended, slices, table, unused
 
 #: Fixed value: the pattern of the byte-level pre-tokeniser.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -42,7 +45,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONG, PART = 1 << 16, 1 << 14
 #: Anything but these has its text encoded by the tokenizers library.
 UNSURE = re.compile("[^\t\n\r\x20-\x7e¡-©«-ſ‐-‧€]")
-SAFE_CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
+#: A blank between characters that no engine takes for white space.
+SOLID = "[^\\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff\ufff0-\uffff]"
+SAFE_CUT = re.compile(f"(?<={SOLID}) (?={SOLID})")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -70,6 +75,8 @@ class Codec:
         pre = spec["pre_tokenizer"]
         self.plain = (
             spec["normalizer"] is None and pre["type"] == "ByteLevel" and pre["use_regex"] and not pre["add_prefix_space"] and ids == sorted(ids) and not model.get("ignore_merges") and len(ranks) == len(merges) + 256
+            # a special token must neither hold a blank nor take those beside it
+            and not any(t.get("lstrip") or t.get("rstrip") or re.search(r"\s", t["content"]) for t in spec["added_tokens"])
         )
         self.core = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if self.plain else None
         self.breaks = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -105,53 +112,71 @@ class Codec:
         ids = np.where(ids < self.size, ids, self.size)
         return pc.take(self.token_bytes, pa.array(ids.astype(np.int64)))
 
-    def cut(self, text: str) -> list[tuple[bool, bool, bytes]]:
-        """(is a fragment of one piece, continues the one before, bytes) in order."""
-        import regex
-
-        out: list[tuple[bool, bool, bytes]] = []
+    def cut(self, text: str) -> list["Part"]:
+        """The text's parts, in order."""
+        out: list[Part] = []
         start = 0
         while start < len(text):
             at = SAFE_CUT.search(text, start + PART)
             end = at.start() if at else len(text)
             if end - start <= 2 * PART:
-                out.append((False, False, text[start:end].encode()))
+                out.append(Part(text[start:end].encode()))
             else:
-                self.cut_stretch(regex, text[start:end], out)
+                self.cut_stretch(text[start:end], out)
             start = end
         return out
 
-    def cut_stretch(self, regex, stretch: str, out: list) -> None:
+    def cut_stretch(self, stretch: str, out: list["Part"]) -> None:
+        """The parts of a long stretch without a safe cut: its pieces, many short ones together, a long one halved."""
         run: list[bytes] = []
 
         def flush():
             if run:
-                out.append((False, False, b"".join(run)))
+                out.append(Part(b"".join(run), [len(x) for x in run]))
                 run.clear()
 
-        for part in self.breaks.split(stretch) if self.breaks else [stretch]:
-            if part in self.special:
-                run.append(part.encode())
+        for text in self.breaks.split(stretch) if self.breaks else [stretch]:
+            if text in self.special:
                 flush()
+                out.append(Part(text.encode()))
                 continue
-            for piece in regex.findall(PATTERN, part):
-                raw = piece.encode()
-                # each piece is encoded as it stands: together with others it could be split elsewhere
-                if len(raw) > PART or sum(map(len, run)) > PART:
-                    flush()
+            size = 0
+            for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text):
+                raw = text[a:b].encode()
                 if len(raw) > PART:
+                    flush()
                     halves(raw, out)
-                else:
-                    out.append((True, False, raw))
+                    continue
+                if size + len(raw) > PART:
+                    flush()
+                    size = 0
+                run.append(raw)
+                size += len(raw)
+            flush()
+
+    def encode_part(self, raw: bytes, lengths: list[int]) -> np.ndarray:
+        if not lengths:
+            return self.encode(raw.decode())
+        ends = np.cumsum([0, *lengths]).tolist()
+        return np.concatenate([self.encode_bytes(raw[a:b]) for a, b in zip(ends, ends[1:])])
+
+
+@dataclass
+class Part:
+    """Bytes of whole text, or of pieces of the given lengths; ``follows`` continues the piece of the part before."""
 
+    raw: bytes
+    lengths: list[int] = field(default_factory=list)
+    follows: bool = False
 
-def halves(raw: bytes, out: list) -> None:
+
+def halves(raw: bytes, out: list[Part]) -> None:
     """The piece halved until its parts are short; all but the first continue the one before."""
     n = 1
     while len(raw) / n > PART:
         n *= 2
     edges = [len(raw) * k // n for k in range(n + 1)]
-    out += [(True, k > 0, raw[edges[k] : edges[k + 1]]) for k in range(n)]
+    out += [Part(raw[a:b], [b - a], k > 0) for k, (a, b) in enumerate(zip(edges, edges[1:]))]
 
 
 def join_halves(codec: Codec, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -200,19 +225,19 @@ def encode_long(texts: DataFrame, path: str) -> DataFrame:
     """(key, ids) of (key, text), cut, encoded in parallel and joined; ids packed as little-endian 32-bit numbers."""
 
     def cut(batches):
+        codec = codec_of(path)
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
-                codec = codec_of(path)
-                parts = codec.cut(text) if codec.sure(text) else [(False, False, text.encode())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(parts)), pa.array(range(len(parts)), pa.int32()), pa.array([p[0] for p in parts]), pa.array([p[1] for p in parts]), pa.array([p[2] for p in parts], pa.binary())],
-                    ["key", "no", "piece", "follows", "part"],
-                )
+                parts = codec.cut(text) if codec.plain else [Part(text.encode())]
+                for start in range(0, len(parts), 256):
+                    some = parts[start : start + 256]
+                    columns = [pa.array([key] * len(some)), pa.array(range(start, start + len(some)), pa.int32()), pa.array([p.lengths for p in some], pa.list_(pa.int32())), pa.array([p.follows for p in some]), pa.array([p.raw for p in some], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "no", "lengths", "follows", "part"])
 
     def encode(batches):
         codec = codec_of(path)
         for batch in batches:
-            ids = [codec.encode_bytes(raw) if piece else codec.encode(raw.decode()) for raw, piece in zip(batch.column("part").to_pylist(), batch.column("piece").to_pylist())]
+            ids = [codec.encode_part(raw, lengths) for raw, lengths in zip(batch.column("part").to_pylist(), batch.column("lengths").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("no"), batch.column("follows"), packed(ids)], ["key", "no", "follows", "ids"])
 
     def join(group: pa.Table) -> pa.Table:
@@ -224,38 +249,39 @@ def encode_long(texts: DataFrame, path: str) -> DataFrame:
         ids = np.concatenate([*[join_tree(codec, run) for run in runs], np.zeros(0, "<u4")])
         return pa.table({"key": group["key"][:1], "ids": packed([ids])})
 
-    parts = texts.mapInArrow(cut, "key string, no int, piece boolean, follows boolean, part binary")
+    parts = texts.mapInArrow(cut, "key string, no int, lengths array<int>, follows boolean, part binary")
     encoded = parts.repartition("key", "no").mapInArrow(encode, "key string, no int, follows boolean, ids binary")
     return encoded.groupBy("key").applyInArrow(join, "key string, ids binary")
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The rows with ids (packed little-endian unsigned 32-bit numbers), n_tokens and decoded, the ids' text again."""
-    kept = [c for c in df.columns if c not in ("ids", "n_tokens", "decoded")]
-    rows = df.select(*kept).withColumn("_text", F.coalesce(F.col(text).cast("string"), F.lit("")))
-    is_long = F.octet_length("_text") > LONG
+    kept = [c for c in df.columns if c.lower() not in ("ids", "n_tokens", "decoded")]
+    whole, key = unused([*kept, "ids", "n_tokens", "decoded"], "_text", "_key")
+    rows = df.select(*kept).withColumn(whole, F.coalesce(F.col(text).cast("string"), F.lit("")))
+    is_long = F.octet_length(whole) > LONG
     others = [c for c in kept if c != text]
-    schema = extended(rows.select(*others).schema, _text="string", ids="binary", decoded="string")
+    schema = extended(rows.select(*others).schema, **{whole: "string"}, ids="binary", decoded="string")
 
     def run(batches):
         codec = codec_of(path)
         for batch in batches:
-            for part in slices(batch, "_text"):
-                ids = [codec.encode(t) for t in part.column("_text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], part.column("_text"), packed(ids), decoded(codec, ids)], [*others, "_text", "ids", "decoded"])
+            for part in slices(batch, whole):
+                ids = [codec.encode(t) for t in part.column(whole).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in others], part.column(whole), packed(ids), decoded(codec, ids)], [*others, whole, "ids", "decoded"])
 
     def decode(batches):
         codec = codec_of(path)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("ids"), decoded(codec, [np.frombuffer(x, "<u4") for x in batch.column("ids").to_pylist()])], ["key", "ids", "decoded"])
 
-    short = rows.filter(~is_long).select(*others, "_text").mapInArrow(run, schema)
-    longs = rows.filter(is_long).withColumn("_key", F.sha2("_text", 256))
-    once = longs.groupBy(F.col("_key").alias("key")).agg(F.first("_text").alias("text"))
-    answers = encode_long(once, path).mapInArrow(decode, "key string, ids binary, decoded string").withColumnRenamed("key", "_key")
-    both = short.unionByName(longs.join(answers, "_key").select(*others, "_text", "ids", "decoded"))
+    short = rows.filter(~is_long).select(*others, whole).mapInArrow(run, schema)
+    longs = rows.filter(is_long).withColumn(key, F.sha2(whole, 256))
+    once = longs.groupBy(F.col(key).alias("key")).agg(F.first(whole).alias("text"))
+    answers = encode_long(once, path).mapInArrow(decode, "key string, ids binary, decoded string").withColumnRenamed("key", key)
+    both = short.unionByName(longs.join(answers, key).select(*others, whole, "ids", "decoded"))
     n_tokens = F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens")
-    return both.select(*[F.col("_text").alias(c) if c == text else F.col(c) for c in kept], "ids", n_tokens, "decoded")
+    return both.select(*[F.col(whole).alias(c) if c == text else F.col(c) for c in kept], "ids", n_tokens, "decoded")
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -267,7 +293,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = decoded(codec, [np.frombuffer(x or b"", "<u4") for x in batch.column(ids).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "decoded"])
 
-    rows = df.drop("decoded")
+    rows = df.select(*[c for c in df.columns if c.lower() != "decoded"])
     return rows.mapInArrow(run, extended(rows.schema, decoded="string"))
 
 
@@ -285,6 +311,21 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()))
 
 
+def bpe_unsplit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters of fifty documents at a time as one piece that nothing splits, encoded and decoded: halves and joins on every row.
+
+    The fixed number of documents bounds a row; ids are unique here, so the order is defined.
+    """
+    letters = F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-z]", "")
+    rows = table(spark, sf_dir, "documents").groupBy(F.floor(F.col("doc_id") / 50).cast("long").alias("doc_id"))
+    pieces = rows.agg(F.array_sort(F.collect_list(F.struct(F.col("doc_id").alias("i"), letters.alias("t")))).alias("ts"))
+    return encode(pieces.select("doc_id", F.array_join(F.transform("ts", lambda x: x["t"]), "").alias("text")), vocabulary()).select("doc_id", F.length("decoded").cast("long").alias("n_chars"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+UNSPLIT_SQL = """SELECT doc_id // 50 AS doc_id, sum(length(t))::BIGINT AS n_chars, sha256(string_agg(t, '' ORDER BY i)) AS decoded_sha256
+FROM (SELECT doc_id, doc_id AS i, regexp_replace(coalesce(text, ''), '[^a-z]', '', 'g') AS t FROM documents) GROUP BY 1"""
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents as token ids, with the digests of ids and decoded text."""
     rows = encode(docs, vocabulary())
