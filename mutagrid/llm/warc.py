@@ -10,11 +10,15 @@ Records whose payloads are equal (by SHA-1) are written once: that of the larges
 page_id is the response, the others are revisits that refer to it. Files go to
 the shared folder, under names of their own for every attempt; only the attempt
 that ends well is named in the written manifest, so a lost executor leaves
-nothing but an orphan. Payloads are streamed: the normaliser holds one chunk.
+nothing but an orphan. Archives are dealt to tasks one by one, for normalising
+and for reading; the normaliser and the reader stream, and hold one chunk of a payload.
+A stream that is cut off, a record that isn't closed and a payload that isn't
+what its digest says are errors.
 
 Defined results: null html is an empty payload. A null url is left out of the
 record. Rows with a null page_id are records without a number. Rows that repeat
-a page_id and its payload are all responses. Extra columns are not archived.
+a page_id and its payload are all responses (ties). Very long payloads are records like
+others. Extra columns are not archived, whatever their names. An empty table makes no archive.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mutagrid.llm.common import Workspace, table
+from mutagrid.llm.common import Workspace, slices, table
 
 #: Uncompressed bytes after which a partition begins another archive; level of compression; bytes of a chunk.
 ARCHIVE_BYTES, LEVEL, CHUNK = 32 << 20, 6, 1 << 18
@@ -77,8 +81,8 @@ def decided(pages: DataFrame, work: Workspace) -> DataFrame:
     return rows.join(same, "sha1", "left").select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """One row (path, n_records) for each archive that the decided pages are written to, each one gzip stream."""
+def write_archives(pages: DataFrame, folder: str, most: int = ARCHIVE_BYTES) -> DataFrame:
+    """One row (path, n_records) for each archive that the decided pages are written to, each one gzip stream of about ``most`` bytes."""
 
     def run(batches):
         out = squeeze = None
@@ -89,18 +93,18 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             out.close()
             return pa.RecordBatch.from_arrays([pa.array([made]), pa.array([n], pa.int64())], ["path", "n_records"])
 
-        for batch in batches:
-            for page_id, url, html, sha1, refers_to in zip(*[batch.column(c).to_pylist() for c in ("page_id", "url", "html", "sha1", "refers_to")]):
+        for part in (part for batch in batches for part in slices(batch, "html")):
+            for page_id, url, html, sha1, refers_to in zip(*[part.column(c).to_pylist() for c in ("page_id", "url", "html", "sha1", "refers_to")]):
                 if out is None:
                     made, size, n = f"{folder}/{uuid.uuid4().hex}.warc.gz", 0, 0
                     system, path = files(made)
                     system.create_dir(path.rpartition("/")[0], recursive=True)
                     out, squeeze = system.open_output_stream(path, compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                for part in (*record(page_id, url, html, sha1, refers_to), CRLF + CRLF):
-                    size += len(part)
-                    out.write(squeeze.compress(part))
+                for piece in (*record(page_id, url, html, sha1, refers_to), CRLF + CRLF):
+                    size += len(piece)
+                    out.write(squeeze.compress(piece))
                 n += 1
-                if size >= ARCHIVE_BYTES:
+                if size >= most:
                     yield close()
                     out = None
         if out is not None:
@@ -110,25 +114,34 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 
 class Inflated:
-    """A gzip file as one stream of its inflated bytes, whether of one member or many."""
+    """A gzip file as one stream of its inflated bytes, whether of one member or many; a member that is cut off is an error."""
 
     def __init__(self, file):
-        self.file, self.rest, self.held, self.engine = file, b"", bytearray(), zlib.decompressobj(31)
+        self.file, self.rest, self.held, self.engine, self.open = file, b"", bytearray(), zlib.decompressobj(31), False
 
     def fill(self) -> bool:
         while True:
             raw = self.rest or self.file.read(CHUNK)
-            if not raw:
-                return False
-            self.rest = b""
-            if self.engine.eof:
-                self.engine = zlib.decompressobj(31)
+            if not self.open:
+                raw = raw.lstrip(b"\0")  # members may be padded
+                if not raw:
+                    if not self.file_ended():
+                        continue
+                    return False
+                self.engine, self.open = zlib.decompressobj(31), True
+            elif not raw and not self.engine.unconsumed_tail:
+                raise ValueError("the archive is cut off")
             got = self.engine.decompress(raw, 4 * CHUNK)
             self.rest = self.engine.unconsumed_tail or self.engine.unused_data
+            self.open = not self.engine.eof
             if got:
                 self.held += got
                 return True
 
+    def file_ended(self) -> bool:
+        self.rest = self.file.read(CHUNK)
+        return not self.rest
+
     def until(self, mark: bytes) -> bytes | None:
         """What comes up to and with the mark; None at the end."""
         start = 0
@@ -182,9 +195,11 @@ def normalise(archives: DataFrame) -> DataFrame:
                         named = fields(header.lstrip(CRLF))
                         squeeze = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                         out.write(squeeze.compress(header.lstrip(CRLF)))
-                        for part in stream.chunks(int(named["content-length"]) + 4):
+                        for part in stream.chunks(int(named["content-length"])):
                             out.write(squeeze.compress(part))
-                        out.write(squeeze.flush())
+                        if b"".join(stream.chunks(4)) != CRLF + CRLF:
+                            raise ValueError(f"{source}: record {len(rows)} isn't closed where its length says")
+                        out.write(squeeze.compress(CRLF + CRLF) + squeeze.flush())
                         end = out.tell()
                         refers = page_of(named["warc-refers-to"]) if "warc-refers-to" in named else None
                         rows.append((made, len(rows), offset, end - offset, page_of(named.get("warc-record-id", "")), named.get("warc-type"), named.get("warc-payload-digest", "").removeprefix("sha1:"), refers))
@@ -193,37 +208,61 @@ def normalise(archives: DataFrame) -> DataFrame:
                     side.write("".join(f"{r[1]} {r[2]} {r[3]} {'' if r[4] is None else r[4]}\n" for r in rows).encode())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 8, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], [x.split()[0] for x in INDEX.split(", ")])
 
-    return archives.select("path").repartition("path").mapInArrow(run, INDEX)
+    return dealt(archives.select("path")).mapInArrow(run, INDEX)
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt by path to as many tasks as there are archives: paths are short and archives long, so nothing may put many in one task."""
+    n = max(1, rows.select("path").distinct().count())
+    return rows.repartition(n, "path")
+
+
+class Member:
+    """Some bytes of an open file, read to their end and no further."""
+
+    def __init__(self, file, offset: int, length: int):
+        self.file, self.left = file, length
+        file.seek(offset)
+
+    def read(self, n: int) -> bytes:
+        got = self.file.read(min(n, self.left))
+        self.left -= len(got)
+        return got
 
 
 RECORDS = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long"
 
 
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
-    """The records that the index lists, each read by a seek to its member; a digest is computed where there is a payload."""
+    """The records that the index lists, each read by a seek to its member; a response's payload must have its digest."""
 
     def run(batches):
+        held, file = None, None
         for batch in batches:
             out: list[tuple] = []
-            held, file = None, None
             for path, offset, length in zip(*[batch.column(c).to_pylist() for c in ("path", "offset", "length")]):
                 if path != held:
+                    if file is not None:
+                        file.close()
                     system, inner = files(path)
                     held, file = path, system.open_input_file(inner)
-                file.seek(offset)
-                header, _, rest = zlib.decompress(file.read(length), 31).partition(CRLF + CRLF)
-                named = fields(header)
-                payload = rest[: int(named["content-length"])].partition(CRLF + CRLF)[2]
-                revisit = named["warc-type"] == "revisit"
-                digest = named["warc-payload-digest"].removeprefix("sha1:")
-                if not revisit and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                stream = Inflated(Member(file, offset, length))
+                named = fields(stream.until(CRLF + CRLF))
+                left = int(named["content-length"]) - len(stream.until(CRLF + CRLF)) if named["warc-type"] != "revisit" else 0
+                sha1, kept = hashlib.sha1(), []
+                for chunk in stream.chunks(left):
+                    sha1.update(chunk)
+                    if payloads:
+                        kept.append(chunk)
+                revisit, digest = named["warc-type"] == "revisit", named["warc-payload-digest"].removeprefix("sha1:")
+                if not revisit and base64.b32encode(sha1.digest()).decode() != digest:
                     raise ValueError(f"{path} at {offset}: the payload isn't what its digest says")
                 refers = page_of(named["warc-refers-to"]) if revisit else None
-                out.append((page_of(named["warc-record-id"]), named.get("warc-target-uri"), named["warc-type"], payload if payloads else None, None if revisit else len(payload), digest, refers))
+                out.append((page_of(named["warc-record-id"]), named.get("warc-target-uri"), named["warc-type"], b"".join(kept) if payloads else None, None if revisit else left, digest, refers))
             kinds = (pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 7, kinds)], [x.split()[0] for x in RECORDS.split(", ")])
 
-    return index.select("path", "offset", "length").mapInArrow(run, RECORDS)
+    return dealt(index.select("path", "offset", "length")).sortWithinPartitions("path", "offset").mapInArrow(run, RECORDS)
 
 
 def archived(spark: SparkSession, pages: DataFrame, work: Workspace | None = None) -> DataFrame:
@@ -240,3 +279,11 @@ def archived(spark: SparkSession, pages: DataFrame, work: Workspace | None = Non
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(spark, table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+#: Base32 of SHA-1: five hexadecimal digits are four letters.
+SQL = f"""WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS x FROM p),
+d AS (SELECT page_id, payload_bytes, x, list_transform(range(8), lambda i: ('0x' || substr(x, (5 * i + 1)::BIGINT, 5))::BIGINT) AS v, max(page_id) FILTER (payload_bytes >= {LEAST_BYTES}) OVER (PARTITION BY x) AS first FROM h)
+SELECT page_id, payload_bytes, array_to_string(list_transform(flatten(list_transform(v, lambda n: [n >> 15, (n >> 10) & 31, (n >> 5) & 31, n & 31])), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', k + 1, 1)), '') AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM d"""
