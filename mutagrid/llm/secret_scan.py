@@ -5,24 +5,31 @@ remembers which (blob, rule, rule version) were scanned and what was found;
 ``scan_versions`` scans only the unseen pairs, appends them to the ledger and
 joins the findings back to all paths that ever held the blob.
 
+No text is shuffled. What is unseen is decided on blob ids and paths alone; one path of
+each unseen blob is marked, rule by rule, in bitmaps of bounded size, and the text
+is scanned where it is read, if its bit is set. A bit may be set by another blob, the more
+often the fuller the bitmaps are: then a text is scanned again, and its findings,
+which are the same, count once.
+
 Spans are code points, the end exclusive. A regular expression has no position
 function in Spark SQL; the pieces between the matches (``split``) and the
 matches (``regexp_extract_all``) come from the same left-to-right search, so a
 running sum of their lengths gives every start. All of it is DataFrame code.
 
-Nulls: a null text is an empty text; a null path is a path of its own and keeps
-its rows. Repeated rows are reported once each; extra columns are dropped by
-``scan_versions`` and kept by ``redact``.
+Defined results: a null text is an empty text; a null path is a path of its own and keeps
+its rows. Very long texts are scanned whole. Spans that tie in their start are ordered by
+rule, as listed. Repeated rows are reported once each; an empty table has no findings. Extra
+columns are dropped by ``scan_versions`` and kept by ``stage``, whatever their names.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mutagrid.llm.common import Workspace, table
+from mutagrid.llm.common import Workspace, table, unused
 
 
 @dataclass(frozen=True)
@@ -70,26 +77,51 @@ def lengths(text: Column, rule: SecretRule) -> Column:
     )
 
 
-def tagged(text: Column, rule: SecretRule, kind_no: int) -> Column:
-    return F.transform(lengths(text, rule), lambda x, k: F.struct(F.lit(kind_no).alias("kind_no"), k.alias("k"), x["gap"].alias("gap"), x["n"].alias("n"), x["holds"].alias("holds")))
+def findings_of(texts: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
+    """(blob_id, kind, key, start, end) of (blob_id, text, wanted): wanted has a boolean for each rule."""
+    nothing = F.array().cast("array<struct<start:int,end:int>>")
+    hits = [F.struct(F.lit(r.name).alias("kind"), F.lit(r.key).alias("key"), F.when(F.get("wanted", F.lit(i)) & occurs(F.col("text"), r), spans_of(F.col("text"), r)).otherwise(nothing).alias("spans")) for i, r in enumerate(rules)]
+    rows = texts.select("blob_id", F.filter(F.array(*hits), lambda x: F.size(x["spans"]) > 0).alias("hits")).filter(F.size("hits") > 0)
+    rows = rows.select("blob_id", F.inline("hits")).select("blob_id", "kind", "key", F.inline("spans"))
+    return rows.select("blob_id", "kind", "key", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
+
+
+#: Bits of one bitmap, as the bitmap aggregate makes it; bits of all bitmaps of a rule at most (4 MB), and bits of a marked row.
+PAGE, MOST_BITS, ROW_BITS = 1 << 15, 1 << 25, 16
+
+
+class Marks:
+    """Rows marked by a hash, in one column of bitmaps for each flag: a table of bounded size that any scan can be joined with in place."""
+
+    def __init__(self, rows: DataFrame, mark: Column, flags: list[Column]):
+        """``mark`` is a hash of the rows, ``flags`` are booleans of them."""
+        n, self.bits = rows.count(), PAGE
+        while self.bits < min(n * ROW_BITS, MOST_BITS):
+            self.bits *= 2
+        spot = F.pmod(mark, F.lit(self.bits))
+        said = rows.select(F.floor(spot / PAGE).cast("int").alias("page"), F.pmod(spot, F.lit(PAGE)).alias("at"), *[f.alias(f"flag{i}") for i, f in enumerate(flags)])
+        self.n, maps = len(flags), [F.bitmap_construct_agg(F.when(F.col(f"flag{i}"), F.col("at"))).alias(f"map{i}") for i in range(len(flags))]
+        self.pages = said.groupBy("page").agg(*maps)
 
+    def put(self, work: Workspace, name: str) -> Marks:
+        self.pages = work.put(name, self.pages)
+        return self
 
-def findings_of(blobs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
-    """(blob_id, kind, start, end) of the blobs (blob_id, text, todo): todo lists the keys of the rules to apply."""
-    text, nothing = F.col("text"), F.array().cast("array<struct<gap:int,n:int,holds:boolean>>")
-    hits = [F.when(F.array_contains("todo", r.key) & occurs(text, r), tagged(text, r, i)) for i, r in enumerate(rules)]
-    empty = F.array().cast("array<struct<kind_no:int,k:int,gap:int,n:int,holds:boolean>>")
-    rows = blobs.select("blob_id", F.flatten(F.array(*[F.coalesce(h, empty) for h in hits])).alias("hits")).filter(F.size("hits") > 0)
-    rows = rows.select("blob_id", F.inline("hits")).filter(F.col("n").isNotNull())
-    run = Window.partitionBy("blob_id", "kind_no").orderBy("k")
-    end = F.sum(F.col("gap") + F.col("n")).over(run)
-    kinds = F.array(*[F.lit(r.name) for r in rules])
-    return rows.withColumn("end", end.cast("long")).filter("holds").select("blob_id", F.get(kinds, F.col("kind_no")).alias("kind"), "kind_no", (F.col("end") - F.col("n")).alias("start"), "end")
+    def flagged(self, rows: DataFrame, mark: Column, name: str) -> DataFrame:
+        """The rows with an array of the flags of their mark, as ``name``."""
+        page, at, there, *hidden = unused([*rows.columns, name], "_page", "_at", "_number", *[f"_map{i}" for i in range(self.n)])
+        spot = F.pmod(mark, F.lit(self.bits))
+        found = rows.withColumns({page: F.floor(spot / PAGE).cast("int"), at: F.pmod(spot, F.lit(PAGE)).cast("int")})
+        # bits / PAGE rows at most, of PAGE bits for each flag: MOST_BITS bounds what is broadcast
+        maps = self.pages.select(F.col("page").alias(there), *[F.col(f"map{i}").alias(h) for i, h in enumerate(hidden)])
+        bit = lambda m: F.coalesce(F.expr(f"getbit(cast(conv(hex(substring(`{m}`, `{at}` div 8 + 1, 1)), 16, 10) as int), `{at}` % 8) = 1"), F.lit(False))
+        joined = found.join(F.broadcast(maps), F.col(page) == F.col(there), "left")
+        return joined.select(*rows.columns, F.array(*[bit(h) for h in hidden]).alias(name))
 
 
-def addressed(versions: DataFrame, path: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return versions.select(F.col(path).alias("path"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("blob_id"))
+def content(text: Column) -> Column:
+    """The address of a text."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def scan_versions(spark: SparkSession, versions: DataFrame, path: str = "doc_id", ledger: str | None = None, rules: tuple[SecretRule, ...] = RULES, work: Workspace | None = None) -> tuple[DataFrame, DataFrame]:
@@ -97,25 +129,24 @@ def scan_versions(spark: SparkSession, versions: DataFrame, path: str = "doc_id"
     work = work or Workspace(spark, "secrets")
     ledger = ledger or f"{work.root}/ledger"
     keys = F.array(*[F.lit(r.key) for r in rules])
-    paths = addressed(versions, path)
-    blobs = paths.groupBy("blob_id").agg(F.first("text").alias("text"))
+    paths = work.put("paths", versions.select(F.col(path).alias("path"), content(F.col("text")).alias("blob_id")))
+    unseen = paths.groupBy("blob_id").agg(F.min("path").alias("path"))
     seen = read_ledger(spark, f"{ledger}/scanned", "blob_id binary, key string")
     if seen is None:
-        blobs = blobs.withColumn("todo", keys)
+        unseen = unseen.withColumn("todo", keys)
     else:
         done = seen.groupBy("blob_id").agg(F.collect_set("key").alias("done"))
-        blobs = blobs.join(done, "blob_id", "left").withColumn("todo", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))).filter(F.size("todo") > 0)
-    findings = findings_of(blobs, rules).withColumn("key", F.get(keys, F.col("kind_no")))
-    findings.select("blob_id", "kind", "key", "start", "end").write.mode("append").parquet(f"{ledger}/findings")
-    # only narrow columns are needed to record what was scanned: the texts are not read again
-    ids = paths.select("blob_id").distinct()
-    fresh = ids.withColumn("key", F.explode(keys))
-    if seen is not None:
-        fresh = fresh.join(seen, ["blob_id", "key"], "left_anti")
-    fresh.write.mode("append").parquet(f"{ledger}/scanned")
+        unseen = unseen.join(done, "blob_id", "left").withColumn("todo", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))).filter(F.size("todo") > 0).drop("done")
+    unseen = work.put("unseen", unseen)
+    mark = F.xxhash64("blob_id", "path")
+    marks = Marks(unseen, mark, [F.array_contains("todo", r.key) for r in rules]).put(work, "marks")
+    texts = versions.select(F.col(path).alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"), content(F.col("text")).alias("blob_id"))
+    wanted = marks.flagged(texts, mark, "wanted").filter(F.exists("wanted", lambda x: x))
+    findings_of(wanted, rules).write.mode("append").parquet(f"{ledger}/findings")
+    unseen.select("blob_id", F.explode("todo").alias("key")).write.mode("append").parquet(f"{ledger}/scanned")
     found = spark.read.schema("blob_id binary, kind string, key string, start long, end long").parquet(f"{ledger}/findings")
-    # a run that died between the two appends leaves findings that its repetition finds again
-    return paths.select("path", "blob_id"), found.filter(F.col("key").isin([r.key for r in rules])).distinct()
+    # a text that was scanned twice, or by a run that died between the two appends, has its findings once
+    return paths, found.filter(F.col("key").isin([r.key for r in rules])).distinct()
 
 
 def read_ledger(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
@@ -179,20 +210,43 @@ def redact(text: Column, rules: tuple[SecretRule, ...] = RULES, mark: str = "[SE
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document stays; what the ledger found in its blob is replaced by a mark."""
-    _, findings = scan_versions(spark, docs)
-    flagged = findings.groupBy(F.col("blob_id").alias("_blob")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("_blob", F.unhex(F.sha2(text, 256))).join(flagged, "_blob", "left")
-    clean = F.when(F.col("_spans").isNotNull(), cut(text, F.col("_spans"), "[SECRET]")).otherwise(F.col("text"))
-    out = marked.withColumn("text", clean)
+    """Pipeline stage: every document stays; what the ledger found in its blob is replaced by a mark. Only texts with findings are shuffled."""
+    work = Workspace(spark, "secrets")
+    _, findings = scan_versions(spark, docs, work=work)
+    flagged = work.put("flagged", findings.groupBy("blob_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
+    blob, maybe, there, spans = unused(docs.columns, "_blob", "_maybe", "_there", "_spans")
+    marks = Marks(flagged, F.xxhash64("blob_id"), [F.lit(True)]).put(work, "flags")
+    rows = marks.flagged(docs.withColumn(blob, content(F.col("text"))), F.xxhash64(blob), maybe)
+    hit = rows.filter(F.get(maybe, F.lit(0))).join(flagged.select(F.col("blob_id").alias(there), F.col("spans").alias(spans)), F.col(blob) == F.col(there), "left")
+    out = hit.withColumn("text", F.when(F.col(spans).isNotNull(), cut(F.col("text"), F.col(spans), "[SECRET]")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.filter(~F.get(maybe, F.lit(0))).select(*docs.columns).unionByName(out.select(*docs.columns))
 
 
-def sql() -> str:
-    """DuckDB: the same spans from the pieces between matches and the matches."""
+#: Another version of every document, for the query that fills its ledger twice.
+REWRITTEN = ("token", "secret")
+
+
+def secret_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of every document in one ledger: the first scanned by the base rules, then both by all rules, the last rule in a second version.
+
+    ``n_pairs`` is how many (blob, rule version) pairs of a document's blob the ledger holds in the end.
+    """
+    work = Workspace(spark, "versions")
+    docs, ledger = table(spark, sf_dir, "documents").select("doc_id", "text"), f"{work.root}/ledger"
+    first = docs.select((F.col("doc_id") * 2).alias("doc_id"), "text")
+    both = first.union(docs.select(F.col("doc_id") * 2 + 1, F.replace("text", F.lit(REWRITTEN[0]), F.lit(REWRITTEN[1]))))
+    scan_versions(spark, first, ledger=ledger, rules=RULES[:3])
+    later = (*RULES[:-1], replace(RULES[-1], version=2))
+    paths, findings = scan_versions(spark, both, ledger=ledger, rules=later)
+    held = read_ledger(spark, f"{ledger}/scanned", "blob_id binary, key string").groupBy("blob_id").agg(F.count("*").alias("n_pairs"))
+    joined = paths.join(digests(findings, later), "blob_id", "left").join(held, "blob_id", "left")
+    return joined.select(F.col("path").alias("doc_id"), "n_pairs", F.coalesce("spans", F.lit("")).alias("spans"))
+
+
+def sql(docs: str, columns: str) -> str:
+    """DuckDB: the same spans from the pieces between matches and the matches, of ``docs`` (doc_id, t)."""
     parts = []
     for i, r in enumerate(RULES):
         p = r.pattern.replace("'", "''")
@@ -204,8 +258,13 @@ def sql() -> str:
     said = "coalesce(string_agg({0}, ',' ORDER BY e - n, kind_no), '')"
     one = "kind || ':' || (e - n)::BIGINT || ':' || e::BIGINT"
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE)
-    base = said.format(one).replace("', ' ORDER", "ORDER").replace(" ORDER BY e - n, kind_no)", " ORDER BY e - n, kind_no) FILTER (kind_no < 3)")
-    return f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({' UNION ALL '.join(parts)}), h AS (SELECT * FROM f WHERE holds) SELECT d.doc_id, {counts}, sha256({base}) AS base_sha256, {said.format(one)} AS spans FROM d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id"
+    base = said.format(one).replace(" ORDER BY e - n, kind_no)", " ORDER BY e - n, kind_no) FILTER (kind_no < 3)")
+    chosen = columns.format(counts=counts, base=base, spans=said.format(one))
+    return f"WITH d AS ({docs}), f AS ({' UNION ALL '.join(parts)}), h AS (SELECT * FROM f WHERE holds) SELECT d.doc_id, {chosen} FROM d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id"
 
 
-SQL = sql()
+SQL = sql("SELECT doc_id, coalesce(text, '') AS t FROM documents", "{counts}, sha256({base}) AS base_sha256, {spans} AS spans")
+#: Of the first version the ledger has the three base rules and then the others; of texts that were there from the start no more.
+VERSIONS_SQL = sql(
+    f"SELECT doc_id * 2 AS doc_id, coalesce(text, '') AS t FROM documents UNION ALL SELECT doc_id * 2 + 1, replace(coalesce(text, ''), '{REWRITTEN[0]}', '{REWRITTEN[1]}') FROM documents", f"{len(RULES)}::BIGINT AS n_pairs, {{spans}} AS spans"
+)
