@@ -15,14 +15,23 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_bpe": bpe.op9_bpe,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    # the same operators on data that reach the depths of their methods
+    "url_aliases": url_filter.url_aliases,
+    "bpe_unsplit": bpe.bpe_unsplit,
+    "secret_versions": secret_scan.secret_versions,
 }
 
-#: None for op1 (a fitted model), op3 (CRC-32), op5 (an approximate search), op8 (files) and op9 (a tokeniser): these are
-#: tested against brute force, exact round trips and held-out ratings.
+#: None for op1 (a fitted model), op5 (an approximate search) and op9 (a tokeniser): these are tested against brute force,
+#: exact round trips and held-out ratings.
 ORACLES = {
     "op2_jaccard_join": jaccard_join.SQL,
+    "op3_sharding": sharding.SQL,
     "op4_quality_rules": quality_rules.SQL,
     "op6_url_filter": url_filter.SQL,
     "op7_mixing": mixing.SQL,
+    "op8_warc": warc.SQL,
     "op10_secret_scan": secret_scan.SQL,
+    "url_aliases": url_filter.ALIASES_SQL,
+    "bpe_unsplit": bpe.UNSPLIT_SQL,
+    "secret_versions": secret_scan.VERSIONS_SQL,
 }
