@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mutagrid.llm.common import Workspace, groups, mix64, packed, shingle_sets, slices, table, total, unused
+from mutagrid.llm.common import Bitmaps, Workspace, groups, mix64, packed, shingle_sets, slices, table, total, unused
 from mutagrid.llm.components import connected_components
 
 #: Counters of the token sketch: one array of so many 32-bit counts is merged and sent to the workers (16 MB).
@@ -83,7 +83,8 @@ def fingerprints(docs: DataFrame, rule: Jaccard, id_column: str) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), rule.width)
-                counts += np.bincount((np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+                slots, times = np.unique((np.concatenate([*sets, np.zeros(0, np.uint64)]) & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
+                counts[slots] += times.astype(np.uint32)
                 fps = [digest(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(fps, pa.binary()), pa.nulls(len(sets), pa.binary())], ["doc_id", "n", "fp", "counts"]
@@ -467,9 +468,12 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     work = Workspace(spark, "near")
     if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").isEmpty():
-        found = work.put("classes", classes(spark, docs, NEAR))
-        gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        gone = work.put("gone", classes(spark, docs, NEAR).filter("component_id <> doc_id").select("doc_id"))
+        # only texts that may go are shuffled
+        (maybe,) = unused(docs.columns, "_maybe")
+        marked_rows = Bitmaps(gone, F.xxhash64("doc_id"), [F.lit(True)]).put(work, "gone-marks").flagged(docs, F.xxhash64(F.col("doc_id").cast("long")), maybe)
+        stay = marked_rows.filter(~F.get(maybe, F.lit(0))).select(*docs.columns)
+        return stay.unionByName(marked_rows.filter(F.get(maybe, F.lit(0))).join(gone, "doc_id", "left_anti").select(*docs.columns))
     ident, same, no = unused(docs.columns, "_id", "_same", "_no")
     # numbers in the order of the ids, one for each id and text
     keyed = docs.withColumns({ident: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), same: F.coalesce(F.sha2("text", 256), F.lit(""))})

@@ -29,7 +29,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mutagrid.llm.common import Workspace, table, unused
+from mutagrid.llm.common import Bitmaps, Workspace, table, unused
 
 
 @dataclass(frozen=True)
@@ -86,39 +86,6 @@ def findings_of(texts: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
     return rows.select("blob_id", "kind", "key", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-#: Bits of one bitmap, as the bitmap aggregate makes it; bits of all bitmaps of a rule at most (4 MB), and bits of a marked row.
-PAGE, MOST_BITS, ROW_BITS = 1 << 15, 1 << 25, 16
-
-
-class Marks:
-    """Rows marked by a hash, in one column of bitmaps for each flag: a table of bounded size that any scan can be joined with in place."""
-
-    def __init__(self, rows: DataFrame, mark: Column, flags: list[Column]):
-        """``mark`` is a hash of the rows, ``flags`` are booleans of them."""
-        n, self.bits = rows.count(), PAGE
-        while self.bits < min(n * ROW_BITS, MOST_BITS):
-            self.bits *= 2
-        spot = F.pmod(mark, F.lit(self.bits))
-        said = rows.select(F.floor(spot / PAGE).cast("int").alias("page"), F.pmod(spot, F.lit(PAGE)).alias("at"), *[f.alias(f"flag{i}") for i, f in enumerate(flags)])
-        self.n, maps = len(flags), [F.bitmap_construct_agg(F.when(F.col(f"flag{i}"), F.col("at"))).alias(f"map{i}") for i in range(len(flags))]
-        self.pages = said.groupBy("page").agg(*maps)
-
-    def put(self, work: Workspace, name: str) -> Marks:
-        self.pages = work.put(name, self.pages)
-        return self
-
-    def flagged(self, rows: DataFrame, mark: Column, name: str) -> DataFrame:
-        """The rows with an array of the flags of their mark, as ``name``."""
-        page, at, there, *hidden = unused([*rows.columns, name], "_page", "_at", "_number", *[f"_map{i}" for i in range(self.n)])
-        spot = F.pmod(mark, F.lit(self.bits))
-        found = rows.withColumns({page: F.floor(spot / PAGE).cast("int"), at: F.pmod(spot, F.lit(PAGE)).cast("int")})
-        # bits / PAGE rows at most, of PAGE bits for each flag: MOST_BITS bounds what is broadcast
-        maps = self.pages.select(F.col("page").alias(there), *[F.col(f"map{i}").alias(h) for i, h in enumerate(hidden)])
-        bit = lambda m: F.coalesce(F.expr(f"getbit(cast(conv(hex(substring(`{m}`, `{at}` div 8 + 1, 1)), 16, 10) as int), `{at}` % 8) = 1"), F.lit(False))
-        joined = found.join(F.broadcast(maps), F.col(page) == F.col(there), "left")
-        return joined.select(*rows.columns, F.array(*[bit(h) for h in hidden]).alias(name))
-
-
 def content(text: Column) -> Column:
     """The address of a text."""
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
@@ -139,7 +106,7 @@ def scan_versions(spark: SparkSession, versions: DataFrame, path: str = "doc_id"
         unseen = unseen.join(done, "blob_id", "left").withColumn("todo", F.array_except(keys, F.coalesce("done", F.array().cast("array<string>")))).filter(F.size("todo") > 0).drop("done")
     unseen = work.put("unseen", unseen)
     mark = F.xxhash64("blob_id", "path")
-    marks = Marks(unseen, mark, [F.array_contains("todo", r.key) for r in rules]).put(work, "marks")
+    marks = Bitmaps(unseen, mark, [F.array_contains("todo", r.key) for r in rules]).put(work, "marks")
     texts = versions.select(F.col(path).alias("path"), F.coalesce(F.col("text"), F.lit("")).alias("text"), content(F.col("text")).alias("blob_id"))
     wanted = marks.flagged(texts, mark, "wanted").filter(F.exists("wanted", lambda x: x))
     findings_of(wanted, rules).write.mode("append").parquet(f"{ledger}/findings")
@@ -215,7 +182,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _, findings = scan_versions(spark, docs, work=work)
     flagged = work.put("flagged", findings.groupBy("blob_id").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     blob, maybe, there, spans = unused(docs.columns, "_blob", "_maybe", "_there", "_spans")
-    marks = Marks(flagged, F.xxhash64("blob_id"), [F.lit(True)]).put(work, "flags")
+    marks = Bitmaps(flagged, F.xxhash64("blob_id"), [F.lit(True)]).put(work, "flags")
     rows = marks.flagged(docs.withColumn(blob, content(F.col("text"))), F.xxhash64(blob), maybe)
     hit = rows.filter(F.get(maybe, F.lit(0))).join(flagged.select(F.col("blob_id").alias(there), F.col("spans").alias(spans)), F.col(blob) == F.col(there), "left")
     out = hit.withColumn("text", F.when(F.col(spans).isNotNull(), cut(F.col("text"), F.col(spans), "[SECRET]")).otherwise(F.col("text")))
