@@ -285,6 +285,8 @@ def find_zero(xs: list[float]) -> float:
     value = lambda x: sum(c * x**i for i, c in enumerate(xs))
     low, high = -1.0, 1.0
     while value(low) * value(high) > 0:
+        if high > 1e100:
+            raise ValueError("the polynomial has no change of sign")
         low, high = low * 2, high * 2
     for _ in range(200):
         mid = (low + high) / 2
@@ -293,6 +295,8 @@ def find_zero(xs: list[float]) -> float:
 
 
 def prime_fib(n: int) -> int:
+    if n < 1:
+        raise ValueError("the first is number 1")
     a, b = 1, 1
     while True:
         a, b = b, a + b

@@ -112,10 +112,9 @@ def dependency_sets(classes: DataFrame, key: str, names: str) -> DataFrame:
     return classes.select(key, F.explode_outer(F.array_distinct(F.coalesce(names, F.array().cast("array<string>")))).alias("depends_on")).distinct()
 
 
-def lower_bound(pmf: Column, least: Column, keep) -> Column:
-    """The smallest key of positive weight below ``least`` among the samples that ``keep`` picks, else ``least``."""
-    keys = F.transform(F.filter(pmf, lambda x: keep(x) & (x["value"] > 0)), lambda x: x["key"])
-    return F.least(least, F.array_min(keys))
+def least_key(least: Column, keep: Column, key: str = "key", value: str = "value") -> Column:
+    """An aggregate: the smallest key of positive weight below ``least`` among the samples that ``keep`` picks, else ``least``."""
+    return F.least(least, F.min(F.when(keep & (F.col(value) > 0), F.col(key))))
 
 
 def kill_index(kills: DataFrame, test: str, mutant: str) -> tuple[DataFrame, DataFrame]:

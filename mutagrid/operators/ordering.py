@@ -72,7 +72,8 @@ def limited(rows: DataFrame, n: int) -> DataFrame:
 
 def seeded_pick(rows: DataFrame, group: str, ident: str, seed: int, n: int = 1) -> DataFrame:
     """n rows of each group without replacement, in the order of a fixed scramble of the id: reruns pick the same."""
-    key = F.pmod(F.col(ident) * 1103515245 + seed * 12345, F.lit(2147483647))
+    # the id's rest first: the product of any other could overflow
+    key = F.pmod(F.pmod(F.col(ident), F.lit(2147483647)) * 1103515245 + seed * 12345, F.lit(2147483647))
     return rows.withColumn("_k", key).withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy("_k", ident))).filter(F.col("_r") <= n).drop("_k", "_r")
 
 

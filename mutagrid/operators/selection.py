@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BOOKKEEPING = ["method_list.txt", "mutation_log.txt"]
 ARITHMETIC_TYPES = ["int", "double", "float", "long", "short", "char", "byte"]
 ARITHMETIC_OPERATORS = ["*", "/", "%", "+", "-"]
-STANDARD_TYPES = ["byte", "short", "int", "long", "float", "double", "boolean", "char", "void", "String", "Object", "Integer", "Long", "Double", "Float", "Boolean", "Character", "Byte", "Short", "Void"]
+STANDARD_TYPES = ["String", "Integer", "Boolean", "Long", "Double", "Float", "Short", "Byte", "Character"]
 RETRIED_STATUS = [408, 409, 425, 429]
 ROUND_LIMITS = {"mutap_syntax_repair": 10, "mutgen_generation": 4, "hits_test_repair": 10, "aster_repair": 3, "aster_coverage": 1}
 #: Stages and their temperature.

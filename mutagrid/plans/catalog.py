@@ -396,8 +396,14 @@ def dependency_edges(t, spark):
 
 @query("SELECT event_type, least(20.0, min(value) FILTER (event_id % 16 = 3 AND user_id > 10))::DOUBLE AS bound FROM events GROUP BY 1")
 def support_bound(t, spark):
-    pmf = F.collect_list(F.struct(F.col("value").alias("key"), (F.col("user_id") - 10).alias("value"), (F.col("event_id") % 16).alias("bucket")))
-    return t("events").groupBy("event_type").agg(pmf.alias("pmf")).select("event_type", aggregates.lower_bound(F.col("pmf"), F.lit(20.0), lambda x: x["bucket"] == 3).alias("bound"))
+    rows = t("events").select("event_type", F.col("value").alias("key"), (F.col("user_id") - 10).alias("value"), (F.col("event_id") % 16).alias("bucket"))
+    return rows.groupBy("event_type").agg(aggregates.least_key(F.lit(20.0), F.col("bucket") == 3).alias("bound"))
+
+
+@query("SELECT n_name AS class, s_name AS depends_on FROM nation JOIN supplier ON n_nationkey = s_nationkey WHERE NOT starts_with(s_name, 'java.') AND NOT starts_with(s_name, 'javax.') AND s_name NOT IN ('String', 'Integer', 'Boolean', 'Long', 'Double', 'Float', 'Short', 'Byte', 'Character')")
+def foreign_dependencies(t, spark):
+    both = t("nation").join(t("supplier"), F.col("n_nationkey") == F.col("s_nationkey"))
+    return both.filter(selection.foreign_type(F.col("s_name"))).select(F.col("n_name").alias("class"), F.col("s_name").alias("depends_on"))
 
 
 @query("SELECT user_id, max(event_id % 11) + 1 AS rows, max(event_id % 7) + 1 AS cols FROM events GROUP BY 1")
