@@ -9,12 +9,13 @@ rounds, events provider calls, documents sources, labels coverage reports.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutagrid.functions import convert, text
-from mutagrid.operators import aggregates, joins, lineage, ordering, rules, selection, sets
+from mutagrid.operators import aggregates, class_rules, joins, lineage, ordering, rules, selection, sets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -352,6 +353,21 @@ def rule_fanout(t, spark):
     return rules.replacements(nodes, ["COR", "SOR", "AORB"]).select("node_id", "rule", F.col("replacement").alias("new"))
 
 
+@query("""WITH c AS (SELECT n_name AS node, r_name AS ancestor FROM nation JOIN region ON n_regionkey = r_regionkey),
+v AS (SELECT c_custkey AS node_id, n_name AS nation, r_name AS region, ['public', 'protected', 'private', ''][1 + c_custkey % 4] AS modifier FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
+SELECT node_id, 'PNC' AS rule, node AS replacement FROM v JOIN c ON v.region = c.ancestor UNION ALL SELECT node_id, r, ancestor FROM v JOIN c ON v.nation = c.node, (VALUES ('PMD'), ('PPD'), ('PCC')) t(r)
+UNION ALL SELECT node_id, 'PCI', '((' || ancestor || ')v' || node_id || ')' FROM v JOIN c ON v.nation = c.node UNION ALL SELECT node_id, 'AMC', m FROM v, (VALUES ('public'), ('protected'), ('private'), ('')) t(m) WHERE m <> modifier""")
+def type_rules(t, spark):
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    closure = lineage.ancestors(places.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent")))
+    access = F.get(F.array(*[F.lit(a) for a in class_rules.ACCESS]), F.col("c_custkey") % 4)
+    rows = t("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("node_id"), "n_name", "r_name", access.alias("modifier"), F.concat(F.lit("v"), F.col("c_custkey")).alias("text"))
+    of = lambda kind, name: rows.select("node_id", "modifier", "text", F.lit(kind).alias("kind"), F.col(name).alias("lhs_type"))
+    found = [class_rules.type_changes(of(kind, "r_name" if way == "down" else "n_name"), closure, rule) for rule, (kind, way) in class_rules.TYPES.items()]
+    found += [class_rules.cast_insertions(of("Variable", "n_name"), closure), class_rules.access_changes(of("Field", "n_name"))]
+    return reduce(DataFrame.union, [x.select("node_id", "rule", "replacement") for x in found])
+
+
 @query("""WITH RECURSIVE t AS (SELECT l_orderkey::VARCHAR AS target, l_suppkey::VARCHAR AS test, list(DISTINCT l_linenumber::VARCHAR) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY len(m) DESC, test) AS k FROM t),
 f AS (SELECT target, test, k, m AS killed, 1 AS kept, len(m) AS gain FROM r WHERE k = 1 UNION ALL

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mutagrid import schemas
-from mutagrid.operators import aggregates, joins, lineage, ordering, rules, selection, sets
+from mutagrid.operators import aggregates, class_rules, joins, lineage, ordering, rules, selection, sets
 
 
 def rows(df, *columns):
@@ -188,3 +188,27 @@ def test_class_and_exception_rules(spark):
 def test_hidden_prompt_columns(spark):
     df = spark.createDataFrame([("1", 2, "COR", "LIVE", "x", True)], "id string, line int, operator string, status string, mutated_statement string, equivalent boolean")
     assert schemas.model_visible(df).columns == schemas.VISIBLE
+
+
+def test_class_rules(spark):
+    nodes = spark.createDataFrame(
+        [(1, "MethodCall", "getA", "C", None, "x.getA()", "K", 0, "x", None, []), (2, "MethodCall", "equals", "C", None, "a.equals(b)", "K", 1, "a", "b", ["b"]), (3, "Binary", "==", "C", "C", "a == b", "K", 0, "a", "b", None), (4, "Binary", "==", "int", "int", "i == j", "K", 0, "i", "j", None),
+         (5, "Variable", None, "C", None, "f", "K", 0, None, None, None), (6, "FieldAccess", None, "C", None, "super.f", "K", 0, None, None, None), (7, "FieldAccess", None, "C", None, "this.f", "K", 0, None, None, None), (8, "MethodCall", "m", "C", None, "m(p, q)", "K", 2, None, None, ["p", "q"]),
+         (9, "Assignment", "=", "C", "C", "a = b", "K", 0, "a", "b", None)],
+        "node_id long, kind string, operator string, lhs_type string, rhs_type string, text string, class string, n_args int, lhs_text string, rhs_text string, args array<string>",
+    )
+    methods = spark.createDataFrame([("C", "getA", "", "int", 0, []), ("C", "getB", "", "int", 0, []), ("C", "getC", "", "long", 0, []), ("C", "m", "int", "int", 1, ["u"]), ("C", "m", "int,int", "int", 2, ["u", "v"])], "class string, name string, params string, type string, n_params int, names array<string>")
+    said = lambda df: rows(df, "node_id", "rule", "replacement")
+    assert said(class_rules.call_swaps(nodes, methods, "EAM")) == [(1, "EAM", "x.getB()")] and said(class_rules.call_swaps(nodes, methods, "EMM")) == []
+    assert said(class_rules.equality_changes(nodes)) == [(2, "EOC", "a == b"), (3, "EOC", "a.equals(b)")]
+    names = spark.createDataFrame([("K", "f"), ("K", "f"), ("L", "g")], "class string, text string")
+    assert said(class_rules.qualified(nodes, names, "ISI")) == [(5, "ISI", "super.f")] and said(class_rules.qualified(nodes, names, "JTI")) == [(5, "JTI", "this.f")]
+    assert said(class_rules.unqualified(nodes, "ISK")) == [(6, "ISK", "f")] and said(class_rules.unqualified(nodes, "JTD")) == [(7, "JTD", "f")]
+    assert said(class_rules.argument_changes(nodes, methods)) == [(8, "OAN", "m(p)")]
+    assert rows(class_rules.overload_rows(methods), "rule", "params", "replacement") == [("OMD", "int", ""), ("OMD", "int,int", ""), ("OMR", "int,int", "this.m(u)")]
+    own = spark.createDataFrame([("K", "f"), ("K", "h")], "class string, text string")
+    assert rows(class_rules.hiding_deletions(own, names), "rule", "class", "text") == [("IHD", "K", "f")] and rows(class_rules.hiding_insertions(own, names), "rule", "class", "replacement") == [("IHI", "L", "g")]
+    keys = ["class", "name", "params", "type"]
+    assert rows(class_rules.override_deletions(methods.select(*keys), methods.filter("name = 'getA'").select(*keys)), "rule", "name") == [("IOD", "getA")]
+    variables = spark.createDataFrame([("K", "a", "C"), ("K", "b", "C"), ("K", "c", "C"), ("K", "i", "int")], "class string, text string, type string")
+    assert said(class_rules.value_changes(nodes, variables)) == [(9, "PRV", "a = c")]
