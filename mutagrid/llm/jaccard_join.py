@@ -301,6 +301,7 @@ def classes_of(spark: SparkSession, texts: DataFrame, members: DataFrame, counts
     parts = work.put("parts", connected_components(spark, hub_links, work, "hubs"))
 
     across = work.put("near-across", near(second_round(live, parts, rule, work), light, rule))
+    work.drop("live", "every", "hot", "part")
     more = verified(across, texts, rule, work, "more")
     joined = contracted(more, parts)
     whole = work.put("whole", connected_components(spark, joined, work, "all"))
@@ -308,7 +309,7 @@ def classes_of(spark: SparkSession, texts: DataFrame, members: DataFrame, counts
     final = parts.join(whole.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     alone = whole.join(parts.select("node"), "node", "left_anti").select("node", "component")
     final = work.put("final", final.union(alone))
-    work.drop("live", "every", "links", "more", "whole", "parts")
+    work.drop("links", "more", "whole", "parts")
     named = members.join(copies, "fp", "left").withColumn("rep", F.coalesce("rep", "doc_id")).join(final.withColumnRenamed("node", "rep"), "rep", "left")
     out = [F.col("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id")]
     if links:
