@@ -170,3 +170,27 @@ def dense_row(cells: Column, width, default: str = "") -> Column:
 
 def csv_line(*columns, sep: str = ",") -> Column:
     return F.to_csv(F.struct(*columns), {"sep": sep})
+
+
+#: The scalar fields of a serialised table, in order; its cells follow as ``data``.
+TABLE_FIELDS = ["extraction_method", "page_number", "top", "left", "width", "height", "right", "bottom"]
+
+
+def table_record(data: Column) -> Column:
+    """A table's fields (columns of these names) and its rows of cells."""
+    return F.struct(*[F.col(f) for f in TABLE_FIELDS], data.alias("data"))
+
+
+def table_json(data: Column) -> Column:
+    return F.to_json(table_record(data))
+
+
+def tables_json(tables) -> Column:
+    """One document's tables (an array of table records) as a JSON list; no tables are an empty list."""
+    return F.when(F.coalesce(F.size(c(tables)), F.lit(0)) <= 0, "[]").otherwise(F.to_json(c(tables)))
+
+
+def appended(commented: Column, item) -> Column:
+    """A commented list with one more item; a list that is null begins with it."""
+    items = F.coalesce(commented["items"], F.array().cast("array<string>"))
+    return F.struct(commented["comment"].alias("comment"), F.array_append(items, c(item)).alias("items"))

@@ -12,6 +12,10 @@ MANIFEST_PREFIX = r"^(?:main\.java|main|test\.java|test|java)\."
 LONG_PATHS = [("\\\\?\\UNC\\", "\\\\"), ("\\\\?\\", ""), ("//?/UNC/", "//"), ("//?/", ""), ("\\\\?/", ""), ("//?\\", "")]
 
 
+#: The names that renumbering takes, of one digit, in the signature of a generated test.
+NUMBERED_TEST = r"(?<=public void )test[0-9](?=\(\) throws Throwable \{)"
+
+
 def c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -209,3 +213,9 @@ def suite_class(sources, fallback: str) -> Column:
 def timing_line(timing: Column) -> Column:
     """One log line of a timing struct: name=value pairs in the struct's order."""
     return F.regexp_replace(F.regexp_replace(F.to_json(timing), r'[{}"]', ""), ":", "=")
+
+
+def renumbered_tests(x) -> Column:
+    """Test methods of one-digit names numbered from 0 in the order of the text; the rest of the text stays."""
+    parts = F.split(c(x), NUMBERED_TEST)
+    return F.array_join(F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(F.concat(F.lit("test"), (i - 1).cast("string"), part))), "")

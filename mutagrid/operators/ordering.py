@@ -40,6 +40,24 @@ def quota(rows: DataFrame, group: str, order: str, per_group: int, groups: int)
     return ranked.join(rows.select(group).distinct().orderBy(group).limit(groups), group, "left_semi")
 
 
+def quota_carried(rows: DataFrame, group: str, order: str, per_group: int, groups: int) -> DataFrame:
+    """The quota whose counter a group hands on if it ends before the counter is full: the next group then gets fewer.
+
+    The counter runs over one row for each of the ``groups`` first groups, so what one task folds is bounded.
+    """
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).orderBy(group).limit(groups)
+    one = sizes.agg(F.array_sort(F.collect_list(F.struct(F.col(group).alias("g"), F.col("n").cast("bigint").alias("n")))).alias("sizes"))
+    nothing = F.struct(F.lit(0).cast("bigint").alias("held"), F.slice(F.transform("sizes", lambda s: F.struct(s["g"].alias("g"), s["n"].alias("take"))), 1, 0).alias("takes"))
+    left = lambda acc: F.lit(per_group) - acc["held"]
+    step = lambda acc, s: F.struct(
+        F.when(s["n"] >= left(acc), 0).otherwise(acc["held"] + s["n"]).cast("bigint").alias("held"),
+        F.array_append(acc["takes"], F.struct(s["g"].alias("g"), F.least(s["n"], left(acc)).cast("bigint").alias("take"))).alias("takes"),
+    )
+    takes = one.select(F.inline(F.aggregate("sizes", nothing, step)["takes"]).alias(group, "_take"))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    return ranked.join(takes, group).filter("_r <= _take").drop("_r", "_take")
+
+
 def accumulated(rows: DataFrame, group: str, order: str, item: str) -> DataFrame:
     """How many distinct items are known after each round: an item counts in the round of its first appearance."""
     firsts = rows.groupBy(group, item).agg(F.min(order).alias(order)).groupBy(group, order).agg(F.count("*").alias("_new"))
@@ -61,6 +79,11 @@ def row_breaks(rows: DataFrame, group: str, order: list[str], top: str) -> DataF
     return rows.withColumn("_new", changed).withColumn("row_no", (F.sum("_new").over(run) - 1).cast("int")).drop("_new")
 
 
+def listed(rows: DataFrame, *by: str) -> DataFrame:
+    """A sorted listing: files by name, targets before their summary."""
+    return rows.orderBy(*by)
+
+
 def top_k(rows: DataFrame, group: str, by: list[Column], k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*by))).filter(F.col("rank") <= k)
 

@@ -99,6 +99,24 @@ def not_insertions(nodes: DataFrame) -> DataFrame:
     return hit.withColumns({"rule": F.lit("COI"), "replacement": F.when(F.col("kind") == "Binary", F.concat(F.lit("!("), F.col("text"), F.lit(")"))).otherwise(F.concat(F.lit("!"), F.col("text")))})
 
 
+def relational_literals(nodes: DataFrame) -> DataFrame:
+    """ROR: the whole comparison becomes true, or false."""
+    hit = nodes.filter((F.col("kind") == "Binary") & F.col("operator").isin(SWAPS["ROR"][1]))
+    return hit.withColumn("replacement", F.explode(F.array(F.lit("true"), F.lit("false")))).withColumn("rule", F.lit("ROR"))
+
+
+def operator_deletions(nodes: DataFrame) -> DataFrame:
+    """ODL on the other nodes: a unary operator leaves its operand, a compound assignment becomes a plain one."""
+    unary = _gone(nodes.filter("kind = 'Unary'"), "ODL")
+    compound = nodes.filter((F.col("kind") == "Assignment") & F.col("operator").isin(SWAPS["ASRS"][1]))
+    return unary.unionByName(compound.withColumns({"rule": F.lit("ODL"), "replacement": swapped(F.col("text"), F.col("operator"), F.lit("="))}))
+
+
+def unary_inserted(kind: Column, text: Column, operator: Column, prefix: Column) -> Column:
+    """UOI's text: calls take their operator in front, variables in front or behind."""
+    return F.when((kind == "MethodCall") | prefix, F.concat(F.lit("("), operator, text, F.lit(")"))).otherwise(F.concat(F.lit("("), text, operator, F.lit(")")))
+
+
 def operand_deletions(nodes: DataFrame, rule: str) -> DataFrame:
     """CDL, VDL, ODL: a binary node keeps one of its operands (lhs, rhs); constants only, variables only, or either."""
     kind = {"CDL": "Constant", "VDL": "Variable", "ODL": None}[rule]
@@ -108,7 +126,10 @@ def operand_deletions(nodes: DataFrame, rule: str) -> DataFrame:
 
 
 def _gone(hit: DataFrame, rule: str) -> DataFrame:
-    return hit.withColumns({"rule": F.lit(rule), "replacement": F.replace("text", F.col("operator"), F.lit(""))})
+    """The node's own operator goes, in front or behind; what its operand holds stays."""
+    inner, size = F.col("text"), F.length("operator")
+    inner = F.when(F.startswith("text", F.col("operator")), F.substr("text", size + 1)).when(F.endswith("text", F.col("operator")), F.left("text", F.length("text") - size)).otherwise(inner)
+    return hit.withColumns({"rule": F.lit(rule), "replacement": F.ltrim(inner)})
 
 
 def super_call_deletions(nodes: DataFrame) -> DataFrame:

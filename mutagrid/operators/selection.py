@@ -10,6 +10,7 @@ BOOKKEEPING = ["method_list.txt", "mutation_log.txt"]
 ARITHMETIC_TYPES = ["int", "double", "float", "long", "short", "char", "byte"]
 ARITHMETIC_OPERATORS = ["*", "/", "%", "+", "-"]
 STANDARD_TYPES = ["String", "Integer", "Boolean", "Long", "Double", "Float", "Short", "Byte", "Character"]
+LANGUAGES = [1, 3]
 RETRIED_STATUS = [408, 409, 425, 429]
 ROUND_LIMITS = {"mutap_syntax_repair": 10, "mutgen_generation": 4, "hits_test_repair": 10, "aster_repair": 3, "aster_coverage": 1}
 #: Stages and their temperature.
@@ -38,6 +39,23 @@ def mutant_folder(name: Column) -> Column:
     return ~name.isin(BOOKKEEPING)
 
 
+def folders(entries: DataFrame, kind: str = "is_directory") -> DataFrame:
+    return entries.filter(kind)
+
+
+def with_prefix(name: Column, prefix: str) -> Column:
+    return F.startswith(name, F.lit(prefix))
+
+
+def without_marker(name: Column, marker: str) -> Column:
+    """Names that hold the marker nowhere."""
+    return ~F.contains(name, F.lit(marker))
+
+
+def usable_language(language: Column) -> Column:
+    return language.isin(LANGUAGES)
+
+
 def public_fields(fields: Column) -> Column:
     return F.filter(fields, lambda x: x.rlike(r"(?m)^\s*public\b"))
 
@@ -122,6 +140,11 @@ def within_rounds(rows: DataFrame, stage: str, round_: str) -> DataFrame:
     return rows.filter(F.col(round_) <= F.coalesce(limit, F.col(round_)))
 
 
+def whole_batches(rows: DataFrame, batches: DataFrame, key: str, finished: str = "finished") -> DataFrame:
+    """An interrupted batch is invalid as a whole and is not resumed: rows count only where their batch came to its end."""
+    return rows.join(batches.filter(finished).select(key), key, "left_semi")
+
+
 def finished_targets(mutants: DataFrame, target: str) -> DataFrame:
     """Targets where all are killed or no live mutant is left unused."""
     return mutants.groupBy(target).agg((F.count_if(~F.col("killed") & ~F.col("used")) == 0).alias("finished"))

@@ -448,3 +448,42 @@ def change_text(t, spark):
 @query("SELECT o_orderpriority, count(*) AS n, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)::BIGINT AS done FROM orders GROUP BY CUBE (o_orderpriority)")
 def cube_totals(t, spark):
     return t("orders").cube("o_orderpriority").agg(F.count("*").alias("n"), F.sum(F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)).alias("done"))
+
+
+@query("""WITH RECURSIVE g AS (SELECT l_orderkey AS k, count(*) AS n, row_number() OVER (ORDER BY l_orderkey) AS i FROM lineitem GROUP BY 1),
+f AS (SELECT i, k, least(n, 4) AS take, CASE WHEN n >= 4 THEN 0 ELSE n END AS held FROM g WHERE i = 1 UNION ALL
+  SELECT g.i, g.k, least(g.n, 4 - f.held), CASE WHEN g.n >= 4 - f.held THEN 0 ELSE f.held + g.n END FROM f JOIN g ON g.i = f.i + 1 WHERE g.i <= 9)
+SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS r FROM lineitem) JOIN f ON k = l_orderkey AND r <= take""")
+def quota_carried(t, spark):
+    return ordering.quota_carried(t("lineitem").select("l_orderkey", "l_linenumber"), "l_orderkey", "l_linenumber", 4, 9)
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1")
+def whole_batches(t, spark):
+    batches = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderstatus") == "F").alias("finished"))
+    return selection.whole_batches(t("lineitem"), batches, "l_orderkey").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+@query("""WITH n AS (SELECT p_partkey AS node_id, ['<', '==', '-', '+='][1 + p_size % 4] AS op, p_name AS a, p_type AS b FROM part)
+SELECT node_id, 'ROR' AS rule, new FROM n, (VALUES ('true'), ('false')) v(new) WHERE op IN ('<', '==') UNION ALL
+SELECT node_id, 'ODL', CASE WHEN op = '-' THEN a ELSE a || ' = ' || b END FROM n WHERE op IN ('-', '+=')""")
+def rule_literals(t, spark):
+    op = F.get(F.array(*[F.lit(s) for s in ("<", "==", "-", "+=")]), F.col("p_size") % 4)
+    kind = F.when(op == "-", "Unary").when(op == "+=", "Assignment").otherwise("Binary")
+    said = F.when(op == "-", F.concat(F.lit("-"), F.col("p_name"))).otherwise(F.concat_ws(" ", "p_name", op, "p_type"))
+    nodes = t("part").select(F.col("p_partkey").alias("node_id"), kind.alias("kind"), op.alias("operator"), said.alias("text"))
+    return rules.relational_literals(nodes).unionByName(rules.operator_deletions(nodes)).select("node_id", "rule", F.col("replacement").alias("new"))
+
+
+@query("""SELECT c_custkey, 'public void test' || CASE WHEN c_custkey % 20 < 10 THEN 0 ELSE c_custkey % 20 END || '() throws Throwable {' || c_name || '} public void test5() { test6(); } public void test'
+  || CASE WHEN c_custkey % 20 < 10 THEN 1 ELSE 0 END || '() throws Throwable {' AS text FROM customer""")
+def numbered_tests(t, spark):
+    one = F.concat(F.lit("public void test"), (F.col("c_custkey") % 20).cast("string"), F.lit("() throws Throwable {"), F.col("c_name"), F.lit("} public void test5() { test6(); } public void test9() throws Throwable {"))
+    return t("customer").select("c_custkey", text.renumbered_tests(one).alias("text"))
+
+
+@query("""SELECT n_nationkey, to_json({'extraction_method': 'lattice', 'page_number': n_regionkey, 'top': n_nationkey, 'left': 1, 'width': 2, 'height': 3, 'right': 4, 'bottom': 5, 'data': [[{'text': n_name}, {'text': ''}]]})::VARCHAR AS doc FROM nation""")
+def table_documents(t, spark):
+    cells = F.array(F.array(F.struct(F.col("n_name").alias("text")), F.struct(F.lit("").alias("text"))))
+    fields = {"extraction_method": F.lit("lattice"), "page_number": F.col("n_regionkey"), "top": F.col("n_nationkey"), "left": F.lit(1), "width": F.lit(2), "height": F.lit(3), "right": F.lit(4), "bottom": F.lit(5)}
+    return t("nation").withColumns(fields).select("n_nationkey", convert.table_json(cells).alias("doc"))

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +168,16 @@ def test_find_zero_and_closest(spark):
     assert abs(one(spark, problems.call("find_zero", "array(1D, 2D)")) + 0.5) < 1e-6
     assert tuple(one(spark, problems.call("find_closest_elements", "array(1D, 2D, 3D, 4D, 5D, 2.2D)")))[1:] == (2.0, 2.2)
     assert [tuple(x) for x in one(spark, problems.call("get_row", "array(array(1L,2L), array(1L,1L))", "1L"))] == [(0, 0), (1, 1), (1, 0)]
+
+
+def test_tables_and_lists(spark):
+    row = spark.sql("SELECT 'stream' AS extraction_method, 1 AS page_number, 2 AS top, 3 AS left, 4 AS width, 5 AS height, 6 AS right, 7 AS bottom, array(array(named_struct('text', 'a')), array()) AS data")
+    one = row.select(convert.table_record(F.col("data")).alias("r"))
+    said = one.select(convert.tables_json(F.array("r")).alias("x"), convert.tables_json(F.slice(F.array("r"), 1, 0)).alias("none")).first()
+    assert json.loads(said.x) == [{"extraction_method": "stream", "page_number": 1, "top": 2, "left": 3, "width": 4, "height": 5, "right": 6, "bottom": 7, "data": [[{"text": "a"}], []]}]
+    assert said.none == "[]"
+    lists = spark.createDataFrame([(("c", ["x"]),), (("d", None),)], "l struct<comment:string, items:array<string>>")
+    assert [r[0].asDict() for r in lists.select(convert.appended(F.col("l"), F.lit("y"))).collect()] == [{"comment": "c", "items": ["x", "y"]}, {"comment": "d", "items": ["y"]}]
+    given = "public void test7() throws Throwable {} public void test12() throws Throwable {} public void test7() throws Throwable {} test3"
+    texts = spark.createDataFrame([(given,), ("",), (None,)], "x string")
+    assert [r[0] for r in texts.select(text.renumbered_tests("x")).collect()] == [given.replace("test7", "test0", 1).replace("test7", "test1", 1), "", None]

@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import json
 import pickle
 import zipfile
@@ -6,6 +7,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from mutagrid import schemas
+from mutagrid.operators import ordering
 from mutagrid.sources import readers, sinks
 from mutagrid.streaming import streams
 
@@ -78,6 +80,27 @@ def test_sinks(spark, tmp_path):
     assert readers.cached(spark, str(tmp_path / "cache"), lambda: edges).count() == readers.cached(spark, str(tmp_path / "cache"), lambda: edges.limit(0)).count() == 1
 
 
+def test_digests_and_files(spark, tmp_path):
+    (tmp_path / "in.txt").write_bytes(b"x\n")
+    rows = spark.createDataFrame([("a/b", "COR", "t2", 2), ("a/b", "COR", "t1", 1), ("c", "SOR", None, 1)], "project string, operator string, text string, no int")
+    one = sinks.manifest(rows.coalesce(1), str(tmp_path / "m"), ["project"], str(tmp_path / "in.txt")).first()
+    assert one.input_sha256 == hashlib.sha256(b"x\n").hexdigest()
+    assert one.output_sha256 == hashlib.sha256(next((tmp_path / "m").glob("part-*")).read_bytes()).hexdigest()
+    (tmp_path / "two").mkdir()
+    (tmp_path / "two" / "p").write_bytes(b"1"), (tmp_path / "two" / "q").write_bytes(b"2")
+    both = sorted(hashlib.sha256(x).hexdigest() for x in (b"1", b"2"))
+    assert tuple(sinks.files_digest(spark, str(tmp_path / "two")).first()) == (2, hashlib.sha256("\n".join(both).encode()).hexdigest())
+    named = ordering.numbered(rows, ["project"], "operator", ["no"])
+    sinks.mutant_files(named.filter("project = 'a/b'"), str(tmp_path / "mutants"))
+    assert (tmp_path / "mutants" / "mutant_name=COR_2").is_dir()
+    assert sorted((r.mutant_name, r.value) for r in spark.read.text(str(tmp_path / "mutants")).collect()) == [("COR_1", "t1"), ("COR_2", "t2")]
+    sinks.merged_files(rows.filter("no < 3").fillna(""), str(tmp_path / "merged"), "operator", "text", "no")
+    assert sorted((r.operator, r.value) for r in spark.read.text(str(tmp_path / "merged"), wholetext=True).collect()) == [("COR", "t1\nt2\n"), ("SOR", "\n")]
+    sinks.pickles(rows.filter("no = 1"), str(tmp_path / "pickles"), "project")
+    assert sorted(p.name for p in (tmp_path / "pickles").iterdir() if not p.name.startswith(".")) == ["a%2Fb.pkl", "c.pkl"]
+    assert sorted((r.project, r.text) for r in readers.pickles(spark, str(tmp_path / "pickles"), "project string, text string, no int").collect()) == [("a/b", "t1"), ("c", None)]
+
+
 def test_streams(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     events.repartition(3).write.parquet(str(tmp_path / "in"))

@@ -185,6 +185,34 @@ def test_class_and_exception_rules(spark):
     assert ids(rules.throw_deletions(nodes)) == [10]
 
 
+def test_rules_of_whole_nodes(spark):
+    nodes = spark.createDataFrame([(1, "Binary", "<", "a < b"), (2, "Unary", "-", "-(a - b)"), (3, "Unary", "++", "i++"), (4, "Assignment", "+=", "a += b + 1"), (5, "Assignment", "=", "a = b"), (6, "Binary", "+", "a + b")], "node_id long, kind string, operator string, text string")
+    said = lambda df: rows(df, "node_id", "replacement")
+    assert said(rules.relational_literals(nodes)) == [(1, "false"), (1, "true")]
+    assert said(rules.operator_deletions(nodes)) == [(2, "(a - b)"), (3, "i"), (4, "a = b + 1")]
+    put = spark.createDataFrame([("Variable", "v", "++", True), ("Variable", "v", "--", False), ("MethodCall", "f()", "-", False)], "kind string, text string, operator string, prefix boolean")
+    assert rows(put.select(rules.unary_inserted(*[F.col(c) for c in ("kind", "text", "operator", "prefix")]))) == [("(++v)",), ("(-f())",), ("(v--)",)]
+
+
+@pytest.mark.parametrize("sizes, wanted", [([5, 1, 2, 3, 6], [4, 1, 2, 1, 4]), ([1, 1], [1, 1]), ([4, 4], [4, 4]), ([], [])])
+def test_quota_hands_its_counter_on(spark, sizes, wanted):
+    given = spark.createDataFrame([(g, i) for g, n in enumerate(sizes) for i in range(n)], "g long, i long")
+    got = rows(ordering.quota_carried(given, "g", "i", 4, 9), "g", "i")
+    assert got == [(g, i) for g, n in enumerate(wanted) for i in range(n)]
+    assert {g for g, _ in rows(ordering.quota_carried(given, "g", "i", 4, 2), "g", "i")} == set(range(min(2, len(sizes))))
+
+
+def test_plain_filters(spark):
+    files = spark.createDataFrame([("a", True, 1), ("refactory_b", False, 2), ("mut_c", False, 3)], "name string, is_directory boolean, language int")
+    assert rows(selection.folders(files), "name") == [("a",)]
+    assert rows(files.filter(selection.without_marker(F.col("name"), "refactory")), "name") == [("a",), ("mut_c",)]
+    assert rows(files.filter(selection.with_prefix(F.col("name"), "mut")), "name") == [("mut_c",)]
+    assert rows(files.filter(selection.usable_language(F.col("language"))), "name") == [("a",), ("mut_c",)]
+    assert [r.name for r in ordering.listed(files, "name").collect()] == ["a", "mut_c", "refactory_b"]
+    done = spark.createDataFrame([("a", True), ("mut_c", False), ("x", None)], "name string, finished boolean")
+    assert rows(selection.whole_batches(files, done, "name"), "name") == [("a",)]
+
+
 def test_hidden_prompt_columns(spark):
     df = spark.createDataFrame([("1", 2, "COR", "LIVE", "x", True)], "id string, line int, operator string, status string, mutated_statement string, equivalent boolean")
     assert schemas.model_visible(df).columns == schemas.VISIBLE
