@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from mutagrid import schemas
 from mutagrid.operators import aggregates, class_rules, joins, lineage, ordering, rules, selection, sets
+from mutagrid.plans import catalog
 
 
 def rows(df, *columns):
@@ -119,6 +120,33 @@ def test_prefix_options(spark):
     assert got == {"ver": (None, 2), "verb": ("verbose", 1), "verbose": ("verbose", 1)}
 
 
+def some_boxes(spark):
+    import random
+
+    random.seed(7)
+    sides = [(random.randint(-40, 60), random.randint(-40, 60)) for _ in range(150)]
+    # a hot cell, equal boxes, sides the wrong way round and missing ones
+    found = [(i, x, y, x + random.randint(-9, 40), y + random.randint(-9, 40)) for i, (x, y) in enumerate(sides)] + [(500 + i, 3, 3, 3 + i % 5, 3 + i % 4) for i in range(80)] + [(900, None, 1, 2, 2), (901, 1, 1, None, 2)]
+    return found, spark.createDataFrame(found, "box_id long, left long, top long, right int, bottom int")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_boxes_meeting_are_merged_in_pieces(spark, sf_dir):
+    # Spark's estimate of a side doesn't count its cells, so the join itself must not be broadcast
+    plan = plan_of(catalog.QUERIES["boxes_meeting"](spark, sf_dir))
+    assert plan.count("SortMergeJoin") == 1 and "Inner, Build" not in plan
+    found, boxes = some_boxes(spark)
+    queries = boxes.filter("box_id % 3 = 0").withColumnRenamed("box_id", "query_id")
+    whole = [b for b in found if None not in b]
+    want = sorted((q[0], b[0]) for q in whole if q[0] % 3 == 0 for b in whole if b[1] <= q[3] and q[1] <= b[3] and b[2] <= q[4] and q[2] <= b[4])
+    assert rows(joins.boxes_meeting(boxes, queries, 16.0, False)) == want
+    for piece, most in ((4, 10000), (4, 2), (1, 10000)):
+        assert rows(joins.boxes_meeting(boxes, queries, 16.0, False, piece, most)) == want
+
+
 def test_token_jaccard_matches_brute_force(spark):
     import random
 
