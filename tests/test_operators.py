@@ -147,6 +147,18 @@ def test_boxes_meeting_are_merged_in_pieces(spark, sf_dir):
         assert rows(joins.boxes_meeting(boxes, queries, 16.0, False, piece, most)) == want
 
 
+def test_boxes_inside_are_dealt_once(spark, sf_dir):
+    plan = plan_of(catalog.QUERIES["boxes_inside"](spark, sf_dir))
+    assert plan.count("SortMergeJoin") == 1 and "Inner, Build" not in plan
+    found, boxes = some_boxes(spark)
+    queries = boxes.filter("box_id % 3 = 0").withColumnRenamed("box_id", "query_id")
+    whole = [b for b in found if None not in b]
+    want = sorted((q[0], b[0]) for q in whole if q[0] % 3 == 0 for b in whole if b[1] >= q[1] and b[3] <= q[3] and b[2] >= q[2] and b[4] <= q[4])
+    assert rows(joins.boxes_meeting(boxes, queries, 16.0, True)) == want
+    for piece, most in ((4, 10000), (4, 2), (1, 10000)):
+        assert rows(joins.boxes_meeting(boxes, queries, 16.0, True, piece, most)) == want
+
+
 def test_token_jaccard_matches_brute_force(spark):
     import random
 
