@@ -10,15 +10,14 @@ so that a text of n units costs some n / ``RUN`` + 2 ``RUN`` rows rather than n:
 2. only these runs are exploded unit by unit, and the same window and ordinal give
    each request's offset. Offsets are aggregated per document, and substrings taken.
 
-Rows are numbered and shuffled once by that number; both explosions, the windows, the
-joins and the aggregate all keep this partitioning, so neither a hot text nor a
-repeated row meets its likes in a task, and no unit is shuffled.
+A text is known by the digest of its id and itself. Of the runs only the lengths are
+shuffled, and the two that hold a cut with their requests; rows that are repeated whole are one by then, combined
+where they are read. The texts are shuffled once, to meet their offsets.
 
 Defined results: a null text is an empty one, and plain; so is a text that holds a marker, and the
 share of texts that the hash leaves as they are. A null id hashes as an empty one. Repeated
 rows give the same result each. Very long texts are cut whole. Columns but the id and the text
-are dropped, whatever their names. An empty table gives none. The input must be a table, or
-anything else that reads the same rows in the same order again.
+are dropped, whatever their names. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -32,7 +31,7 @@ from pyspark.sql import functions as F
 from mutagrid.llm.common import table
 
 #: Units of one run.
-RUN = 64
+RUN = 128
 
 
 @dataclass(frozen=True)
@@ -72,36 +71,37 @@ def matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
 
-def requests(docs: DataFrame, rule: FillMiddle, id_column: str, text_column: str) -> DataFrame:
-    """(row, doc_id, text, n, form, low, high): each row's number of units, its form, and the units that end its prefix and its middle."""
+def measured(docs: DataFrame, rule: FillMiddle, id_column: str, text_column: str) -> DataFrame:
+    """(key, doc_id, text, n, form, low, high): each row's number of units, its form, and the units that end its prefix and its middle."""
     h1, h2, h3, h4 = hashes(F.col("doc_id"), rule.seed)
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id())
-    runs = matches(F.col("text"), rule.run)
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("runs", matches(F.col("text"), rule.run))
     # every run but the last is full
     units = F.when(F.col("text") == "", 0).otherwise((F.size("runs") - 1) * RUN + F.size(matches(F.element_at("runs", -1), rule.one))).cast("long")
     plain = (F.col("text") == "") | (h3 % 100 >= rule.cut)
     for marker in (rule.prefix, rule.suffix, rule.middle):
         plain = plain | F.contains("text", F.lit(marker))
-    rows = rows.withColumn("runs", runs).withColumn("n", units).drop("runs")
-    rows = rows.withColumn("form", F.when(plain, "plain").when(h4 % 100 < rule.suffix_first, "spm").otherwise("psm"))
+    form = F.when(plain, "plain").when(h4 % 100 < rule.suffix_first, "spm").otherwise("psm")
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))))
     a, b = h1 % (F.col("n") + 1), h2 % (F.col("n") + 1)
-    return rows.select("row", "doc_id", "text", "n", "form", F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+    return rows.withColumn("n", units).select(key.alias("key"), "doc_id", "text", "n", form.alias("form"), F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
 
 
 def offsets(rows: DataFrame, rule: FillMiddle) -> DataFrame:
-    """(row, low_at, high_at): where the requested units end, in code points; null where a request is for nothing before the first unit."""
+    """(key, low_at, high_at): where the units end that are asked for, in code points; null where no unit comes before the cut."""
     cut = rows.filter("form <> 'plain'")
-    # all columns stay, so that the rows are shuffled in one form for all that reads them
-    wanted = cut.select("row", F.posexplode(F.array("low", "high")).alias("which", "ordinal"), "doc_id", "n", "form", "text").filter("ordinal > 0").select("row", "which", "ordinal")
-    before = Window.partitionBy("row").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = cut.select("row", F.posexplode(matches(F.col("text"), rule.run)).alias("run", "part"), "doc_id", "n", "form", "low", "high", "text").select("row", "run", "part")
-    runs = runs.withColumn("at", F.coalesce(F.sum(F.length("part")).over(before), F.lit(0)))
+    of_run = F.floor((F.col("ordinal") - 1) / RUN).cast("int")
+    wanted = cut.withColumn("runs", matches(F.col("text"), rule.run)).select("key", "runs", F.posexplode(F.array("low", "high")).alias("which", "ordinal")).filter("ordinal > 0")
+    wanted = wanted.select("key", "which", "ordinal", F.get("runs", of_run).alias("part")).distinct()
+    runs = cut.select("key", F.posexplode(matches(F.col("text"), rule.run)).alias("run", "piece")).groupBy("key", "run").agg(F.max(F.length("piece")).alias("chars"))
+    before = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("at", F.coalesce(F.sum("chars").over(before), F.lit(0)))
     first = F.col("run").cast("long") * RUN
-    held = runs.join(wanted, "row").filter((F.col("ordinal") > first) & (F.col("ordinal") <= first + RUN))
-    units = held.select("row", "which", "at", (F.col("ordinal") - first).alias("ordinal"), F.posexplode(matches(F.col("part"), rule.one)).alias("unit", "piece"))
-    upto = Window.partitionBy("row", "which").orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = runs.join(wanted, "key").filter((F.col("ordinal") > first) & (F.col("ordinal") <= first + RUN))
+    units = held.select("key", "which", "at", (F.col("ordinal") - first).alias("ordinal"), F.posexplode(matches(F.col("part"), rule.one)).alias("unit", "piece"))
+    upto = Window.partitionBy("key", "which").orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = units.withColumn("end", F.col("at") + F.sum(F.length("piece")).over(upto)).filter(F.col("unit") + 1 == F.col("ordinal"))
-    return ends.groupBy("row").agg(*[F.max(F.when(F.col("which") == i, F.col("end"))).alias(name) for i, name in enumerate(("low_at", "high_at"))])
+    return ends.groupBy("key").agg(*[F.max(F.when(F.col("which") == i, F.col("end"))).alias(name) for i, name in enumerate(("low_at", "high_at"))])
 
 
 def arranged(text: Column, form: Column, low: Column, high: Column, rule: FillMiddle) -> Column:
@@ -122,10 +122,11 @@ def restored(output: Column, form: Column, rule: FillMiddle) -> Column:
 
 def fill_middle(docs: DataFrame, rule: FillMiddle = FillMiddle(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output, restored) of every row: numbers of units, lengths in code points (null if plain), texts."""
-    rows = requests(docs, rule, id_column, text_column).repartition("row")
-    cut = rows.join(offsets(rows, rule), "row", "left")
+    rows = measured(docs, rule, id_column, text_column)
+    cut = rows.filter("form <> 'plain'").drop("low", "high").join(offsets(rows, rule), "key", "left")
+    plain = rows.filter("form = 'plain'").drop("low", "high").withColumns({"low_at": F.lit(None).cast("long"), "high_at": F.lit(None).cast("long")})
     low, high, form = F.coalesce("low_at", F.lit(0)).cast("int"), F.coalesce("high_at", F.lit(0)).cast("int"), F.col("form")
-    out = cut.withColumn("output", arranged(F.col("text"), form, low, high, rule))
+    out = cut.unionByName(plain).withColumn("output", arranged(F.col("text"), form, low, high, rule))
     chars = lambda x: F.when(form != "plain", x.cast("long"))
     return out.select("doc_id", "n", "form", chars(low).alias("prefix_chars"), chars(high - low).alias("middle_chars"), "output", restored(F.col("output"), form, rule).alias("restored"))
 
