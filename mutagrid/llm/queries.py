@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mutagrid.llm import bpe, fill_middle, jaccard_join, mixing, nearest, ordinal, quality_rules, secret_scan, sharding, url_filter, warc
+from mutagrid.llm import bpe, divergence, fill_middle, jaccard_join, mixing, nearest, ordinal, quality_rules, secret_scan, sharding, url_filter, warc
 
 QUERIES = {
     "op1_quality": ordinal.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op13_divergence": divergence.op13_divergence,
     # the same operators on data that reach the depths of their methods
     "url_aliases": url_filter.url_aliases,
     "bpe_unsplit": bpe.bpe_unsplit,
@@ -33,6 +34,7 @@ ORACLES = {
     "op8_warc": warc.SQL,
     "op10_secret_scan": secret_scan.SQL,
     "op11_fill_middle": fill_middle.SQL,
+    "op13_divergence": divergence.SQL,
     "url_aliases": url_filter.ALIASES_SQL,
     "bpe_unsplit": bpe.UNSPLIT_SQL,
     "secret_versions": secret_scan.VERSIONS_SQL,
