@@ -10,9 +10,9 @@ so that a text of n units costs some n / ``RUN`` + 2 ``RUN`` rows rather than n:
 2. only these runs are exploded unit by unit, and the same window and ordinal give
    each request's offset. Offsets are aggregated per document, and substrings taken.
 
-A text is known by the digest of its id and itself. Of the runs only the lengths are
-shuffled, and the two that hold a cut with their requests; rows that are repeated whole are one by then, combined
-where they are read. The texts are shuffled once, to meet their offsets.
+A text is known by its id and hash. Of the runs only the lengths are shuffled, and the two
+that hold a cut, with their requests; where rows are repeated whole, they are combined
+before that. The texts are shuffled once, to meet their offsets.
 
 Defined results: a null text is an empty one, and plain; so is a text that holds a marker, and the
 share of texts that the hash leaves as they are. A null id hashes as an empty one. Repeated
@@ -32,6 +32,8 @@ from mutagrid.llm.common import table
 
 #: Units of one run.
 RUN = 128
+#: What tells texts apart: their id, or a hash where that is null, and a hash of id and text.
+KEY = ["id", "hash"]
 
 
 @dataclass(frozen=True)
@@ -72,7 +74,7 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def measured(docs: DataFrame, rule: FillMiddle, id_column: str, text_column: str) -> DataFrame:
-    """(key, doc_id, text, n, form, low, high): each row's number of units, its form, and the units that end its prefix and its middle."""
+    """(id, hash, doc_id, text, n, form, low, high): each row's number of units, its form, and the units that end its prefix and its middle."""
     h1, h2, h3, h4 = hashes(F.col("doc_id"), rule.seed)
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("runs", matches(F.col("text"), rule.run))
@@ -82,26 +84,28 @@ def measured(docs: DataFrame, rule: FillMiddle, id_column: str, text_column: str
     for marker in (rule.prefix, rule.suffix, rule.middle):
         plain = plain | F.contains("text", F.lit(marker))
     form = F.when(plain, "plain").when(h4 % 100 < rule.suffix_first, "spm").otherwise("psm")
-    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("text"))))
+    key = [F.coalesce("doc_id", F.xxhash64(F.lit("id"), F.col("text"))).alias("id"), F.xxhash64("doc_id", "text").alias("hash")]
     a, b = h1 % (F.col("n") + 1), h2 % (F.col("n") + 1)
-    return rows.withColumn("n", units).select(key.alias("key"), "doc_id", "text", "n", form.alias("form"), F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+    return rows.withColumn("n", units).select(*key, "doc_id", "text", "n", form.alias("form"), F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
 
 
 def offsets(rows: DataFrame, rule: FillMiddle) -> DataFrame:
-    """(key, low_at, high_at): where the units end that are asked for, in code points; null where no unit comes before the cut."""
-    cut = rows.filter("form <> 'plain'")
+    """(id, hash, low_at, high_at): where the units end that are asked for, in code points; null where no unit comes before the cut."""
+    cut = rows.filter("form <> 'plain'").withColumn("runs", matches(F.col("text"), rule.run))
     of_run = F.floor((F.col("ordinal") - 1) / RUN).cast("int")
-    wanted = cut.withColumn("runs", matches(F.col("text"), rule.run)).select("key", "runs", F.posexplode(F.array("low", "high")).alias("which", "ordinal")).filter("ordinal > 0")
-    wanted = wanted.select("key", "which", "ordinal", F.get("runs", of_run).alias("part")).distinct()
-    runs = cut.select("key", F.posexplode(matches(F.col("text"), rule.run)).alias("run", "piece")).groupBy("key", "run").agg(F.max(F.length("piece")).alias("chars"))
-    before = Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = cut.select(*KEY, "runs", F.posexplode(F.array("low", "high")).alias("which", "ordinal")).filter("ordinal > 0")
+    wanted = wanted.select(*KEY, "which", "ordinal", F.get("runs", of_run).alias("part"))
+    runs = cut.select(*KEY, F.posexplode("runs").alias("run", "piece")).select(*KEY, "run", F.length("piece").alias("chars"))
+    if not rows.groupBy(*KEY).count().filter("count > 1").isEmpty():
+        runs, wanted = runs.distinct(), wanted.distinct()
+    before = Window.partitionBy(*KEY).orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.withColumn("at", F.coalesce(F.sum("chars").over(before), F.lit(0)))
     first = F.col("run").cast("long") * RUN
-    held = runs.join(wanted, "key").filter((F.col("ordinal") > first) & (F.col("ordinal") <= first + RUN))
-    units = held.select("key", "which", "at", (F.col("ordinal") - first).alias("ordinal"), F.posexplode(matches(F.col("part"), rule.one)).alias("unit", "piece"))
-    upto = Window.partitionBy("key", "which").orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = runs.join(wanted, KEY).filter((F.col("ordinal") > first) & (F.col("ordinal") <= first + RUN))
+    units = held.select(*KEY, "which", "at", (F.col("ordinal") - first).alias("ordinal"), F.posexplode(matches(F.col("part"), rule.one)).alias("unit", "piece"))
+    upto = Window.partitionBy(*KEY, "which").orderBy("unit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ends = units.withColumn("end", F.col("at") + F.sum(F.length("piece")).over(upto)).filter(F.col("unit") + 1 == F.col("ordinal"))
-    return ends.groupBy("key").agg(*[F.max(F.when(F.col("which") == i, F.col("end"))).alias(name) for i, name in enumerate(("low_at", "high_at"))])
+    return ends.groupBy(*KEY).agg(*[F.max(F.when(F.col("which") == i, F.col("end"))).alias(name) for i, name in enumerate(("low_at", "high_at"))])
 
 
 def arranged(text: Column, form: Column, low: Column, high: Column, rule: FillMiddle) -> Column:
@@ -123,7 +127,7 @@ def restored(output: Column, form: Column, rule: FillMiddle) -> Column:
 def fill_middle(docs: DataFrame, rule: FillMiddle = FillMiddle(), id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n, form, prefix_chars, middle_chars, output, restored) of every row: numbers of units, lengths in code points (null if plain), texts."""
     rows = measured(docs, rule, id_column, text_column)
-    cut = rows.filter("form <> 'plain'").drop("low", "high").join(offsets(rows, rule), "key", "left")
+    cut = rows.filter("form <> 'plain'").drop("low", "high").join(offsets(rows, rule), KEY, "left")
     plain = rows.filter("form = 'plain'").drop("low", "high").withColumns({"low_at": F.lit(None).cast("long"), "high_at": F.lit(None).cast("long")})
     low, high, form = F.coalesce("low_at", F.lit(0)).cast("int"), F.coalesce("high_at", F.lit(0)).cast("int"), F.col("form")
     out = cut.unionByName(plain).withColumn("output", arranged(F.col("text"), form, low, high, rule))
