@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mutagrid.llm import bpe, divergence, fill_middle, jaccard_join, mixing, nearest, ordinal, quality_rules, secret_scan, sharding, url_filter, warc
+from mutagrid.llm import bpe, divergence, fill_middle, jaccard_join, language_id, mixing, nearest, ordinal, quality_rules, secret_scan, sharding, url_filter, warc
 
 QUERIES = {
     "op1_quality": ordinal.op1_quality,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_bpe": bpe.op9_bpe,
     "op10_secret_scan": secret_scan.op10_secret_scan,
     "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_language": language_id.op12_language,
     "op13_divergence": divergence.op13_divergence,
     # the same operators on data that reach the depths of their methods
     "url_aliases": url_filter.url_aliases,
@@ -23,8 +24,8 @@ QUERIES = {
     "secret_versions": secret_scan.secret_versions,
 }
 
-#: None for op1 (a fitted model), op5 (an approximate search) and op9 (a tokeniser): these are tested against brute force,
-#: exact round trips and held-out ratings.
+#: None for op1 (a fitted model), op5 (an approximate search), op9 (a tokeniser) and op12 (fitted automata): these are tested against brute force,
+#: exact round trips, held-out ratings and languages.
 ORACLES = {
     "op2_jaccard_join": jaccard_join.SQL,
     "op3_sharding": sharding.SQL,
