@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mutagrid.llm.common import slices, table
+from mutagrid.llm.common import Workspace, slices, table
 
 #: Bytes of a text that are parsed as one piece.
 SEGMENT = 1024
@@ -189,7 +189,8 @@ def fold(doc_id: Column) -> Column:
 def sample(labelled: DataFrame, rule: CrossParsing) -> DataFrame:
     """(lang, rank, piece): windows of the distinct texts with the least hashes of each language of (lang, text)."""
     rows = labelled.filter("lang is not null").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("text").alias("hash"))
-    known = rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts"))
+    # written, its size is known, and the texts are joined where they are read
+    known = Workspace(labelled.sparkSession, "languages").put("known", rows.groupBy("lang").agg(F.approx_count_distinct("hash").alias("texts")))
     number = known.count()
     pieces = max(1, min(rule.pieces, rule.total // max(1, number)))
     # what is ranked is some SPARE * pieces windows a language, however many texts there are; few texts have several each
