@@ -239,10 +239,14 @@ def near(pairs: DataFrame, light: DataFrame, rule: Jaccard) -> DataFrame:
     return pairs.join(side(light, "x"), "x").join(side(light, "y"), "y").filter(may_reach(rule, bound, F.col("x_n"), F.col("y_n"))).select("x", "y")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, rule: Jaccard, work: Workspace, name: str) -> DataFrame:
-    """The pairs (x, y) whose sets really link, as (a, b); only their documents' texts are tokenised again. The sets stay as ``name``-sets."""
+def verified(pairs: DataFrame, texts: DataFrame, rule: Jaccard, work: Workspace, name: str, again: bool) -> DataFrame:
+    """The pairs (x, y) whose sets really link, as (a, b); only their documents' texts are tokenised again. The sets stay as ``name``-sets.
+
+    ``again`` says that rows may be repeated: then each document's set is taken once.
+    """
     wanted = work.put(f"{name}-ids", pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
-    sets = work.put(f"{name}-sets", full_sets(texts, rule, marked(wanted)), incompressible=True)
+    sets = full_sets(texts, rule, marked(wanted))
+    sets = work.put(f"{name}-sets", sets.dropDuplicates(["doc_id"]) if again else sets, incompressible=True)
     full = pairs.join(side(sets, "x"), "x").join(side(sets, "y"), "y")
     common = F.size(F.array_intersect("x_tokens", "y_tokens"))
     links = work.put(name, full.filter(may_reach(rule, common, F.col("x_n"), F.col("y_n"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -284,7 +288,9 @@ def classes_of(spark: SparkSession, texts: DataFrame, members: DataFrame, counts
     copies = work.put("copies", members.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"))
     spare = work.put("spare", members.join(copies, "fp").filter("doc_id <> rep").select("doc_id", "fp").distinct())
 
-    leaving = work.put("leaving", spare.select("doc_id").union(repeats(members).select("doc_id")))
+    twice = work.put("twice", repeats(members).select("doc_id"))
+    again = not twice.isEmpty()
+    leaving = work.put("leaving", spare.select("doc_id").union(twice))
     every = prefixes(texts, rule, "doc_id", counts, marked(leaving)).filter("n > 0 and doc_id is not null")
     every = work.put("every", every, incompressible=True)
     # copies and repeated rows leave by an exact join, but only those that may be such are shuffled for it
@@ -297,12 +303,12 @@ def classes_of(spark: SparkSession, texts: DataFrame, members: DataFrame, counts
     room = F.col("m") + F.least(F.col("n") - F.col("pos"), hub_n - hub_pos) - 1
     to_hub = live.filter("doc_id <> hub.doc_id").filter(may_reach(rule, F.least(F.col("n"), hub_n, room), F.col("n"), hub_n))
     to_hub = to_hub.select(F.col("hub.doc_id").alias("x"), F.col("doc_id").alias("y")).distinct()
-    hub_links = verified(work.put("near-hub", near(to_hub, light, rule)), texts, rule, work, "links")
+    hub_links = verified(work.put("near-hub", near(to_hub, light, rule)), texts, rule, work, "links", again)
     parts = work.put("parts", connected_components(spark, hub_links, work, "hubs"))
 
     across = work.put("near-across", near(second_round(live, parts, rule, work), light, rule))
     work.drop("live", "every", "hot", "part")
-    more = verified(across, texts, rule, work, "more")
+    more = verified(across, texts, rule, work, "more", again)
     joined = contracted(more, parts)
     whole = work.put("whole", connected_components(spark, joined, work, "all"))
     # parts name a document's first class, whole the class of that class

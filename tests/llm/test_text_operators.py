@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -116,6 +117,19 @@ def test_links_are_counted(spark, monkeypatch):
     assert {r.doc_id: r.n_links for r in rows} == want and max(want.values()) > 8
 
 
+def test_links_of_repeated_rows(spark):
+    texts = near_copies(8, 60)
+    rng = random.Random(4)
+    rows = [x for x in texts.items() for _ in range(rng.choice([1, 1, 2, 5]))] + [(9000, None)] * 3 + [(None, "no id")] * 2
+    sets = [(i, {tuple(w[k : k + 3]) for k in range(len(w) - 2)} or {tuple(w)} if w else set()) for i, w in ((i, (t or "").split()) for i, t in rows)]
+    want = Counter((i, 0 if i is None else sum(100 * len(a & b) >= 90 * len(a | b) and bool(a) for l, (j, b) in enumerate(sets) if j is not None and k != l)) for k, (i, a) in enumerate(sets))
+    got = jaccard_join.classes(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), links=True).collect()
+    assert Counter((r.doc_id, r.n_links) for r in got) == want
+    a = " ".join(f"w{i}" for i in range(60))
+    four = [(1, a), (1, a), (2, a.replace("w59", "x")), (3, a.replace("w0 ", "y "))]
+    assert [r.n_links for r in jaccard_join.classes(spark, spark.createDataFrame(four, "doc_id long, text string"), links=True).collect()] == [3] * 4
+
+
 def test_an_id_with_two_texts(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text), (5, text.replace("w59", "x")), (5, "an unrelated text of its own with words enough"), (7, "an unrelated text of its own with words enough"), (9, None), (9, "")]
@@ -331,6 +345,23 @@ def test_spans_are_cut_from_the_unchanged_text(spark):
     assert staged == {r.doc_id: r.t for r in docs.select("doc_id", secret_scan.redact(F.col("text")).alias("t")).collect()}
 
 
+def test_time_follows_the_text_not_its_matches_squared(spark):
+    rule = secret_scan.RULES[2]
+
+    def timed(n):
+        text = "".join(f"{i:024x} é key " for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.perf_counter()
+        row = docs.select(secret_scan.spans_of(F.col("text"), rule).alias("s"), secret_scan.redact(F.col("text"), mark="#").alias("t")).first()
+        took = time.perf_counter() - start
+        assert [tuple(x) for x in row.s] == [(31 * i, 31 * i + 24) for i in range(n)] and row.t == "# é key " * n
+        return took
+
+    timed(100)
+    few, many = timed(5_000), timed(100_000)
+    assert many < 60 * few + 2
+
+
 def test_ledger_scans_unseen_pairs_only(spark, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
     first = spark.createDataFrame([("a", "token=abcdef"), ("b", "clean")], "path string, text string")
