@@ -1,7 +1,7 @@
 """Fill-in-middle by relational units: a text is a table of units, and a cut is a request for one of them.
 
 A text is matched left to right by the unit's pattern (a code point, a word, a line);
-a character that the pattern doesn't match is a unit of its own, so the units tile
+a character that the pattern doesn't match is a unit of its own, and the pattern sees nothing but its match, so the units tile
 the text. A cut request asks where the k-th unit ends. Units are exploded twice,
 so that a text of n units costs some n / ``RUN`` + 2 ``RUN`` rows rather than n:
 

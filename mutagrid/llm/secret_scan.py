@@ -14,7 +14,7 @@ which are the same, count once.
 Spans are code points, the end exclusive. A regular expression has no position
 function in Spark SQL; the pieces between the matches (``split``) and the
 matches (``regexp_extract_all``) come from the same left-to-right search, so a
-running sum of their lengths gives every start. All of it is DataFrame code.
+running sum of their lengths, by doubling runs, gives every start. All of it is DataFrame code.
 
 Defined results: a null text is an empty text; a null path is a path of its own and keeps
 its rows. Very long texts are scanned whole. Spans that tie in their start are ordered by
@@ -59,6 +59,8 @@ RULES = (
     SecretRule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 32, "eyJ"),
 )
 BASE = ("assign", "access", "hex")
+#: Code points of a block of a text that is cut, and passes of a running total: 4 to their power elements.
+BLOCK, PASSES = 1024, 14
 EMPTY_SHA = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
@@ -143,31 +145,61 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("path").alias("doc_id"), *counts, F.coalesce("base_sha256", F.lit(EMPTY_SHA)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is read."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(xs: Column, join) -> Column:
+    """What ``join`` makes of an array's elements up to each one: every pass joins four runs of the last pass's length."""
+
+    def behind(so_far: Column, i: Column, x: Column, width: int) -> Column:
+        for k in (1, 2, 3):
+            x = F.when(i >= k * width, join(x, F.get(so_far, i - k * width))).otherwise(x)
+        return x
+
+    def passed(width: int):
+        return lambda s: F.when(F.size(s) > width, F.transform(s, lambda x, i: behind(s, i, x, width))).otherwise(s)
+
+    for k in range(PASSES):
+        xs = let(xs, passed(4**k))
+    return xs
+
+
 def spans_of(text: Column, rule: SecretRule) -> Column:
     """Array of (start, end) of the holding matches of one rule."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
-    def step(acc, x):
-        begin = acc["at"] + x["gap"]
-        span = F.array(F.struct(begin.alias("start"), (begin + x["n"]).alias("end")))
-        return F.struct((begin + x["n"]).alias("at"), F.when(x["holds"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def placed(matches: Column) -> Column:
+        ends = running(F.transform(matches, lambda x: x["gap"] + x["n"]), lambda a, b: a + b)
+        return F.zip_with(matches, ends, lambda x, end: F.struct(F.when(x["holds"], end - x["n"]).alias("start"), end.alias("end")))
 
     # the text behind the last match has no match of its own
-    matches = F.filter(lengths(text, rule), lambda x: x["n"].isNotNull())
-    return F.aggregate(matches, start, step, lambda acc: acc["spans"])
+    return F.filter(let(F.filter(lengths(text, rule), lambda x: x["n"].isNotNull()), placed), lambda x: x["start"].isNotNull())
 
 
 def cut(text: Column, spans: Column, mark: str) -> Column:
-    """The text with the union of the spans (start, end) replaced: ``mark`` stands for each run of spans that overlap."""
-    nothing = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with the union of the spans (start, end) replaced: ``mark`` stands for each run of spans that overlap.
+
+    A position in a text is found by counting from its start, so pieces are taken from its blocks.
+    """
+
+    def piece(blocks: Column, start: Column, end: Column) -> Column:
+        first = F.floor(start / BLOCK).cast("int")
+        last = F.floor((end - 1) / BLOCK).cast("int")
+        whole = lambda i: F.substr(F.get(blocks, i), F.greatest(start - i * BLOCK, F.lit(0)) + 1, F.least(end - i * BLOCK, F.lit(BLOCK)) - F.greatest(start - i * BLOCK, F.lit(0)))
+        return F.when(end > start, F.array_join(F.transform(F.sequence(first, last), whole), "")).otherwise("")
+
+    def joined(blocks: Column) -> Column:
+        ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end"))))
+        return let(ordered, lambda xs: let(running(F.transform(xs, lambda x: x["end"]), F.greatest), lambda ends: between(blocks, xs, ends)))
 
-    def step(acc, x):
-        at, start, end = acc["at"], x["start"].cast("int"), x["end"].cast("int")
-        fresh = F.concat(acc["out"], F.substring(text, at + 1, start - at), F.lit(mark))
-        # spans come by start: one that begins within what is cut prolongs the cut
-        return F.struct(F.greatest(at, end).alias("at"), F.when((start < at), acc["out"]).otherwise(fresh).alias("out"))
+    def between(blocks: Column, xs: Column, ends: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(ends, i - 1), F.lit(0))
+        # a span that begins within what is cut prolongs the cut
+        opened = F.transform(xs, lambda x, i: F.when(x["start"] >= before(i), F.concat(piece(blocks, before(i), x["start"]), F.lit(mark))))
+        return F.concat(F.array_join(opened, ""), piece(blocks, before(F.size(ends)), F.length(text)))
 
-    return F.aggregate(F.array_sort(spans), nothing, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), joined)
 
 
 def redact(text: Column, rules: tuple[SecretRule, ...] = RULES, mark: str = "[SECRET]") -> Column:
