@@ -487,3 +487,43 @@ def table_documents(t, spark):
     cells = F.array(F.array(F.struct(F.col("n_name").alias("text")), F.struct(F.lit("").alias("text"))))
     fields = {"extraction_method": F.lit("lattice"), "page_number": F.col("n_regionkey"), "top": F.col("n_nationkey"), "left": F.lit(1), "width": F.lit(2), "height": F.lit(3), "right": F.lit(4), "bottom": F.lit(5)}
     return t("nation").withColumns(fields).select("n_nationkey", convert.table_json(cells).alias("doc"))
+
+
+_DAY, _RUN = 86_400, {"target": 2000, "test": 30, "keep": 4000}
+
+
+@query(f"""WITH o AS (SELECT o_custkey AS c, o_orderkey AS k, o_orderstatus AS s, epoch(o_orderdate)::BIGINT + o_orderkey % 80000 AS ts FROM orders),
+t AS (SELECT c, min(ts) AS opened, min(ts) + {_RUN["target"] * _DAY} AS due, CASE WHEN c % 3 <> 0 THEN max(ts) + {45 * _DAY} END AS finish FROM o GROUP BY 1),
+w AS (SELECT greatest((SELECT max(finish) FROM t), (SELECT max(ts + CASE s WHEN 'F' THEN k % 40 WHEN 'O' THEN k % 20 ELSE 0 END * {_DAY}) FROM o)) AS wm),
+u AS (SELECT *, CASE WHEN finish <= due THEN finish WHEN finish > due OR due < wm THEN due END AS settled, finish <= due AS ok FROM t, w),
+e AS (SELECT o.*, u.due, settled, ok, wm, CASE s WHEN 'F' THEN ts + k % 40 * {_DAY} WHEN 'O' THEN ts + k % 20 * {_DAY} END AS ended FROM o JOIN u USING (c) WHERE ts <= u.due)
+SELECT c::VARCHAR AS target, CASE WHEN ok THEN 'LIVE' ELSE 'EXCLUDED' END AS report, k::VARCHAR AS mutant, NULL::VARCHAR AS test, NULL::BIGINT AS known_kills FROM e WHERE settled IS NOT NULL AND NOT coalesce(s = 'F' AND k % 5 <= 3 AND ended - ts <= {_RUN["test"] * _DAY} AND ended <= settled, false)
+UNION ALL SELECT c::VARCHAR, CASE WHEN ok THEN 'DONE' ELSE 'TIMED_OUT' END, NULL, NULL, (SELECT count(*) FROM e WHERE e.c = u.c AND s = 'F' AND k % 5 <= 3 AND ended - ts <= {_RUN["test"] * _DAY} AND ended <= u.settled) FROM u WHERE settled IS NOT NULL
+UNION ALL SELECT c::VARCHAR, 'TEST_TIMED_OUT', NULL, 't' || k, NULL FROM e WHERE CASE WHEN ended <= due THEN ended - ts > {_RUN["test"] * _DAY} ELSE ts + {_RUN["test"] * _DAY} < coalesce(settled, wm) END""")
+def round_loop(t, spark):
+    """Customers are targets and orders their mutants, each with a test that kills it (F), ends (O) or never does; the stream's reports but those by round."""
+    from mutagrid.shared import work_folder
+    from mutagrid.streaming import rounds, streams
+
+    orders = t("orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), (F.unix_date(F.col("o_orderdate").cast("date")).cast("long") * _DAY + F.col("o_orderkey") % 80000).alias("sec"))
+    opened = orders.groupBy("c").agg(F.min("sec").alias("opened"), F.max("sec").alias("last"))
+    rows = orders.join(opened, "c").withColumn("test", F.concat(F.lit("t"), F.col("k")))
+    said = lambda kind, at, **more: F.struct(F.lit(kind).alias("kind"), more.get("mutant", F.lit(None).cast("string")).alias("mutant"), more.get("test", F.lit(None).cast("string")).alias("test"), more.get("since", F.lit(None).cast("long")).alias("since"), at.alias("at"))
+    mutant, test, sec = F.col("k").cast("string"), F.col("test"), F.col("sec")
+    end = F.when(F.col("s") == "F", said("killed", sec + F.col("k") % 40 * _DAY, mutant=mutant, test=test, since=sec)).when(F.col("s") == "O", said("ended", sec + F.col("k") % 20 * _DAY, test=test, since=sec))
+    one = rows.select("c", "opened", (F.col("k") % 5).alias("round"), F.explode(F.array_compact(F.array(said("mutant", sec, mutant=mutant), said("started", sec, test=test, since=sec), end))).alias("e"))
+    done = opened.filter("c % 3 <> 0").select("c", "opened", F.lit(0).cast("long").alias("round"), said("finished", F.col("last") + 45 * _DAY).alias("e"))
+    time = lambda c: F.timestamp_seconds(c)
+    events = one.unionByName(done).select(F.col("c").cast("string").alias("target"), time("opened").alias("opened"), "e.kind", "e.mutant", "e.test", time("e.since").alias("since"), "round", time("e.at").alias("at"))
+    root = work_folder(spark, "rounds")
+    # a batch of the stream is a folder of files, in the order of their time
+    years = [None, 1997, 1999, None]
+    for low, high in zip(years, years[1:]):
+        part = events if low is None else events.filter(F.col("at") >= F.timestamp_seconds(F.unix_date(F.make_date(F.lit(low), F.lit(1), F.lit(1))) * _DAY))
+        part = part if high is None else part.filter(F.col("at") < F.timestamp_seconds(F.unix_date(F.make_date(F.lit(high), F.lit(1), F.lit(1))) * _DAY))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    limits = rounds.Deadlines(_RUN["target"] * _DAY * 1000, _RUN["test"] * _DAY * 1000, _RUN["keep"] * _DAY * 1000, 3)
+    reports = rounds.round_loop(streams.file_stream(spark, f"{root}/in", events.schema), limits)
+    query = reports.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(rounds.REPORTS).parquet(f"{root}/out").filter(F.col("report") != rounds.ROUND).select("target", "report", "mutant", "test", "known_kills")

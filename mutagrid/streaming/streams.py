@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 
@@ -55,19 +56,34 @@ def publish_latest(rows: DataFrame, path: str, keys: list[str], order: str, chec
 KNOWN = "target string, round long, new_kills long, known_kills long"
 
 
-def accumulate(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A target's killed mutants so far; a row for each batch that has some of its kills."""
-    known = set(state.get[0]) if state.exists else set()
-    before, round_ = len(known), (state.get[1] if state.exists else 0) + 1
-    for pdf in batches:
-        known |= set(pdf["mutant"].astype(str))
-    state.update((sorted(known), round_))
-    yield pd.DataFrame([(key[0], round_, len(known) - before, len(known))], columns=["target", "round", "new_kills", "known_kills"])
+class KilledSoFar(StatefulProcessor):
+    """A target's killed mutants, one entry each; a row for each batch that has some of its kills."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.known = handle.getMapState("known", "mutant string", "round long")
+        self.total = handle.getValueState("total", "round long, kills long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        round_, before = self.total.get() if self.total.exists() else (0, 0)
+        new = 0
+        for row in rows:
+            if not self.known.containsKey((row.mutant,)):
+                self.known.updateValue((row.mutant,), (round_ + 1,))
+                new += 1
+        self.total.update((round_ + 1, before + new))
+        yield Row(target=key[0], round=round_ + 1, new_kills=new, known_kills=before + new)
 
 
 def killed_so_far(kills: DataFrame) -> DataFrame:
-    """Stream of (target, mutant) kills -> the accumulated killed set's size, round by round."""
-    return kills.groupBy("target").applyInPandasWithState(accumulate, KNOWN, "known array<string>, round long", "append", GroupStateTimeout.NoTimeout)
+    """Stream of (target, mutant) kills -> the accumulated killed set's size, round by round; ``rounds.round_loop`` has deadlines as well."""
+    by_key_state(kills.sparkSession, sys.modules[__name__])
+    return kills.select("target", F.col("mutant").cast("string").alias("mutant")).groupBy("target").transformWithState(KilledSoFar(), KNOWN, "append", "none")
+
+
+def by_key_state(spark: SparkSession, module) -> None:
+    """Keyed states need the RocksDB store; the process that prepares them has no path to this package, so processors go to it by value."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    cloudpickle.register_pickle_by_value(module)
 
 
 def append_log(lines: DataFrame, path: str, checkpoint: str):
