@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -142,18 +142,13 @@ def extents(cells: DataFrame, key: str) -> DataFrame:
 def greedy_suites(kills: DataFrame, target: str, test: str, mutant: str) -> DataFrame:
     """(target, test, ordinal, gain): tests by kills, ties by name; one stays only if it kills something new.
 
-    The rule is sequential within a target, so each target's tests are folded over
-    the mutants killed so far; targets are independent. A target's state is its
-    own suite x its mutants.
+    The order is fixed before the choice, and a test that isn't kept kills nothing that the tests
+    before it leave. So a test stays exactly if it is some mutant's first killer in that order,
+    and its gain is how many it is the first of: two aggregates, whatever the size of a suite.
     """
-    hit = kills.filter("failed").select(F.col(target).cast("string").alias("target"), F.col(test).cast("string").alias("test"), F.col(mutant).cast("string").alias("mutant"))
-    tests = hit.groupBy("target", "test").agg(F.collect_set("mutant").alias("mutants"))
-    suite = tests.groupBy("target").agg(F.array_sort(F.collect_list(F.struct((-F.size("mutants")).alias("order"), "test", "mutants"))).alias("suite"))
-
-    def step(acc, x):
-        new = F.array_except(x["mutants"], acc["killed"])
-        keep = F.array_append(acc["kept"], F.struct(x["test"].alias("test"), F.size(acc["kept"]).alias("ordinal"), F.size(new).alias("gain")))
-        return F.when(F.size(new) > 0, F.struct(F.concat(acc["killed"], new).alias("killed"), keep.alias("kept"))).otherwise(acc)
-
-    start = F.struct(F.array().cast("array<string>").alias("killed"), F.array().cast("array<struct<test:string,ordinal:int,gain:int>>").alias("kept"))
-    return suite.select("target", F.inline(F.aggregate("suite", start, step, lambda acc: acc["kept"])))
+    hit = kills.filter("failed").select(F.col(target).cast("string").alias("target"), F.col(test).cast("string").alias("test"), F.col(mutant).cast("string").alias("mutant")).distinct()
+    order = hit.groupBy("target", "test").agg((-F.count("*")).alias("n"))
+    first = hit.join(order, ["target", "test"]).groupBy("target", "mutant").agg(F.min(F.struct("n", "test")).alias("first"))
+    kept = first.groupBy("target", "first").agg(F.count("*").cast("int").alias("gain"))
+    rank = F.row_number().over(Window.partitionBy("target").orderBy("first"))
+    return kept.select("target", "first.test", (rank - 1).alias("ordinal"), "gain")

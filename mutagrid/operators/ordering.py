@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mutagrid.operators import scans
+
 
 def first_n_groups(rows: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
     """All rows of the n groups that appear first; groups are ranked from one row each, not from all rows."""
@@ -67,16 +69,17 @@ def accumulated(rows: DataFrame, group: str, order: str, item: str) -> DataFrame
 
 
 def running(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:
-    run = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumns({"running_max": F.max(value).over(run), "running_sum": F.sum(value).over(run), "running_n": F.count("*").over(run)})
+    """The running maximum, sum and number of rows of each group, of any size."""
+    x = F.col(value)
+    return scans.scanned(rows, [group], order, {"running_max": ("max", x), "running_sum": ("sum", x), "running_n": ("count", F.lit(1))})
 
 
 def row_breaks(rows: DataFrame, group: str, order: list[str], top: str) -> DataFrame:
     """Table rows numbered from 0: a new one begins where ``top`` changes."""
-    w = Window.partitionBy(group).orderBy(*order)
-    changed = (~F.lag(top).over(w).eqNullSafe(F.col(top))).cast("int")
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("_new", changed).withColumn("row_no", (F.sum("_new").over(run) - 1).cast("int")).drop("_new")
+    seen = scans.scanned(rows, [group], order, {"_first": ("count", F.lit(1)), "_before": ("before", F.col(top))})
+    changed = ((F.col("_first") > 1) & ~F.col("_before").eqNullSafe(F.col(top))).cast("int")
+    found = scans.scanned(seen.withColumn("_new", changed), [group], order, {"row_no": ("sum", F.col("_new"))})
+    return found.withColumn("row_no", F.col("row_no").cast("int")).drop("_new", "_first", "_before")
 
 
 def listed(rows: DataFrame, *by: str) -> DataFrame:

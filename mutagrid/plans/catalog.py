@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mutagrid.functions import convert, text
-from mutagrid.operators import aggregates, class_rules, joins, lineage, ordering, rules, selection, sets
+from mutagrid.operators import aggregates, class_rules, joins, lineage, ordering, rules, scans, scopes, selection, sets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -527,3 +527,46 @@ def round_loop(t, spark):
     query = reports.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(rounds.REPORTS).parquet(f"{root}/out").filter(F.col("report") != rounds.ROUND).select("target", "report", "mutant", "test", "known_kills")
+
+
+@query("""SELECT l_orderkey, l_linenumber, sum(l_partkey) OVER w::BIGINT AS parts, max(l_suppkey) OVER w AS most, count(*) OVER w AS n, last_value(CASE WHEN l_returnflag = 'R' THEN l_partkey END IGNORE NULLS) OVER w AS returned,
+  lag(l_returnflag) OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS flag_before FROM lineitem WINDOW w AS (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey ROWS UNBOUNDED PRECEDING)""")
+def one_key_scan(t, spark):
+    """All rows as one key, in blocks."""
+    rows = t("lineitem").select("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", F.lit(0).alias("all"))
+    values = {"parts": ("sum", F.col("l_partkey")), "most": ("max", F.col("l_suppkey")), "n": ("count", F.lit(1)), "returned": ("last", F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))), "flag_before": ("before", F.col("l_returnflag"))}
+    found = scans.blocked(rows, ["all"], ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], values)
+    return found.select("l_orderkey", "l_linenumber", *values)
+
+
+# scopes within scopes: extents of 4^k orders, aligned to their size, with three names and files of 1,024 orders
+_SCOPES = """s AS (SELECT o_orderkey AS id, o_orderkey // 1024 AS file, 'n' || o_custkey % 3 AS name, o_orderkey % 5 AS level, o_orderkey // (4 ** (o_orderkey % 5))::BIGINT * (4 ** (o_orderkey % 5))::BIGINT * 10 AS start,
+  (o_orderkey // (4 ** (o_orderkey % 5))::BIGINT + 1) * (4 ** (o_orderkey % 5))::BIGINT * 10 - 1 AS stop, o_orderstatus AS kind FROM orders),
+r AS (SELECT DISTINCT l_orderkey, l_linenumber, l_orderkey // 1024 AS file, 'n' || l_partkey % 3 AS name, l_orderkey * 10 + l_linenumber AS pos FROM lineitem)"""
+
+
+def _scopes(t):
+    k = F.col("o_orderkey")
+    size = F.pow(F.lit(4), k % 5).cast("long")
+    start = F.floor(k / size) * size * 10
+    scopes = t("orders").select(k.alias("id"), F.floor(k / 1024).alias("file"), F.concat(F.lit("n"), F.col("o_custkey") % 3).alias("name"), start.alias("start"), (start + size * 10 - 1).alias("end"), F.col("o_orderstatus").alias("kind"))
+    o = F.col("l_orderkey")
+    refs = t("lineitem").select("l_orderkey", "l_linenumber", F.floor(o / 1024).alias("file"), F.concat(F.lit("n"), F.col("l_partkey") % 3).alias("name"), (o * 10 + F.col("l_linenumber")).alias("at")).distinct()
+    return scopes, refs
+
+
+@query(f"""WITH {_SCOPES} SELECT l_orderkey, l_linenumber, r.name, arg_max(s.id, (s.start, -s.stop, s.id)) AS declared_by FROM r LEFT JOIN s ON r.file = s.file AND r.name = s.name AND pos BETWEEN start AND stop GROUP BY 1, 2, 3""")
+def scope_bindings(t, spark):
+    scopes_, refs = _scopes(t)
+    return scopes.bound(refs, scopes_, ["file", "name"], "at", "id").select("l_orderkey", "l_linenumber", "name", "declared_by")
+
+
+@query(f"""WITH {_SCOPES}, m AS (SELECT r.*, arg_max(CASE WHEN s.id % 7 = 0 THEN 'main' ELSE 'run' END, (s.start, -s.stop, s.id)) AS method FROM r LEFT JOIN s ON r.file = s.file AND s.kind = 'P' AND pos BETWEEN start AND stop GROUP BY ALL),
+b AS (SELECT m.*, arg_max(s.id * 2 + (s.kind <> 'F')::INTEGER, (s.start, -s.stop, s.id * 2 + (s.kind <> 'F')::INTEGER)) AS d FROM m JOIN s ON m.file = s.file AND m.name = s.name AND s.kind <> 'P' AND pos BETWEEN start AND stop WHERE method IS DISTINCT FROM 'main' GROUP BY ALL)
+SELECT id, file, name FROM s WHERE kind = 'F' AND id * 2 NOT IN (SELECT d FROM b WHERE d % 2 = 0)""")
+def fields_out_of_reach(t, spark):
+    """Orders are fields (F), local variables (O) and methods (P, every seventh is main); line items refer to them."""
+    found, refs = _scopes(t)
+    methods = found.filter("kind = 'P'").select("file", F.when(F.col("id") % 7 == 0, "main").otherwise("run").alias("method"), "start", "end", "id")
+    kinds = {k: found.filter(F.col("kind") == k).select("file", "name", "start", "end", "id") for k in "FO"}
+    return scopes.unreferenced_fields(kinds["F"], kinds["O"], methods, refs.select("file", "name", "at")).select("id", "file", "name")
