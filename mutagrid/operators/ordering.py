@@ -76,9 +76,10 @@ def running(rows: DataFrame, group: str, order: list[str], value: str) -> DataFr
 
 def row_breaks(rows: DataFrame, group: str, order: list[str], top: str) -> DataFrame:
     """Table rows numbered from 0: a new one begins where ``top`` changes."""
-    seen = scans.scanned(rows, [group], order, {"_first": ("count", F.lit(1)), "_before": ("before", F.col(top))})
+    scan = scans.way(rows, [group])
+    seen = scan(rows, [group], order, {"_first": ("count", F.lit(1)), "_before": ("before", F.col(top))})
     changed = ((F.col("_first") > 1) & ~F.col("_before").eqNullSafe(F.col(top))).cast("int")
-    found = scans.scanned(seen.withColumn("_new", changed), [group], order, {"row_no": ("sum", F.col("_new"))})
+    found = scan(seen.withColumn("_new", changed), [group], order, {"row_no": ("sum", F.col("_new"))})
     return found.withColumn("row_no", F.col("row_no").cast("int")).drop("_new", "_first", "_before")
 
 

@@ -12,6 +12,7 @@ are defined as a bag. Null keys are a key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,10 +34,15 @@ KINDS = {
 }
 
 
+def way(rows: DataFrame, by: list[str], most: int | None = None) -> Callable[..., DataFrame]:
+    """``windowed`` where no key has more than ``most`` rows, else ``blocked``. What is scanned step by step decides once, by its coarsest key."""
+    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0]
+    return blocked if (largest or 0) > (MOST if most is None else most) else windowed
+
+
 def scanned(rows: DataFrame, by: list[str], order: list[str], columns: dict[str, tuple[str, Column]], most: int | None = None) -> DataFrame:
     """The rows with running columns {name: (kind, value)}: one window where no key has more than ``most`` rows, else blocks."""
-    largest = rows.groupBy(*by).count().agg(F.max("count")).first()[0]
-    return (blocked if (largest or 0) > (MOST if most is None else most) else windowed)(rows, by, order, columns)
+    return way(rows, by, most)(rows, by, order, columns)
 
 
 def places(rows: DataFrame, by: list[str], order: list[str]) -> list[str]:

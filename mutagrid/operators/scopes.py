@@ -25,8 +25,9 @@ def bound(references: DataFrame, declarations: DataFrame, by: list[str], at: str
     closes = scope.select(*by, *place("end", 2, -F.col("start"), -F.col(ident)), F.lit(-1).alias("_step"), no_id, no_row)
     zero = F.lit(0)
     seen = references.select(*by, *place(at, 1, zero, zero), zero.alias("_step"), no_id, row.alias("_row"))
-    sweep = scans.scanned(opens.unionByName(closes).unionByName(seen), by, ["_at", "_side", "_a", "_b"], {"_depth": ("sum", F.col("_step"))}, most)
-    held = scans.scanned(sweep.filter("_side < 2").drop("_step"), [*by, "_depth"], ["_at", "_side", "_a", "_b"], {"_scope": ("last", F.col("_id"))}, most)
+    scan = scans.way(scope.select(*by).unionAll(scope.select(*by)).unionAll(references.select(*by)), by, most)
+    sweep = scan(opens.unionByName(closes).unionByName(seen), by, ["_at", "_side", "_a", "_b"], {"_depth": ("sum", F.col("_step"))})
+    held = scan(sweep.filter("_side < 2").drop("_step"), [*by, "_depth"], ["_at", "_side", "_a", "_b"], {"_scope": ("last", F.col("_id"))})
     known = F.lit(True)
     for c in by:
         known = known & F.col(c).isNotNull()

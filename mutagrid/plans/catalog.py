@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mutagrid.functions import convert, text
 from mutagrid.operators import aggregates, class_rules, joins, lineage, ordering, rules, scans, scopes, selection, sets
+from mutagrid.sources import trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -206,8 +207,6 @@ def topk_similar(t, spark):
 
 @query("""SELECT e.event_id, e.user_id, s.k AS line FROM events e ASOF LEFT JOIN (SELECT user_id, event_id AS start, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events WHERE event_type = 'signup') s ON e.user_id = s.user_id AND e.event_id >= s.start""")
 def asof_line(t, spark):
-    from pyspark.sql import Window
-
     starts = t("events").filter("event_type = 'signup'").select("user_id", "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")).cast("bigint").alias("line"))
     return joins.as_of(t("events").select("user_id", "event_id", "value"), starts, ["user_id"], "event_id", "line").select("event_id", "user_id", "line")
 
@@ -570,3 +569,41 @@ def fields_out_of_reach(t, spark):
     methods = found.filter("kind = 'P'").select("file", F.when(F.col("id") % 7 == 0, "main").otherwise("run").alias("method"), "start", "end", "id")
     kinds = {k: found.filter(F.col("kind") == k).select("file", "name", "start", "end", "id") for k in "FO"}
     return scopes.unreferenced_fields(kinds["F"], kinds["O"], methods, refs.select("file", "name", "at")).select("id", "file", "name")
+
+
+_TREE = """w AS (SELECT o_custkey AS c, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders),
+d AS (SELECT c, k, i, i + min(CASE WHEN i = 0 THEN 0 ELSE 1 + k % 5 - i END) OVER (PARTITION BY c ORDER BY i) AS depth FROM w)"""
+
+
+def _trees(t):
+    """A customer's orders as nodes: each as deep as its number asks for, but no more than one level below the order before it."""
+    own = Window.partitionBy("c").orderBy("k")
+    rows = t("orders").select(F.col("o_custkey").alias("c"), F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s")).withColumn("i", (F.row_number().over(own) - 1).cast("long"))
+    depth = F.col("i") + F.min(F.when(F.col("i") == 0, 0).otherwise(1 + F.col("k") % 5 - F.col("i"))).over(Window.partitionBy("c").orderBy("i"))
+    kind = F.when(F.col("s") == "F", "Block").otherwise("ExpressionStatement")
+    return rows.select(F.col("c").cast("string").alias("file"), F.col("i").alias("node_id"), depth.cast("int").alias("depth"), kind.alias("kind"), F.concat(F.lit("it's "), "k").alias("label"), (F.col("k") * 2).cast("int").alias("pos"), F.lit(2).alias("len"), F.col("k").cast("int").alias("line"), F.col("k").cast("int").alias("line_end"))
+
+
+@query(f"""WITH {_TREE}, p AS (SELECT a.c, a.i, a.k, a.depth, max(b.i) AS parent_id FROM d a LEFT JOIN d b ON a.c = b.c AND b.depth = a.depth - 1 AND b.i < a.i GROUP BY ALL),
+n AS (SELECT c, count(*) AS n, sum(k) AS total FROM w GROUP BY 1),
+e AS (SELECT a.c, a.i, coalesce(min(b.i), any_value(n)) - 1 AS last_id FROM d a JOIN n USING (c) LEFT JOIN d b ON a.c = b.c AND b.depth <= a.depth AND b.i > a.i GROUP BY a.c, a.i)
+SELECT c::VARCHAR AS file, i AS node_id, parent_id, last_id, last_id - depth AS post_id, depth::INTEGER AS depth, 'it''s ' || k AS label FROM p JOIN e USING (c, i)""")
+def tree_numbers(t, spark):
+    """Trees written as indented text and as JSON, read again, and numbered: what both forms say alike."""
+    columns = ["file", "node_id", "parent_id", "last_id", "post_id", "depth", "label"]
+    nodes = _trees(t)
+    lines = trees.from_indented(trees.to_indented(nodes)).select(*columns)
+    return lines.intersectAll(trees.from_json(trees.to_json(nodes)).select(*columns))
+
+
+@query(f"""WITH {_TREE}, s AS (SELECT d.*, CASE WHEN o_orderstatus = 'F' THEN 'Block' ELSE 'ExpressionStatement' END AS kind FROM d JOIN orders ON k = o_orderkey),
+n AS (SELECT c, count(*) AS n, sum(k) AS total FROM w GROUP BY 1),
+e AS (SELECT a.c, a.i, any_value(a.kind) AS kind, any_value(a.depth) AS depth, any_value(n) AS n, any_value(total) AS total, coalesce(min(b.i), any_value(n)) AS stop FROM s a JOIN n USING (c) LEFT JOIN s b ON a.c = b.c AND b.depth <= a.depth AND b.i > a.i GROUP BY a.c, a.i),
+p AS (SELECT e.c, e.i, arg_max(p.kind, p.i) AS above FROM e JOIN s p ON p.c = e.c AND p.depth = e.depth - 1 AND p.i < e.i GROUP BY 1, 2),
+g AS (SELECT e.c, e.i, sum(x.k) AS gone FROM e JOIN s x ON x.c = e.c AND x.i >= e.i AND x.i < e.stop GROUP BY 1, 2)
+SELECT e.c::VARCHAR || '#SDL_' || e.i AS file, n - (stop - e.i) AS nodes, (total - gone)::BIGINT AS lines FROM e JOIN p USING (c, i) JOIN g USING (c, i) WHERE kind = 'ExpressionStatement' AND above = 'Block'""")
+def statement_deletions(t, spark):
+    """The trees that are left when a statement and all below it are deleted, one for each statement of a block."""
+    tree = trees.numbered(_trees(t))
+    left = trees.without_statement(tree, trees.statements(tree))
+    return left.groupBy("file").agg(F.count("*").alias("nodes"), F.sum("line").alias("lines"))
