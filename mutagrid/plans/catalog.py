@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mutagrid.functions import convert, text
-from mutagrid.operators import aggregates, class_rules, joins, lineage, ordering, rules, scans, scopes, selection, sets
+from mutagrid.operators import aggregates, class_rules, joins, lineage, ordering, rules, scans, scopes, selection, sets, sketches
 from mutagrid.sources import trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -607,3 +607,59 @@ def statement_deletions(t, spark):
     tree = trees.numbered(_trees(t))
     left = trees.without_statement(tree, trees.statements(tree))
     return left.groupBy("file").agg(F.count("*").alias("nodes"), F.sum("line").alias("lines"))
+
+
+_SIDES = "p_partkey * 7919 % 1000000 AS l, p_partkey * 104729 % 1000000 AS t, p_partkey * 7919 % 1000000 + p_size * (10 ** (p_partkey % 6))::BIGINT AS r, p_partkey * 104729 % 1000000 + (p_size + 3) * (10 ** (p_partkey // 7 % 5))::BIGINT AS b"
+
+
+@query(f"""WITH x AS (SELECT p_partkey AS id, p_brand, {_SIDES} FROM part) SELECT q.id AS query_id, x.id AS box_id FROM x q JOIN x ON x.l <= q.r AND q.l <= x.r AND x.t <= q.b AND q.t <= x.b WHERE q.p_brand IN ('Brand#3', 'Brand#11')""")
+def boxes_of_any_size(t, spark):
+    """Boxes with sides from 1 to some millions in one table, without a cell to choose."""
+    k, ten = F.col("p_partkey"), lambda e: F.pow(F.lit(10), e).cast("long")
+    x, y = k * 7919 % 1000000, k * 104729 % 1000000
+    boxes = t("part").select("p_brand", k.alias("box_id"), x.alias("left"), y.alias("top"), (x + F.col("p_size") * ten(k % 6)).alias("right"), (y + (F.col("p_size") + 3) * ten(F.floor(k / 7) % 5)).alias("bottom"))
+    queries = boxes.filter("p_brand in ('Brand#3', 'Brand#11')").drop("p_brand").withColumnRenamed("box_id", "query_id")
+    return joins.boxes_meeting(boxes.drop("p_brand"), queries, None, False)
+
+
+@query("""SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, grouping_id(event_type, strftime(ts, '%Y-%m-%d')) AS set_id, count(*) AS n, sum(event_id)::BIGINT AS total, true AS distinct_near, true AS median_near
+  FROM events GROUP BY GROUPING SETS ((event_type, strftime(ts, '%Y-%m-%d')), (event_type), (strftime(ts, '%Y-%m-%d')), ())""")
+def sketch_cube(t, spark):
+    """Parts per day and type, stored, then merged for four grouping sets; both estimates are held against the exact answer."""
+    from mutagrid.shared import work_folder
+
+    rule, path = sketches.Sketches(), work_folder(spark, "parts")
+    rows = t("events").select("event_type", F.date_format("ts", "yyyy-MM-dd").alias("day"), "user_id", "event_id")
+    sketches.stored_parts(rows, path, "day", ["event_type"], "user_id", "event_id", rule)
+    stored_ = sketches.read_parts(spark, path).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    sets = [["event_type", "day"], ["event_type"], ["day"], []]
+    found = sketches.merged(stored_, sets, rule).withColumns({"users": sketches.distinct_count(F.col("distinct")), "median": sketches.quantile(F.col("spread"), 0.5)})
+    keys = {"event_type": "_type", "day": "_day", "set_id": "_set"}
+    exact = rows.groupingSets([[F.col(k) for k in one] for one in sets], F.col("event_type"), F.col("day")).agg(F.grouping_id().alias("set_id"), F.count_distinct("user_id").alias("known")).withColumnsRenamed(keys)
+    near = found.join(exact, (F.col("set_id") == F.col("_set")) & F.col("event_type").eqNullSafe(F.col("_type")) & F.col("day").eqNullSafe(F.col("_day")))
+    below = rows.withColumns({"low": F.col("event_type"), "date": F.col("day")}).select("low", "date", "event_id")
+    spread = found.select("event_type", "day", "set_id", "median")
+    # what lies below each median, of the rows of its group
+    met = (F.col("event_type").isNull() | (F.col("low") == F.col("event_type"))) & (F.col("day").isNull() | (F.col("date") == F.col("day")))
+    ranks = below.join(F.broadcast(spread), met).groupBy("event_type", "day", "set_id").agg((F.count_if(F.col("event_id") < F.col("median")) / F.count("*")).alias("less"), (F.count_if(F.col("event_id") <= F.col("median")) / F.count("*")).alias("upto")).withColumnsRenamed(keys)
+    near = near.drop("_type", "_day", "_set").join(ranks, (F.col("set_id") == F.col("_set")) & F.col("event_type").eqNullSafe(F.col("_type")) & F.col("day").eqNullSafe(F.col("_day")))
+    return near.select(
+        "event_type", "day", F.col("set_id").cast("long").alias("set_id"), "n", F.col("total").cast("long").alias("total"), (F.abs(F.col("users") - F.col("known")) <= rule.distinct_error * F.col("known")).alias("distinct_near"),
+        ((F.col("less") <= 0.5 + rule.rank_error) & (F.col("upto") >= 0.5 - rule.rank_error)).alias("median_near"),
+    )
+
+
+@query("SELECT o_custkey, o_orderkey, o_orderstatus, epoch(o_orderdate)::BIGINT * 100000 + o_orderkey AS place FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def published_orders(t, spark):
+    """Orders as a stream of four batches, out of order, that publishes each customer's last one."""
+    from mutagrid.shared import work_folder
+    from mutagrid.streaming import published, streams
+
+    root = work_folder(spark, "published")
+    rows = t("orders").select("o_custkey", "o_orderkey", "o_orderstatus", (F.unix_date(F.col("o_orderdate").cast("date")).cast("long") * 86400 * 100000 + F.col("o_orderkey")).alias("place"))
+    for part in range(4):
+        rows.filter(F.pmod(F.xxhash64("o_orderkey"), F.lit(4)) == part).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    stream = streams.file_stream(spark, f"{root}/in", rows.schema)
+    layout = published.Layout(buckets=4, most=2)
+    streams.publish_latest(stream, f"{root}/table", ["o_custkey"], "place", f"{root}/checkpoint", layout).trigger(availableNow=True).start().awaitTermination()
+    return published.read_latest(spark, f"{root}/table", "o_custkey long, o_orderkey long, o_orderstatus string, place long", ["o_custkey"], "place")

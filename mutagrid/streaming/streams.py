@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from mutagrid.streaming import published
+
 
 def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
@@ -36,19 +38,11 @@ def first_seen(events: DataFrame, time: str, keys: list[str], late: str = "1 hou
     return timed(events, time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def publish_latest(rows: DataFrame, path: str, keys: list[str], order: str, checkpoint: str):
-    """A writer that keeps the last row of each key in a table: a later run supersedes.
-
-    Each batch is merged with the current version and written as the next one;
-    a batch that is run again writes the same version again, so the result doesn't change.
-    """
+def publish_latest(rows: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, layout: published.Layout = published.Layout()):
+    """A writer that keeps the last row of each key in a table: a later run supersedes. Read it by ``published.read_latest``."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        rest = [c for c in batch.columns if c not in keys]
-        both = batch if batch_id == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}"))
-        last = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col(order)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
-        last.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        published.publish(batch, batch_id, path, keys, order, layout)
 
     return rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
 

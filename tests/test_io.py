@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mutagrid import schemas
 from mutagrid.operators import ordering
 from mutagrid.sources import readers, sinks
-from mutagrid.streaming import streams
+from mutagrid.streaming import published, streams
 
 SHEET = '<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
 
@@ -110,10 +110,40 @@ def test_streams(spark, sf_dir, tmp_path):
     assert spark.sql("select sum(n) from w").first()[0] == events.count()
     q = streams.publish_latest(stream().select("user_id", "event_id", "event_type"), str(tmp_path / "latest"), ["user_id"], "event_id", str(tmp_path / "cp")).start()
     q.processAllAvailable(), q.stop()
-    latest = spark.read.parquet(str(tmp_path / "latest" / "v2"))
+    latest = published.read_latest(spark, str(tmp_path / "latest"), "user_id long, event_id long, event_type string", ["user_id"], "event_id")
     assert {(r.user_id, r.event_id) for r in latest.collect()} == {tuple(r) for r in events.groupBy("user_id").agg(F.max("event_id")).collect()}
     kills = stream().select(F.col("event_type").alias("target"), F.col("user_id").alias("mutant"))
     q = streams.killed_so_far(kills).writeStream.format("memory").queryName("k").outputMode("append").start()
     q.processAllAvailable(), q.stop()
     got = {r.target: r.m for r in spark.sql("select target, max(known_kills) m from k group by target").collect()}
     assert got == {r[0]: r[1] for r in events.groupBy("event_type").agg(F.count_distinct("user_id")).collect()}
+
+
+def test_a_published_table_costs_what_its_batches_hold(spark, tmp_path):
+    root, layout = str(tmp_path / "t"), published.Layout(buckets=4, most=3, keep=2)
+    schema, want = "k long, o long, v string", {}
+    read = lambda: {r.k: (r.o, r.v) for r in published.read_latest(spark, root, schema, ["k"], "o").collect()}
+    assert read() == {}
+    big = [(k, 0, f"base {k} {hashlib.sha256(str(k).encode()).hexdigest()}") for k in range(20_000)]
+    sizes = []
+    for batch_id, data in enumerate([big] + [[(b * 7 + j, b, f"v{b}.{j}") for j in range(5)] + [(3, -b, "older"), (None, b, "null"), (4, 0, f"tie {b}")] for b in range(1, 13)]):
+        before = {p for p in (tmp_path / "t").rglob("*.parquet")} if batch_id else set()
+        batch = spark.createDataFrame(data, schema)
+        published.publish(batch, batch_id, root, ["k"], "o", layout)
+        sizes.append(sum(p.stat().st_size for p in (tmp_path / "t").rglob("*.parquet") if p not in before))
+        for k, o, v in data:
+            if k not in want or o >= want[k][0]:
+                want[k] = (o, v)
+        assert read() == want
+        # run again, a batch changes nothing
+        published.publish(batch.limit(2), batch_id, root, ["k"], "o", layout)
+        assert read() == want
+    assert sorted(sizes)[len(sizes) // 2] < sizes[0] / 20
+    assert len(list((tmp_path / "t" / "versions").glob("*.json"))) == 2
+    named = json.loads((tmp_path / "t" / "versions" / "12.json").read_text())["buckets"]
+    assert all(len(f) <= 7 for f in named.values())
+    # what died before the swap doesn't count, and is replaced when it is run again
+    (tmp_path / "t" / "data" / "13").mkdir()
+    (tmp_path / "t" / "data" / "13" / "junk").write_text("x")
+    published.publish(spark.createDataFrame([(1, 99, "new")], schema), 13, root, ["k"], "o", layout)
+    assert read() == want | {1: (99, "new")}

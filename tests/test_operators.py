@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mutagrid import schemas
-from mutagrid.operators import aggregates, class_rules, joins, lineage, ordering, rules, selection, sets
+from mutagrid.operators import aggregates, class_rules, joins, lineage, ordering, rules, selection, sets, sketches
 from mutagrid.plans import catalog
 
 
@@ -159,6 +159,48 @@ def test_boxes_inside_are_dealt_once(spark, sf_dir):
         assert rows(joins.boxes_meeting(boxes, queries, 16.0, True, piece, most)) == want
 
 
+@pytest.mark.parametrize("inside", [False, True])
+def test_boxes_of_all_sizes_have_no_cell(spark, inside):
+    import random
+
+    rng = random.Random(3)
+    length = lambda: int(10 ** rng.uniform(0, 6)) * rng.choice([0, 1, 1, 1, 1, -1])
+    found = [(i, x, y, x + length(), y + length()) for i, (x, y) in enumerate((rng.randint(-500_000, 500_000), rng.randint(-500_000, 500_000)) for _ in range(400))]
+    found += [(1000 + i, 7, 7, 7 + 2**i, 7 + 2**i) for i in range(20)] + [(2000, None, 1, 2, 2), (2001, 8, 8, 8, 8), (2002, -(2**40), -5, 2**40, 5)]
+    boxes = spark.createDataFrame(found, "box_id long, left long, top long, right long, bottom long").repartition(4)
+    queries = boxes.filter("box_id % 3 = 0 or box_id > 900").withColumnRenamed("box_id", "query_id")
+    whole = [b for b in found if None not in b]
+    meets = lambda q, b: b[1] <= q[3] and q[1] <= b[3] and b[2] <= q[4] and q[2] <= b[4]
+    within = lambda q, b: b[1] >= q[1] and b[3] <= q[3] and b[2] >= q[2] and b[4] <= q[4]
+    want = sorted((q[0], b[0]) for q in whole if q[0] % 3 == 0 or q[0] > 900 for b in whole if (within if inside else meets)(q, b))
+    assert rows(joins.boxes_meeting(boxes, queries, None, inside)) == want and len(want) > 500
+    assert rows(joins.boxes_meeting(boxes, queries, None, inside, 4)) == want
+    assert joins.boxes_meeting(boxes.limit(0), queries, None, inside).count() == joins.boxes_meeting(boxes, queries.limit(0), None, inside).count() == 0
+
+
+def test_sketches_merge_for_any_grouping(spark, tmp_path):
+    import random
+
+    rng, rule, path = random.Random(5), sketches.Sketches(), str(tmp_path / "parts")
+    data = [(f"d{i % 5}", rng.choice("ab"), rng.randrange(20_000), rng.random() * 100) for i in range(60_000)] + [("d0", "none", None, None)]
+    base = spark.createDataFrame(data, "day string, kind string, who int, x double")
+    for day in range(5):
+        sketches.stored_parts(base.filter(f"day = 'd{day}'"), path, "day", ["kind"], "who", "x", rule)
+    # a day that comes again is replaced
+    sketches.stored_parts(base.filter("day = 'd3'"), path, "day", ["kind"], "who", "x", rule)
+    parts = sketches.read_parts(spark, path)
+    assert parts.count() == 11
+    at_once = sketches.parts(base, ["day", "kind"], "who", "x", rule)
+    for found in (parts, at_once):
+        for r in sketches.merged(found, [["day", "kind"], ["kind"], []], rule).select("*", sketches.distinct_count(F.col("distinct")).alias("u"), *[sketches.quantile(F.col("spread"), q).alias(f"q{int(q * 100)}") for q in (0.1, 0.5, 0.99)]).collect():
+            own = [d for d in data if r.day in (None, d[0]) and r.kind in (None, d[1])]
+            xs = [d[3] for d in own if d[3] is not None]
+            known = len({d[2] for d in own if d[2] is not None})
+            assert r.n == len(own) and abs(r.u - known) <= rule.distinct_error * known
+            for q, got in ((0.1, r.q10), (0.5, r.q50), (0.99, r.q99)):
+                assert got is None if not xs else abs(sum(x <= got for x in xs) / len(xs) - q) <= rule.rank_error + 1 / len(xs)
+
+
 def test_token_jaccard_matches_brute_force(spark):
     import random
 
