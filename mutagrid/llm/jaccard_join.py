@@ -236,7 +236,8 @@ def near(pairs: DataFrame, light: DataFrame, rule: Jaccard) -> DataFrame:
     differ = sum((F.bit_count(F.get("x_parity", F.lit(i)).bitwiseXOR(F.get("y_parity", F.lit(i)))) for i in range(PARITY_BITS // 64)), F.lit(0))
     # |x| + |y| - 2 overlap = difference, so the overlap is at most (|x| + |y| - bits) / 2
     bound = F.least(F.floor((F.col("x_n") + F.col("y_n") - differ) / 2), F.col("x_n"), F.col("y_n"))
-    return pairs.join(side(light, "x"), "x").join(side(light, "y"), "y").filter(may_reach(rule, bound, F.col("x_n"), F.col("y_n"))).select("x", "y")
+    # what grows with the documents is merged, however small it is
+    return pairs.join(side(light, "x").hint("merge"), "x").join(side(light, "y").hint("merge"), "y").filter(may_reach(rule, bound, F.col("x_n"), F.col("y_n"))).select("x", "y")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, rule: Jaccard, work: Workspace, name: str, again: bool) -> DataFrame:
@@ -247,10 +248,14 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Jaccard, work: Workspace,
     wanted = work.put(f"{name}-ids", pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
     sets = full_sets(texts, rule, marked(wanted))
     sets = work.put(f"{name}-sets", sets.dropDuplicates(["doc_id"]) if again else sets, incompressible=True)
-    full = pairs.join(side(sets, "x"), "x").join(side(sets, "y"), "y")
+    # a pair takes y's set to where x's is; the pairs of an x of many are dealt to parts, each with x's set
+    parts = work.put(f"{name}-parts", pairs.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
+    dealt = pairs.join(parts, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"))
+    own = parts.select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(side(sets, "x"), "x")
+    full = dealt.join(side(sets, "y"), "y").join(own.hint("merge"), ["x", "part"])
     common = F.size(F.array_intersect("x_tokens", "y_tokens"))
     links = work.put(name, full.filter(may_reach(rule, common, F.col("x_n"), F.col("y_n"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    work.drop(f"{name}-ids")
+    work.drop(f"{name}-ids", f"{name}-parts")
     return links
 
 
@@ -344,7 +349,10 @@ def link_counts(final: DataFrame, copies: DataFrame, rule: Jaccard, work: Worksp
     weight = copies.select(F.col("rep").alias("doc_id"), F.col("copies").alias("weight"))
     nodes = final.withColumnRenamed("node", "doc_id").join(weight, "doc_id", "left").withColumn("weight", F.coalesce("weight", F.lit(1)).cast("long"))
     size = nodes.groupBy("component").agg(F.count("*").alias("nodes"), F.sum("weight").alias("all"))
-    nodes = work.put("nodes", nodes.join(size, "component").withColumn("blocks", F.ceil(F.col("nodes") / LINK_BLOCK).cast("int")))
+    # a class may hold any share of the documents: its size goes to the parts that they are dealt to
+    size = size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    nodes = nodes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(size, ["component", "salt"]).drop("salt")
+    nodes = work.put("nodes", nodes.withColumn("blocks", F.ceil(F.col("nodes") / LINK_BLOCK).cast("int")))
     # two of one class link to each other, as nothing else can join them
     two = nodes.filter("nodes = 2").select("doc_id", (F.col("all") - F.col("weight")).alias("links"))
     rows = nodes.filter("nodes > 2").join(sets, "doc_id")
