@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mutagrid.functions import convert, text
-from mutagrid.operators import aggregates, class_rules, joins, lineage, ordering, rules, scans, scopes, selection, sets, sketches
+from mutagrid.operators import aggregates, class_rules, joins, lineage, ordering, rule_compiler, rules, scans, scopes, selection, sets, sketches
 from mutagrid.sources import trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -663,3 +663,28 @@ def published_orders(t, spark):
     layout = published.Layout(buckets=4, most=2)
     streams.publish_latest(stream, f"{root}/table", ["o_custkey"], "place", f"{root}/checkpoint", layout).trigger(availableNow=True).start().awaitTermination()
     return published.read_latest(spark, f"{root}/table", "o_custkey long, o_orderkey long, o_orderstatus string, place long", ["o_custkey"], "place")
+
+
+# a node of each shape: kind, operator, type of both operands, text, kinds and texts of the operands
+_SHAPES = [
+    ("Binary", "&&", "boolean", "a && b", "Variable", "Variable", "a", "b"), ("Binary", "<<", "int", "x << 2", "Variable", "Constant", "x", "2"), ("Binary", "+", "int", "x + y", "Variable", "Variable", "x", "y"), ("Binary", "<=", "int", "x <= 7", "Variable", "Constant", "x", "7"),
+    ("Unary", "-", "int", "-z", None, "Variable", None, "z"), ("Unary", "++", "int", "i++", None, "Field", None, "i"), ("Unary", "!", "boolean", "!p", None, "Field", None, "p"), ("Unary", "~", "int", "~9", None, "Constant", None, "9"),
+    ("Variable", None, "int", "v", None, None, None, None), ("Assignment", "+=", "int", "a += 5", "Variable", "Constant", "a", "5"), ("Throw", None, None, "throw e", None, None, None, None), ("Field", None, None, "int f = 1", None, None, None, None),
+    ("SuperCall", None, None, "super(a)", None, None, None, None), ("Try", None, None, "try", None, None, None, None), ("Catch", None, None, "catch", None, None, None, None), ("Binary", "&", "int", "m & n", "Variable", "Variable", "m", "n"),
+]
+_MADE = [
+    (0, "COR", "|| ^"), (0, "COI", "!(a&&b)"), (0, "ODL", "a b"), (0, "VDL", "a b"), (1, "SOR", ">> >>>"), (1, "ODL", "2 x"), (1, "CDL", "x"), (1, "VDL", "2"), (2, "AORB", "* / % -"), (2, "AOR", "* / % -"), (2, "ODL", "x y"), (2, "VDL", "x y"),
+    (3, "ROR", "< > >= == != true false"), (3, "ODL", "7 x"), (3, "CDL", "x"), (3, "VDL", "7"), (4, "AORU", "+"), (4, "AODU", "z"), (4, "ODL", "z"), (4, "VDL", ""), (5, "AORS", "--"), (5, "AODS", "i"), (5, "ODL", "i"), (6, "COD", "p"), (6, "COI", "!!p"), (6, "ODL", "p"), (7, "LOD", "9"), (7, "ODL", "9"), (7, "CDL", ""),
+    (8, "LOI", "~v"), (8, "AOIS", "v++ ++v v-- --v"), (8, "AOIU", "-v"), (9, "ASRS", "-= *= /= %= &= |= ^= <<= >>= >>>="), (9, "ODL", "a=5"), (9, "CDL", "a"), (10, "ETD", ""), (11, "JID", ""), (11, "JSI", "staticintf=1"), (12, "IPC", ""), (13, "EFD", ""), (14, "EHD", ""), (15, "LOR", "| ^"), (15, "ODL", "m n"), (15, "VDL", "m n"),
+]
+
+
+@query(f"""SELECT p_partkey AS node_id, rule, unnest(string_split(made, ' ')) AS new FROM part JOIN (VALUES {', '.join(f"({i}, '{r}', '{m}')" for i, r, m in _MADE)}) v(shape, rule, made) ON p_partkey % 16 = shape""")
+def compiled_rules(t, spark):
+    """26 rules on parts as nodes of sixteen shapes, in one pass; blanks are left out of what is made."""
+    shape = "kind string, operator string, type string, text string, lhs_kind string, rhs_kind string, lhs_text string, rhs_text string"
+    fields = [x.split()[0] for x in shape.split(", ")]
+    shapes = F.array(*[F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(fields, s)]) for s in _SHAPES])
+    nodes = t("part").select(F.col("p_partkey").alias("node_id"), F.get(shapes, (F.col("p_partkey") % 16).cast("int")).alias("s")).select("node_id", "s.*")
+    flags = {"lhs_type": F.col("type"), "rhs_type": F.col("type"), "is_assign_target": F.lit(False), "in_for_header": F.lit(False), "n_args": F.lit(1), "is_final": F.lit(False), "is_static": F.lit(False), "initialiser": F.lit("1"), "n_catches": F.lit(2), "has_finally": F.lit(True)}
+    return rule_compiler.compiled(nodes.withColumns(flags)).select("node_id", "rule", F.replace("replacement", F.lit(" "), F.lit("")).alias("new"))

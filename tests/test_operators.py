@@ -322,3 +322,29 @@ def test_class_rules(spark):
     assert rows(class_rules.override_deletions(methods.select(*keys), methods.filter("name = 'getA'").select(*keys)), "rule", "name") == [("IOD", "getA")]
     variables = spark.createDataFrame([("K", "a", "C"), ("K", "b", "C"), ("K", "c", "C"), ("K", "i", "int")], "class string, text string, type string")
     assert said(class_rules.value_changes(nodes, variables)) == [(9, "PRV", "a = c")]
+
+
+def test_compiled_rules_are_the_separate_ones(spark):
+    import random
+
+    from mutagrid.operators import rule_compiler
+
+    rng = random.Random(8)
+    pick = lambda *xs: rng.choice(xs)
+    fields = "node_id int, kind string, operator string, lhs_type string, rhs_type string, text string, in_for_header boolean, is_final boolean, is_static boolean, n_args int, n_catches int, has_finally boolean, is_assign_target boolean, body_size int, initialiser string, lhs_kind string, rhs_kind string, lhs_text string, rhs_text string"
+    operators = ["&&", "||", "^", "&", "|", "<<", ">>>", "+", "-", "*", "<", "==", "++", "--", "!", "~", "+=", ">>=", "=", None]
+    data = [
+        (i, pick("Binary", "Unary", "Assignment", "Variable", "FieldAccess", "Field", "SuperCall", "Try", "Catch", "Throw", None), pick(*operators), pick("int", "boolean", "String", None), pick("int", "boolean", None), pick("a + b", "-x", "x++", "!p", None), pick(True, False, None), pick(True, False), pick(True, False), pick(0, 1), pick(0, 1, 2), pick(True, False), pick(True, False, None), 1, pick("1", None), pick("Variable", "Constant", None), pick("Variable", "Constant", "Call"), pick("l", None), pick("r", None))
+        for i in range(800)
+    ]
+    nodes = spark.createDataFrame(data, fields)
+    apart = [rules.replacements(nodes, ["COR", *rules.SWAPS]), rules.relational_literals(nodes), rules.operator_deletions(nodes), rules.shortcut_deletions(nodes), rules.sign_deletions(nodes), rules.not_deletions(nodes), rules.complement_deletions(nodes), rules.complement_insertions(nodes), rules.shortcut_insertions(nodes), rules.sign_insertions(nodes), rules.not_insertions(nodes), rules.super_call_deletions(nodes), rules.initialiser_deletions(nodes), rules.static_insertions(nodes), rules.finally_deletions(nodes), rules.catch_deletions(nodes), rules.throw_deletions(nodes), *[rules.operand_deletions(nodes, r) for r in ("CDL", "VDL", "ODL")]]
+    want = sorted((tuple(r) for df in apart for r in df.select("node_id", "rule", "replacement").collect()), key=str)
+    found = rule_compiler.compiled(nodes)
+    # beside these, CDL and VDL take unary nodes and assignments
+    more = found.filter("rule in ('CDL', 'VDL') and kind <> 'Binary'")
+    assert sorted((tuple(r) for r in found.join(more.select("node_id", "rule"), ["node_id", "rule"], "left_anti").select("node_id", "rule", "replacement").collect()), key=str) == want
+    assert more.count() == sum(d[16] in ("Variable", "Constant") for d in data if d[1] == "Unary" or d[1] == "Assignment" and d[2] in rules.SWAPS["ASRS"][1])
+    plan = plan_of(rule_compiler.compiled(spark.range(9).selectExpr("id as node_id", *[f"cast(null as {f.split()[1]}) as {f.split()[0]}" for f in fields.split(", ")[1:]])))
+    assert plan.count("Range") == 1 and "Union" not in plan and "Join" not in plan and "Exchange" not in plan
+    assert {r.rule for r in rule_compiler.compiled(nodes, ["COD", "ETD"]).select("rule").distinct().collect()} == {"COD", "ETD"}
