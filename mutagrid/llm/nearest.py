@@ -46,8 +46,9 @@ TABLES, OCCUPANCY, SEED = 48, 8, 11
 TRIALS, RECALL, MOST_PROBES = 64, 0.96, 512
 #: Vectors and queries of a part of a slice; rows of a task's working set are bounded by them.
 SLICE, QUERY_PART = 1 << 14, 1 << 12
-#: Candidates that are ranked exactly: so many times k.
-SPARE = 2
+#: Candidates that are ranked exactly at first: so many times k; and how far a score of half-precision directions may be
+#: off, as a part of both lengths: twice the rounding of a component, and as much again for the sums.
+SPARE, ROUNDING = 2, 2.0**-9
 #: Answers that a task holds before it reduces them to its best of each query.
 HELD = 1 << 20
 #: One of so many candidates, the longest, is met by every query, so many at most.
@@ -219,12 +220,13 @@ class Cell:
         order = np.argsort(buckets, kind="stable")
         self.ids, self.buckets = ids[order], buckets[order]
         self.x = np.concatenate([scaled(b) for b in batches])[order]
+        self.off = np.concatenate([b.column("length").to_numpy() for b in batches]).astype(np.float32)[order] * np.float32(ROUNDING)
 
     def best(self, probes: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the n best candidates in the probed buckets."""
+        """Ids and greatest possible scores of the n best candidates in the probed buckets."""
         low, high = np.searchsorted(self.buckets, probes, "left"), np.searchsorted(self.buckets, probes, "right")
         spots = np.concatenate([np.arange(a, b) for a, b in zip(low, high) if b > a] or [np.zeros(0, np.int64)])
-        scores = self.x[spots] @ q
+        scores = self.x[spots] @ q + self.off[spots] * np.linalg.norm(q)
         if len(spots) > n:
             kept = np.argpartition(-scores, n - 1)[:n]
             spots, scores = spots[kept], scores[kept]
@@ -287,7 +289,7 @@ def meeting(n: int):
 
 
 def met(candidates: DataFrame, queries: DataFrame, n: int, work: Workspace, name: str) -> DataFrame:
-    """(query_id, rep): the n best of what each query meets."""
+    """(query_id, rep, bound): the n best of what each query meets, by what their score is at most."""
     counts = candidates.select("cell", "side").union(queries.select("cell", "side")).groupBy("cell").agg(F.count_if(F.col("side") == 0).alias("n"), F.count_if(F.col("side") == 1).alias("asked"))
     # only slices that are too large are cut; written, their size is known and a join may broadcast them
     large = counts.select("cell", F.ceil(F.col("n") / SLICE / 2).cast("int").alias("parts"), F.ceil(F.col("asked") / QUERY_PART / 4).cast("int").alias("query_parts")).filter("parts > 1 or query_parts > 1")
@@ -302,7 +304,7 @@ def met(candidates: DataFrame, queries: DataFrame, n: int, work: Workspace, name
     # the same pair may come from several tables: kept once
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     some = near.groupBy("query_id", "rep").agg(F.max("score").alias("score"))
-    return some.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n).select("query_id", "rep")
+    return some.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= n).select("query_id", "rep", F.col("score").alias("bound"))
 
 
 def probes_for(reps: DataFrame, queries: DataFrame, pool: DataFrame | None, shape: list[int], k: int) -> int | None:
@@ -379,19 +381,35 @@ def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20) -> Da
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
         return full.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
-    whole = lambda asked: met(everywhere(reps, 0, slices, 0), everywhere(asked, 1, slices, 0), n, work, "exact")
+    def settled(candidates: DataFrame, asked: DataFrame, name: str) -> DataFrame:
+        """The answers to what is asked: where a candidate that was left out could be among a query's k, more of them are ranked."""
+        done, wide = None, n
+        while True:
+            near = work.put(f"{name}-near-{wide}", met(candidates, asked, wide, work, f"{name}-{wide}"))
+            answers = work.put(f"{name}-answers-{wide}", ranked(near))
+            # all that was left out is below the last one's bound
+            last = near.groupBy("query_id").agg(F.count("*").alias("met"), F.min("bound").alias("bound")).filter(F.col("met") >= wide)
+            kth = answers.groupBy(F.col("query_id").alias("asker")).agg(F.count("*").alias("found"), F.min("score").alias("score"))
+            open_ = work.put(f"{name}-open-{wide}", last.join(kth, F.col("query_id") == F.col("asker"), "left").filter((F.coalesce("found", F.lit(0)) < k) | (F.col("bound") >= F.col("score"))).select("query_id"))
+            closed = answers.join(open_, "query_id", "left_anti")
+            done = closed if done is None else done.unionByName(closed)
+            if open_.isEmpty():
+                return done
+            asked, wide = asked.join(open_, F.col("id") == F.col("query_id"), "left_semi"), 4 * wide
+
+    whole = lambda asked: settled(everywhere(reps, 0, slices, 0), everywhere(asked, 1, slices, 0), "exact")
     if probes is None:
-        return ranked(whole(queries))
+        return whole(queries)
     candidates, asked = filed(reps, shape, slices), asking(queries, shape, slices, probes)
     if pool is not None:
         candidates, asked = candidates.union(everywhere(pool, 0, 1, TABLES * slices)), asked.union(everywhere(queries, 1, 1, TABLES * slices))
-    answers = work.put("answers", ranked(met(candidates, asked, n, work, "probed")))
+    answers = work.put("answers", settled(candidates, asked, "probed"))
     least = min(k, rows.count() - 1)
     done = answers.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("query_id")
     short = work.put("short", queries.join(done, F.col("id") == F.col("query_id"), "left_anti"), incompressible=True)
     if least < 1 or short.isEmpty():
         return answers
-    return answers.join(done, "query_id", "left_semi").unionByName(ranked(whole(short)))
+    return answers.join(done, "query_id", "left_semi").unionByName(whole(short))
 
 
 def smallest(members: DataFrame, n: int) -> DataFrame:

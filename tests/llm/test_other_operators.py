@@ -251,6 +251,26 @@ def test_queries_that_no_probe_serves_are_searched_exactly(spark, monkeypatch):
     assert got == {q: [i for i, _ in found] for q, found in exact(vectors, range(0, 300, 7), 20).items()}
 
 
+def test_scores_closer_than_half_precision_are_ranked(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=24)
+    # all but a few vectors differ by less than half precision tells apart
+    x = np.concatenate([base + rng.normal(size=(400, 24)) * 1e-6, rng.normal(size=(40, 24))])
+    monkeypatch.setattr(nearest, "probes_for", lambda *_: None)
+    wide = []
+    met = nearest.met
+    monkeypatch.setattr(nearest, "met", lambda c, q, n, *rest: (wide.append(n), met(c, q, n, *rest))[1])
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nearest.search(spark, vectors, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, 440, 20):
+        scores = np.array([sum(a * b for a, b in zip(x[q], v)) for v in x])
+        want = sorted((i for i in range(440) if i != q), key=lambda i: (-scores[i], i))[:20]
+        assert [round(scores[i], 12) for i in got[q]] == [round(scores[i], 12) for i in want]
+    assert wide[0] == 41 and max(wide) > 400
+
+
 def test_rotation_keeps_lengths():
     for d, size in ((12, 16), (64, 64), (100, 128), (1, 1)):
         x = np.random.default_rng(1).normal(size=(5, d))
