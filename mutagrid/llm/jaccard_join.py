@@ -248,14 +248,15 @@ def verified(pairs: DataFrame, texts: DataFrame, rule: Jaccard, work: Workspace,
     wanted = work.put(f"{name}-ids", pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct())
     sets = full_sets(texts, rule, marked(wanted))
     sets = work.put(f"{name}-sets", sets.dropDuplicates(["doc_id"]) if again else sets, incompressible=True)
-    # a pair takes y's set to where x's is; the pairs of an x of many are dealt to parts, each with x's set
+    # a pair takes y's set to where x's is; the pairs of an x of many are dealt to parts, each with x's set. Written, the
+    # pairs' size is known: while they are few, the sets meet them where they are read
     parts = work.put(f"{name}-parts", pairs.groupBy("x").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")))
-    dealt = pairs.join(parts, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part"))
-    own = parts.select("x", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).join(side(sets, "x"), "x")
-    full = dealt.join(side(sets, "y"), "y").join(own.hint("merge"), ["x", "part"])
+    dealt = work.put(f"{name}-dealt", pairs.join(parts, "x").select("x", "y", F.pmod(F.xxhash64("y"), F.col("parts")).cast("int").alias("part")))
+    own = work.put(f"{name}-own", dealt.select("x", "part").distinct())
+    full = dealt.join(side(sets, "y"), "y").join(own.join(side(sets, "x"), "x").hint("merge"), ["x", "part"])
     common = F.size(F.array_intersect("x_tokens", "y_tokens"))
     links = work.put(name, full.filter(may_reach(rule, common, F.col("x_n"), F.col("y_n"))).select(F.col("x").alias("a"), F.col("y").alias("b")))
-    work.drop(f"{name}-ids", f"{name}-parts")
+    work.drop(f"{name}-ids", f"{name}-parts", f"{name}-dealt", f"{name}-own")
     return links
 
 
