@@ -201,13 +201,14 @@ def test_sketches_merge_for_any_grouping(spark, tmp_path):
                 assert got is None if not xs else abs(sum(x <= got for x in xs) / len(xs) - q) <= rule.rank_error + 1 / len(xs)
 
 
-def test_token_jaccard_matches_brute_force(spark):
+@pytest.mark.parametrize("piece", [3, 8192])
+def test_token_jaccard_matches_brute_force(spark, piece):
     import random
 
     random.seed(5)
     sets_ = {i: random.sample("abcdefghij", random.randint(1, 8)) for i in range(40)}
     df = spark.createDataFrame([(i, s) for i, s in sets_.items()], "id long, tokens array<string>")
-    got = {(r.x, r.y) for r in joins.token_jaccard(df.withColumnRenamed("id", "x"), df.withColumnRenamed("id", "y"), 0.8, "x", "y").collect()}
+    got = {(r.x, r.y) for r in joins.token_jaccard(df.withColumnRenamed("id", "x"), df.withColumnRenamed("id", "y"), 0.8, "x", "y", piece).collect()}
     assert got == {(a, b) for a in sets_ for b in sets_ if len({*sets_[a]} & {*sets_[b]}) / len({*sets_[a]} | {*sets_[b]}) >= 0.8}
 
 
