@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from mutagrid.functions.text import null_to_empty
 from mutagrid.operators import aggregates
+from mutagrid.sources import ranges
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) of every file below a path. A file is held whole by one task, so none may be over 2 GB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "[!_.]*").load(path)
-    return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+    """(path, length, sha256) of every file below a path, of any size: a task holds a piece of a file at a time."""
+    return ranges.digested(ranges.listed(spark, path))
 
 
 def files_digest(spark: SparkSession, path: str) -> DataFrame:
