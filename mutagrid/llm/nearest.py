@@ -47,8 +47,10 @@ TRIALS, RECALL, MOST_PROBES = 64, 0.96, 512
 #: Vectors and queries of a part of a slice; rows of a task's working set are bounded by them.
 SLICE, QUERY_PART = 1 << 14, 1 << 12
 #: Candidates that are ranked exactly at first: so many times k; and how far a score of half-precision directions may be
-#: off, as a part of both lengths: twice the rounding of a component, and as much again for the sums.
-SPARE, ROUNDING = 2, 2.0**-9
+#: off, as a part of both lengths: each direction's rounding, and room for the sums of up to 2,048 products.
+SPARE, ROUNDING = 2, 2.0**-10 + 2.0**-13
+#: So many open queries at most are searched in the whole table, more of them once more in what they met.
+FEW = 4096
 #: Answers that a task holds before it reduces them to its best of each query.
 HELD = 1 << 20
 #: One of so many candidates, the longest, is met by every query, so many at most.
@@ -220,7 +222,7 @@ class Cell:
         order = np.argsort(buckets, kind="stable")
         self.ids, self.buckets = ids[order], buckets[order]
         self.x = np.concatenate([scaled(b) for b in batches])[order]
-        self.off = np.concatenate([b.column("length").to_numpy() for b in batches]).astype(np.float32)[order] * np.float32(ROUNDING)
+        self.off = np.concatenate([b.column("length").to_numpy() for b in batches]).astype(np.float32)[order] * np.float32(ROUNDING * max(1, self.x.shape[1] / 2048))
 
     def best(self, probes: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and greatest possible scores of the n best candidates in the probed buckets."""
@@ -393,9 +395,15 @@ def search(spark: SparkSession, vectors: DataFrame, is_query, k: int = 20) -> Da
             open_ = work.put(f"{name}-open-{wide}", last.join(kth, F.col("query_id") == F.col("asker"), "left").filter((F.coalesce("found", F.lit(0)) < k) | (F.col("bound") >= F.col("score"))).select("query_id"))
             closed = answers.join(open_, "query_id", "left_anti")
             done = closed if done is None else done.unionByName(closed)
-            if open_.isEmpty():
+            left = open_.count()
+            if not left:
                 return done
-            asked, wide = asked.join(open_, F.col("id") == F.col("query_id"), "left_semi"), 4 * wide
+            if left <= FEW:
+                # each vector is shipped once for them, not to every table
+                candidates, asked = everywhere(reps, 0, slices, 0), everywhere(queries.join(open_, F.col("id") == F.col("query_id"), "left_semi"), 1, slices, 0)
+            else:
+                asked = asked.join(open_, F.col("id") == F.col("query_id"), "left_semi")
+            wide *= 4
 
     whole = lambda asked: settled(everywhere(reps, 0, slices, 0), everywhere(asked, 1, slices, 0), "exact")
     if probes is None:
