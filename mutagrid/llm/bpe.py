@@ -327,6 +327,9 @@ FROM (SELECT doc_id, doc_id AS i, regexp_replace(coalesce(text, ''), '[^a-z]', '
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents as token ids, with the digests of ids and decoded text."""
+    """Pipeline stage: the documents as token ids, with the digests of ids and decoded text.
+
+    It needs the columns of documents and is the last stage: of them the id, lang and source stay, the text and all others go.
+    """
     rows = encode(docs, vocabulary())
     return rows.select("doc_id", "lang", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
