@@ -92,6 +92,22 @@ def test_state_follows_the_mutants_and_not_the_batches(spark, tmp_path):
     assert max(held) - min(held) <= 1 and held[0] >= 30
 
 
+def test_few_mutants_and_tests_are_one_value_and_one_timer(spark, tmp_path):
+    folder = str(tmp_path / "few")
+    put(spark, folder, [event("a", 0, "mutant", 0, f"m{i}") for i in range(12)] + [event("a", 0, "started", i, test=f"t{i}") for i in range(12)])
+    assert max(ran(spark, folder)) <= 4
+
+
+@pytest.mark.parametrize("few, held", [(0, 2), (1, 10_000), (2, 3)])
+def test_many_mutants_and_tests_are_reported_alike(spark, tmp_path, monkeypatch, few, held):
+    monkeypatch.setattr(rounds, "FEW", few)
+    monkeypatch.setattr(rounds, "HELD", held)
+    folder = str(tmp_path / "many")
+    fed(spark, folder, BATCHES)
+    ran(spark, folder)
+    assert reports(spark, folder) == sorted(WANT, key=str)
+
+
 def test_the_clock_ends_what_does_not_finish(spark, tmp_path):
     folder = str(tmp_path / "clock")
     put(spark, folder, [event("a", 0, "mutant", 0, "m"), event("a", 0, "started", 0, test="t"), event("b", 0, "mutant", 0, "m"), event("b", 0, "killed", 0, "m", "u", 0, 1), event("b", 0, "finished", 0)])
