@@ -178,6 +178,23 @@ def test_boxes_of_all_sizes_have_no_cell(spark, inside):
     assert joins.boxes_meeting(boxes.limit(0), queries, None, inside).count() == joins.boxes_meeting(boxes, queries.limit(0), None, inside).count() == 0
 
 
+def test_boxes_alike_in_a_cell_are_compared_once(spark):
+    # 200 boxes that cover the cells between 16 and 64 each in their own way, sides over many cells the wrong way round, a null id
+    found = [(i, -i, -2 * i, 90 + i, 80 + i) for i in range(200)] + [(300, 70, 5, 6, 60), (301, 9, 75, 90, 2), (None, 20, 20, 30, 30)]
+    boxes = spark.createDataFrame(found, "box_id long, left long, top long, right long, bottom long")
+    straight = boxes.filter("left <= right and top <= bottom")
+    queries = [(i, 33 + i, 34, 35 + i, 36) for i in range(5)] + [(7, 60, 20, 20, 60), (8, -500, -500, 500, 500)]
+    asked = spark.createDataFrame(queries, "query_id long, left long, top long, right long, bottom long")
+    meets = lambda q, b: b[1] <= q[3] and q[1] <= b[3] and b[2] <= q[4] and q[2] <= b[4]
+    want = sorted(((q[0], b[0]) for q in queries for b in found if meets(q, b)), key=str)
+    for cell in (16.0, None):
+        for piece in (32768, 8):
+            assert sorted(((r[0], r[1]) for r in joins.boxes_meeting(boxes, asked, cell, False, piece).collect()), key=str) == want
+    plan = plan_of(joins.boxes_meeting(straight, asked.filter("left <= right"), 16.0, False))
+    # alike boxes meet where the join needs them: one shuffle a side
+    assert "collect_list(b_box_id" in plan.split("SortMergeJoin")[1] and plan.count("REPARTITION_BY_NUM") == 2
+
+
 def test_sketches_merge_for_any_grouping(spark, tmp_path):
     import random
 
