@@ -195,6 +195,12 @@ def test_boxes_alike_in_a_cell_are_compared_once(spark):
     assert "collect_list(b_box_id" in plan.split("SortMergeJoin")[1] and plan.count("REPARTITION_BY_NUM") == 2
 
 
+def test_boxes_visit_few_grids(spark):
+    boxes = spark.createDataFrame([(i, 0, 0, 2**i, 2**i) for i in range(23)], "box_id long, left long, top long, right long, bottom long")
+    levels = joins.grid_levels(boxes, boxes.withColumnRenamed("box_id", "query_id"))
+    assert len(levels["b"]) <= 8 and max(levels["b"]) >= 22
+
+
 def test_sketches_merge_for_any_grouping(spark, tmp_path):
     import random
 
