@@ -195,6 +195,22 @@ def test_boxes_alike_in_a_cell_are_compared_once(spark):
     assert "collect_list(b_box_id" in plan.split("SortMergeJoin")[1] and plan.count("REPARTITION_BY_NUM") == 2
 
 
+def test_pairs_of_boxes_are_stored_in_little_space(spark, tmp_path):
+    boxes = spark.range(2003).select(F.col("id").alias("box_id"), *[F.lit(c).alias(k) for k, c in (("left", 1), ("top", 2), ("right", 5), ("bottom", 6))])
+    queries = boxes.filter("box_id % 2 = 0").select((F.col("box_id") * 7919).alias("query_id"), "left", "top", (F.col("right") + F.col("box_id") % 3).alias("right"), "bottom")
+    joins.boxes_meeting(boxes, queries, 16.0, False).write.parquet(str(tmp_path / "pairs"))
+    found = spark.read.parquet(str(tmp_path / "pairs"))
+    assert found.count() == found.distinct().count() == 2003 * 1002
+    # an id alone takes 10 bits and more
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 2003 * 1002 * 0.5
+
+
+def test_products_of_lists_are_whole(spark):
+    sizes = [(0, 3), (7, 1), (8, 70), (9, 32), (512, 33), (519, 2), (1030, 5)]
+    lists = spark.createDataFrame([(list(range(n)), [1000 * i + j for j in range(m)]) for i, (n, m) in enumerate(sizes)], "q_ids array<long>, b_ids array<long>")
+    assert rows(joins._products(lists)) == sorted((a, 1000 * i + j) for i, (n, m) in enumerate(sizes) for a in range(n) for j in range(m))
+
+
 def test_boxes_visit_few_grids(spark):
     boxes = spark.createDataFrame([(i, 0, 0, 2**i, 2**i) for i in range(23)], "box_id long, left long, top long, right long, bottom long")
     levels = joins.grid_levels(boxes, boxes.withColumnRenamed("box_id", "query_id"))
